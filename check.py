@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import decimal
 import math
 import time
 import traceback
@@ -19,7 +20,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 def _norm(value):
     if isinstance(value, bool) or value is None:
         return value
-    if isinstance(value, (int, float)):
+    if isinstance(value, (int, float, decimal.Decimal)):
         if isinstance(value, float) and math.isnan(value):
             return None
         return round(float(value), 6)

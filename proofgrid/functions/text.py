@@ -6,9 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``.
+
+    Column expressions are inlined wherever they are used, and inside a
+    higher-order function they run once per element; binding a costly one to a
+    lambda variable keeps it to one evaluation.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def squeeze(text: Column) -> Column:
     """Collapse runs of white space and trim."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"[\s\p{Z}\ufeff]+", " "))
 
 
 def tokens(text: Column, keep: str = "a-z0-9") -> Column:

@@ -15,6 +15,7 @@ def local_session(cpus: str | int | None = None, shuffle_partitions: int = 8) ->
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("proofgrid")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PROOFGRID_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
