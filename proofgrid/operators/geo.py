@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofgrid.functions.numeric import METRES_PER_DEGREE, angle_gap_deg, bearing_deg, half_up, haversine_m
+from proofgrid.functions.text import let
 from proofgrid.operators.address import normal_address
 from proofgrid.operators.ranking import first_by, top_k, with_group_stats
 
@@ -89,21 +90,21 @@ def grid_pairs(points: DataFrame, areas: DataFrame, *, lat: str, lon: str, bound
 def building_score(distance: Column, inside: Column, address: Column, house: Column, street: Column,
                    postcode: Column) -> Column:
     """Closeness plus or minus agreement of house number, street and postcode."""
-    want = normal_address(address)
-    want_house = F.regexp_extract(want, r"^([0-9]+[a-z]?)\b", 1)
-    want_post = F.regexp_extract(want, r"\b([0-9]{5})(?: [0-9]{4})?\b", 1)
-    has_house, has_street, has_post = normal_address(house), normal_address(street), normal_address(postcode)
-
     def vote(known, equal, plus, minus):
         return F.when(known & equal, plus).when(known, -minus).otherwise(0)
 
-    score = (
-        F.greatest(F.lit(0.0), F.lit(500.0) - distance * 8)
-        + F.when(inside, 800).otherwise(0)
-        + vote((want_house != "") & (has_house != ""), want_house == has_house, 1800, 800)
-        + vote(has_street != "", want.contains(has_street), 1800, 1800)
-        + vote((want_post != "") & (has_post != ""), want_post == has_post, 500, 500)
-    )
+    def agreement(p):
+        house = F.regexp_extract(p["want"], r"^([0-9]+[a-z]?)\b", 1)
+        post = F.regexp_extract(p["want"], r"\b([0-9]{5})(?: [0-9]{4})?\b", 1)
+        return (
+            vote((house != "") & (p["house"] != ""), house == p["house"], 1800, 800)
+            + vote(p["street"] != "", p["want"].contains(p["street"]), 1800, 1800)
+            + vote((post != "") & (p["post"] != ""), post == p["post"], 500, 500))
+
+    plain = F.struct(normal_address(address).alias("want"), normal_address(house).alias("house"),
+                     normal_address(street).alias("street"), normal_address(postcode).alias("post"))
+    score = F.greatest(F.lit(0.0), F.lit(500.0) - distance * 8) + F.when(inside, 800).otherwise(0) \
+        + let(plain, agreement)
     return F.when(distance == float("inf"), F.lit(float("-inf"))).otherwise(score)
 
 
