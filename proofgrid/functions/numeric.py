@@ -53,13 +53,10 @@ def angle_gap_deg(a: Column, b: Column) -> Column:
     return F.abs((a - b + 540.0) % 360.0 - 180.0)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two numeric arrays."""
-    def dot(x, y):
-        products = F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double"))
-        return F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
-
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two numeric arrays, in double precision."""
+    products = F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double"))
+    return F.aggregate(products, F.lit(0.0), lambda s, v: s + v)
 
 
 def squared_l2(a: Column, b: Column) -> Column:
