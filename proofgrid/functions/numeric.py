@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from proofgrid.functions.text import let
+
 EARTH_RADIUS_M = 6_371_000.0
 METRES_PER_DEGREE = 111_320.0
 
@@ -66,11 +68,11 @@ def squared_l2(a: Column, b: Column) -> Column:
 
 def mat4_mul(a: Column, b: Column) -> Column:
     """Product of two row-major 4x4 matrices held as arrays of 16."""
-    cells = []
-    for i in range(4):
-        for j in range(4):
-            cells.append(add([a[4 * i + k] * b[4 * k + j] for k in range(4)]))
-    return F.array(*cells)
+    def product(p):
+        return F.array(*[add([p["a"][4 * i + k] * p["b"][4 * k + j] for k in range(4)])
+                         for i in range(4) for j in range(4)])
+
+    return let(F.struct(a.alias("a"), b.alias("b")), product)
 
 
 def mat4_point(m: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
@@ -94,13 +96,15 @@ def similarity_scale(m: Column) -> Column:
 
 def similarity_inverse(m: Column) -> Column:
     """Inverse of a scale-rotation-translation 4x4 matrix."""
-    s2 = similarity_scale(m) * similarity_scale(m)
-    lin = [[m[4 * c + r] / s2 for c in range(3)] for r in range(3)]
-    shift = [-(lin[r][0] * m[3] + lin[r][1] * m[7] + lin[r][2] * m[11]) for r in range(3)]
-    rows = []
-    for r in range(3):
-        rows += [*lin[r], shift[r]]
-    return F.array(*rows, *[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])
+    def inverse(p):
+        m, s2 = p["m"], p["s"] * p["s"]
+        rows = []
+        for r in range(3):
+            line = [m[4 * c + r] / s2 for c in range(3)]
+            rows += [*line, -(line[0] * m[3] + line[1] * m[7] + line[2] * m[11])]
+        return F.array(*rows, *[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])
+
+    return let(F.struct(m.alias("m"), similarity_scale(m).alias("s")), inverse)
 
 
 def rotate_up(qw, qx, qy, qz, axis: tuple[float, float, float] = (0.0, 1.0, 0.0)):

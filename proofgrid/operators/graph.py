@@ -58,7 +58,8 @@ def connected_components(edges: DataFrame, *, group: list[str], a: str, b: str,
 
     ``vertices`` (group..., vertex) keeps singletons.
     """
-    few, many = _split_by_size(edges.select(*group, a, b), group, small)
+    edges = cut_lineage(edges.select(*group, a, b))  # read several times below
+    few, many = _split_by_size(edges, group, small)
     vertex_type = edges.schema[a].dataType
     schema = T.StructType([*[edges.schema[g] for g in group],
                            T.StructField("vertex", vertex_type), T.StructField("component", vertex_type)])
@@ -129,6 +130,7 @@ def spanning_forest(edges: DataFrame, *, group: list[str], a: str, b: str, order
     forest only, whatever the method, because the order has no ties: pass a
     unique last key in ``order``.
     """
+    edges = cut_lineage(edges)  # read several times below
     keyed = edges.withColumn("__ord", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
     few, many = _split_by_size(keyed, group, small)
     w = Window.partitionBy(*group).orderBy("__ord")
@@ -193,17 +195,45 @@ def compose_poses(tree: DataFrame, anchors: DataFrame, *, group: list[str], a: s
 
 
 def walk_distances(cells: DataFrame, seeds: DataFrame, *, group: list[str], x: str, y: str,
-                   max_rounds: int | None = None) -> DataFrame:
+                   small: int = SMALL_GRAPH_EDGES) -> DataFrame:
     """Number of 4-neighbour steps from the seeds to every reachable cell.
 
-    ``cells`` are the passable cells.  One round per step for all groups.
+    ``cells`` are the passable cells.  Small grids are walked one per group;
+    larger ones advance one step per round, all together.
     """
-    passable = cut_lineage(cells.select(*group, x, y).distinct())
     keys = [*group, x, y]
-    frontier = cut_lineage(seeds.select(*keys).join(passable, keys, "left_semi").distinct()
-                           .withColumn("steps", F.lit(0)))
+    marked = cells.select(*keys).distinct().join(
+        seeds.select(*keys).distinct().withColumn("__seed", F.lit(1)), keys, "left")
+    marked = cut_lineage(marked)
+    few, many = _split_by_size(marked, group, small)
+    schema = T.StructType([*[cells.schema[k] for k in keys], T.StructField("steps", T.IntegerType())])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        passable = set(zip(pdf[x], pdf[y], strict=True))
+        start = pdf[pdf["__seed"].notna()]
+        steps = {c: 0 for c in zip(start[x], start[y], strict=True)}
+        edge = list(steps)
+        while edge:
+            near = {(cx + dx, cy + dy) for cx, cy in edge for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))}
+            depth = steps[edge[0]] + 1
+            edge = [c for c in near if c in passable and c not in steps]
+            steps.update(dict.fromkeys(edge, depth))
+        out = pd.DataFrame({x: [c[0] for c in steps], y: [c[1] for c in steps], "steps": list(steps.values())})
+        for g in reversed(group):
+            out.insert(0, g, pdf[g].iloc[0])
+        return out
+
+    done = few.groupBy(*group).applyInPandas(walk, schema)
+    if many.limit(1).count():
+        done = done.unionByName(_walk_by_rounds(many.select(*keys), many.filter("__seed = 1").select(*keys), group, x, y))
+    return done
+
+
+def _walk_by_rounds(passable: DataFrame, seeds: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
+    keys = [*group, x, y]
+    frontier = cut_lineage(seeds.withColumn("steps", F.lit(0)))
     done, rounds = frontier, 0
-    while max_rounds is None or rounds < max_rounds:
+    while True:
         rounds += 1
         moves = F.explode(F.array(*[F.struct((F.col(x) + dx).alias("nx"), (F.col(y) + dy).alias("ny"))
                                     for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
@@ -212,8 +242,7 @@ def walk_distances(cells: DataFrame, seeds: DataFrame, *, group: list[str], x: s
         frontier = cut_lineage(reached.join(passable, keys, "left_semi").join(done, keys, "left_anti")
                                .withColumn("steps", F.lit(rounds)))
         if not frontier.limit(1).count():
-            break
+            return done
         done = done.unionByName(frontier)
         if rounds % 32 == 0:
             done = cut_lineage(done)
-    return done

@@ -14,12 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on all keys."""
-    conds = [left[k].eqNullSafe(right[k]) for k in keys]
-    return reduce(lambda a, b: a & b, conds)
-
-
 def join_back(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Attach one-row-per-key ``stats``; NULL keys match each other.
 
@@ -30,7 +24,7 @@ def join_back(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left
         return df.crossJoin(F.broadcast(stats))  # one row: a global aggregate
     renamed = stats.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
                            *[c for c in stats.columns if c not in keys])
-    cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"__r_{k}"]) for k in keys])
+    cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
     return df.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 

@@ -28,8 +28,8 @@ EDGES = """
       where x.l_quantity >= 35 and y.l_quantity >= 35 group by all)"""
 
 COMPONENTS = """
-    both as (select scene, a u, b w from ee union all select scene, b, a from ee),
-    reach as (select scene, u v, u l from both union select both.scene, both.w, reach.l from reach join both on both.scene = reach.scene and both.u = reach.v),
+    und as (select scene, a u, b w from ee union all select scene, b, a from ee),
+    reach as (select scene, u v, u l from und union select und.scene, und.w, reach.l from reach join und on und.scene = reach.scene and und.u = reach.v),
     lab as (select scene, v, min(l) c from reach group by all),
     cs as (select scene, c, count(*) size from lab group by all),
     cw as (select ee.scene, c, sum(conf) weight from ee join lab on lab.scene = ee.scene and lab.v = ee.a group by all)"""
@@ -145,14 +145,14 @@ def m07(t):
     med as (select a.scene, median(list_inner_product(a.v, b.v)) m from f a join f b on a.scene = b.scene and a.vec_id < b.vec_id and a.core and b.core group by 1),
     aff as (select o.scene, o.vec_id, avg(list_inner_product(o.v, c.v)) aff, min(case when o.device = c.device then abs(o.sec - c.sec) end) gap
       from f o join f c on o.scene = c.scene and c.core and not o.core group by all)
-    select scene, vec_id, round(aff, 4) as affinity, coalesce(gap <= 120, false) as session_match,
+    select scene, vec_id, round(aff, 4) + 0.0 as affinity, coalesce(gap <= 120, false) as session_match,
       coalesce(gap <= 120, false) or coalesce(aff >= greatest(0.22, 0.85 * m), false) as accepted from aff left join med using (scene)""")
 def m08(t):
     f = t.embeddings.select("vec_id", F.floor(F.col("vec_id") / 24).alias("scene"), "embedding", (F.col("label") % 3).alias("device"),
                             ((F.col("vec_id") * 97) % 2000).alias("sec"))
     core = f.filter(F.col("vec_id") % 24 < 6)
     out = sc.nominate_frames(f, core, scene=["scene"], frame="vec_id", embedding="embedding", device="device", seconds="sec")
-    return out.select("scene", "vec_id", F.round("affinity", 4).alias("affinity"), "session_match", "accepted")
+    return out.select("scene", "vec_id", (F.round("affinity", 4) + 0.0).alias("affinity"), "session_match", "accepted")
 
 
 @query("m09_connection_tree")
