@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from proofgrid.functions.linalg import decompose_sim3, umeyama3
 from proofgrid.functions.numeric import (add, clamp, dist3, mat4_mul, mat4_point, quaternion_product,
                                          similarity_inverse, similarity_scale)
+from proofgrid.functions.text import let
+from proofgrid.session import cut_lineage
 from proofgrid.operators.ranking import (even_sample, exact_median, exact_quantile, first_by, join_back, top_k,
                                          upper_median, weighted_median, with_group_stats)
 
@@ -131,8 +133,9 @@ def robust_similarity(pairs: DataFrame, *, keys: list[str], order: list[Column],
 
     drawn = facts.select(*keys, F.posexplode(draw("__n", "__seed")).alias("__slot", "__rn"))
     corners = drawn.join(rows, [*keys, "__rn"]).withColumn("__h", F.floor(F.col("__slot") / 3).cast("int"))
-    hypotheses = similarity_fits(corners, keys=[*keys, "__h"]).filter("transform is not null").groupBy(*keys).agg(
-        F.collect_list(F.struct("__h", "transform")).alias("__hyps"))  # at most ``iterations`` rows
+    # at most ``iterations`` entries per pair; read twice below
+    hypotheses = cut_lineage(similarity_fits(corners, keys=[*keys, "__h"]).filter("transform is not null").groupBy(*keys).agg(
+        F.collect_list(F.struct("__h", "transform")).alias("__hyps")))
     placed = join_back(rows, facts.select(*keys, "__n", "__limit"), keys, "inner") \
         .withColumn("__blk", F.floor((F.col("__rn") - 1) / block_rows))
     held = join_back(hypotheses, facts.select(*keys, "__n"), keys, "inner").withColumn(
@@ -502,9 +505,14 @@ def pose_report(cameras: DataFrame, metric: DataFrame, *, keys: list[str], trans
 
 def rotation_gap_deg(a: Column, b: Column) -> Column:
     """Angle between the rotations of two similarity transforms."""
-    scale = similarity_scale(a) * similarity_scale(b)
-    trace = add([a[4 * i + j] * b[4 * i + j] for i in range(3) for j in range(3)]) / scale
-    return F.degrees(F.acos(clamp((trace - 1) / 2, -1.0, 1.0)))
+    def gap(p):
+        trace = add([p["a"][4 * i + j] * p["b"][4 * i + j] for i in range(3) for j in range(3)])
+        return F.degrees(F.acos(clamp((trace / p["s"] - 1) / 2, -1.0, 1.0)))
+
+    def scaled(p):
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), (similarity_scale(p["a"]) * similarity_scale(p["b"])).alias("s"))
+
+    return let(let(F.struct(a.alias("a"), b.alias("b")), scaled), gap)
 
 
 def calibrate_cameras(cameras: DataFrame, constraints: DataFrame, anchors: DataFrame, *, scene: list[str], frame: str) -> DataFrame:
@@ -519,7 +527,7 @@ def calibrate_cameras(cameras: DataFrame, constraints: DataFrame, anchors: DataF
     pairs = constraints.join(side("a"), [*scene, "a"]).join(side("b"), [*scene, "b"])
     pairs = pairs.withColumn("__rel", mat4_mul(similarity_inverse(F.col("__ma")), F.col("__mb")))
     def base(m):
-        return F.sqrt(add([m[i] * m[i] for i in (3, 7, 11)]))
+        return let(m, lambda v: F.sqrt(add([v[i] * v[i] for i in (3, 7, 11)])))
 
     pairs = pairs.withColumn("__gap", rotation_gap_deg(F.col("transform"), F.col("__rel"))) \
         .withColumn("__joint", base(F.col("__rel"))).withColumn("__metric", base(F.col("transform")))
@@ -533,8 +541,7 @@ def calibrate_cameras(cameras: DataFrame, constraints: DataFrame, anchors: DataF
     root = anchors.select(*scene, F.col("anchor")).join(side("anchor"), [*scene, "anchor"])
     both = raw.join(facts, scene).join(root, scene)
     rel = mat4_mul(similarity_inverse(F.col("__manchor")), F.col("camera_to_world"))
-    both = both.withColumn("__r", rel)
-    moved = F.array(*[F.col("__r")[i] * F.col("metric_scale") if i in (3, 7, 11) else F.col("__r")[i] for i in range(16)])
+    moved = let(rel, lambda r: F.array(*[r[i] * F.col("metric_scale") if i in (3, 7, 11) else r[i] for i in range(16)]))
     score = clamp(F.lit(0.55) + F.col("__raw") / F.greatest(F.col("__mid"), F.lit(1e-6)) * 0.12, 0.58, 0.78)
     return both.select(*scene, frame, moved.alias("transform"), "metric_scale", "rotation_median_deg",
                        F.when(F.col(frame) == F.col("anchor"), 1.0).otherwise(score).alias("confidence_score"))
