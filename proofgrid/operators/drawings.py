@@ -11,6 +11,7 @@ from proofgrid.functions.numeric import clamp
 from proofgrid.operators.graph import connected_components, spanning_forest
 from proofgrid.operators.labels import is_room_label, level_anchor
 from proofgrid.operators.ranking import first_by, join_back, number_rows, top_k
+from proofgrid.session import cut_lineage
 
 # Tolerances and sizes of the plan rules.
 MIN_SEGMENT_SHARE = 0.045
@@ -60,7 +61,7 @@ def merge_collinear(segments: DataFrame, *, keys: list[str]) -> DataFrame:
     placed = segments.withColumn("__sector", sector).withColumn("__off", -mx * F.sin(theta) + my * F.cos(theta)) \
         .withColumn("__p", F.col("x1") * F.cos(theta) + F.col("y1") * F.sin(theta)) \
         .withColumn("__q", F.col("x2") * F.cos(theta) + F.col("y2") * F.sin(theta))
-    line = placed.select(*keys, F.col("__sector").alias("sector"), F.floor(F.col("__off") / MERGE_OFFSET).alias("lane"),
+    line = placed.select(*keys, F.col("__sector").alias("sector"), F.floor(F.round("__off", 6) / MERGE_OFFSET).alias("lane"),
                          F.col("__off").alias("offset"), F.least("__p", "__q").alias("start"), F.greatest("__p", "__q").alias("end"))
     return merge_intervals(line, keys=[*keys, "sector", "lane"], start="start", end="end", gap=MERGE_GAP,
                            offset=F.avg("offset"))
@@ -136,7 +137,7 @@ def stair_runs(segments: DataFrame, *, keys: list[str], seg: str, size: str) ->
         & F.col("__across").between(F.col("__along") * 0.35, F.col("__along") * 3.2))
     good = good.select(*run, "treads", "left", "top", "right", "bottom", ((F.col("left") + F.col("right")) / 2).alias("cx"),
                        ((F.col("top") + F.col("bottom")) / 2).alias("cy"), (F.col(size) * 0.08).alias("__near"))
-    return spaced_first(good, keys=keys, item="component", x="cx", y="cy", near="__near", limit=3).drop("__near")
+    return spaced_first(cut_lineage(good), keys=keys, item="component", x="cx", y="cy", near="__near", limit=3).drop("__near")
 
 
 def spaced_first(df: DataFrame, *, keys: list[str], item: str, x: str, y: str, near: str, limit: int) -> DataFrame:

@@ -9,7 +9,7 @@ together, so no graph has to fit in one task.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,51 @@ def _split_by_size(edges: DataFrame, group: list[str], limit: int) -> tuple[Data
         sized.filter(F.col("__edges") > limit).drop("__edges")
 
 
+def map_whole_groups(df: DataFrame, group: list[str], fn, schema: T.StructType, order: list[str] = ()) -> DataFrame:
+    """Run ``fn`` on chunks of complete groups, rows sorted by group and ``order``.
+
+    One shuffle; a chunk holds as many groups as an Arrow batch does, so tiny
+    groups share a call.  Only for groups of bounded size.
+    """
+    def run(batches):
+        held = None
+        for pdf in batches:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            same = pd.Series(True, index=pdf.index)
+            for g in group:
+                last = pdf[g].iloc[-1]
+                same &= pdf[g].isna() if pd.isna(last) else pdf[g] == last
+            held, head = pdf[same], pdf[~same]
+            if len(head):
+                yield fn(head)
+        if held is not None and len(held):
+            yield fn(held)
+
+    placed = df.repartition(*group).sortWithinPartitions(*group, *order)
+    return placed.mapInPandas(run, schema)
+
+
+def _rows(pdf: pd.DataFrame, cols: list[str]):
+    return zip(*[pdf[c].tolist() for c in cols], strict=True)
+
+
+def _union_find():
+    parent: dict = {}
+
+    def find(v):
+        root = v
+        while parent.setdefault(root, root) != root:
+            root = parent[root]
+        while parent[v] != root:
+            parent[v], v = root, parent[v]
+        return root
+
+    return parent, find
+
+
 def components_by_rounds(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest vertex of each vertex's component, by hooking and shortcutting.
 
@@ -65,23 +110,17 @@ def connected_components(edges: DataFrame, *, group: list[str], a: str, b: str,
                            T.StructField("vertex", vertex_type), T.StructField("component", vertex_type)])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict = {}
-
-        def find(v):
-            while parent.setdefault(v, v) != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
-
-        for u, w in zip(pdf[a], pdf[b], strict=True):
-            x, y = find(u), find(w)
-            parent[max(x, y)] = min(x, y)
-        out = pd.DataFrame({"vertex": list(parent), "component": [find(v) for v in list(parent)]})
-        for g in reversed(group):
-            out.insert(0, g, pdf[g].iloc[0])
-        return out
-
-    labels = few.groupBy(*group).applyInPandas(solve, schema)
+        parent, find = _union_find()
+        for *g, u, w in _rows(pdf, [*group, a, b]):
+            x, y = find((*g, u)), find((*g, w))
+            if x[-1] < y[-1]:
+                parent[y] = x
+            elif y[-1] < x[-1]:
+                parent[x] = y
+        out = [(*v, find(v)[-1]) for v in list(parent)]
+        return pd.DataFrame(out, columns=[f.name for f in schema.fields])
+
+    labels = map_whole_groups(few, group, solve, schema)
     if many.limit(1).count():
         tagged = many.select(F.struct(*group, F.col(a).alias("x")).alias("a"),
                              F.struct(*group, F.col(b).alias("x")).alias("b"))
@@ -133,33 +172,22 @@ def spanning_forest(edges: DataFrame, *, group: list[str], a: str, b: str, order
     edges = cut_lineage(edges)  # read several times below
     keyed = edges.withColumn("__ord", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
     few, many = _split_by_size(keyed, group, small)
-    w = Window.partitionBy(*group).orderBy("__ord")
-    ranked = few.select(*group, F.col(a).alias("a"), F.col(b).alias("b"), F.col(edge_id).alias("id"),
-                        F.row_number().over(w).alias("r"))
     id_field = T.StructField("id", edges.schema[edge_id].dataType)
     schema = T.StructType([*[edges.schema[g] for g in group], id_field])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict = {}
-
-        def find(v):
-            while parent.setdefault(v, v) != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
-
+        parent, find = _union_find()
         kept = []
-        for u, v, i in pdf.sort_values("r")[["a", "b", "id"]].itertuples(index=False):
-            x, y = find(u), find(v)
+        for *g, u, v, i in _rows(pdf, [*group, "a", "b", "id"]):
+            x, y = find((*g, u)), find((*g, v))
             if x != y:
                 parent[y] = x
-                kept.append(i)
-        out = pd.DataFrame({"id": kept})
-        for g in reversed(group):
-            out.insert(0, g, pdf[g].iloc[0])
-        return out
+                kept.append((*g, i))
+        return pd.DataFrame(kept, columns=[f.name for f in schema.fields])
 
-    ids = ranked.groupBy(*group).applyInPandas(solve, schema)
+    keys = [F.col(f"__ord.k{i}").alias(f"__k{i}") for i in range(len(order))]
+    sorted_edges = few.select(*group, F.col(a).alias("a"), F.col(b).alias("b"), F.col(edge_id).alias("id"), *keys)
+    ids = map_whole_groups(sorted_edges, group, solve, schema, [f"__k{i}" for i in range(len(order))])
     if many.limit(1).count():
         tagged = many.select(
             F.struct(*group, F.col(edge_id).alias("x")).alias("id"), "__ord",
@@ -209,21 +237,21 @@ def walk_distances(cells: DataFrame, seeds: DataFrame, *, group: list[str], x: s
     schema = T.StructType([*[cells.schema[k] for k in keys], T.StructField("steps", T.IntegerType())])
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        passable = set(zip(pdf[x], pdf[y], strict=True))
-        start = pdf[pdf["__seed"].notna()]
-        steps = {c: 0 for c in zip(start[x], start[y], strict=True)}
-        edge = list(steps)
+        steps: dict = {}
+        passable = set()
+        for *cell, seed in _rows(pdf, [*keys, "__seed"]):
+            passable.add(tuple(cell))
+            if seed == 1:
+                steps[tuple(cell)] = 0
+        edge, depth = list(steps), 0
         while edge:
-            near = {(cx + dx, cy + dy) for cx, cy in edge for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))}
-            depth = steps[edge[0]] + 1
+            depth += 1
+            near = {(*g, cx + dx, cy + dy) for *g, cx, cy in edge for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))}
             edge = [c for c in near if c in passable and c not in steps]
             steps.update(dict.fromkeys(edge, depth))
-        out = pd.DataFrame({x: [c[0] for c in steps], y: [c[1] for c in steps], "steps": list(steps.values())})
-        for g in reversed(group):
-            out.insert(0, g, pdf[g].iloc[0])
-        return out
+        return pd.DataFrame([(*c, n) for c, n in steps.items()], columns=[f.name for f in schema.fields])
 
-    done = few.groupBy(*group).applyInPandas(walk, schema)
+    done = map_whole_groups(few, group, walk, schema)
     if many.limit(1).count():
         done = done.unionByName(_walk_by_rounds(many.select(*keys), many.filter("__seed = 1").select(*keys), group, x, y))
     return done
