@@ -159,8 +159,13 @@ def state_matches(code: Column, name: Column) -> Column:
     return (plain == F.lower(code)) | F.coalesce(F.try_element_at(alias, code) == plain, F.lit(False))
 
 
-def candidate_score(address: Column, c: dict[str, Column]) -> Column:
-    """Score of one gazetteer candidate against a requested address, 0..1.
+def parsed_request(address: Column) -> Column:
+    """What A05 needs of a request; parse it once, before candidates multiply the rows."""
+    return F.struct(address_parts(address).alias("parts"), leading_place_name(address).alias("place"))
+
+
+def candidate_score(request: Column, c: dict[str, Column]) -> Column:
+    """Score of one gazetteer candidate against a parsed request, 0..1.
 
     ``c`` holds lat, lon, name, display_name, importance, house_number, road,
     locality, state, postcode.
@@ -169,35 +174,39 @@ def candidate_score(address: Column, c: dict[str, Column]) -> Column:
         want, place = w["parts"], w["place"]
         postcode = _extract(_text(c["postcode"]), r"(\d{5})")
         found_name = F.coalesce(c["name"], F.get(F.split(c["display_name"], ","), 0), F.lit(""))
-        has_house = _filled(c["house_number"])
+        has_house, asks_house = _filled(c["house_number"]), _filled(want["house_number"])
+        both_states = _filled(want["state"]) & _filled(c["state"])
+        plain = (
+            _filled(c["lat"]) & _filled(c["lon"]) & _filled(c["display_name"])
+            & ~(asks_house & has_house & (normal_number(_text(c["house_number"])) != want["house_number"]))
+            & ~(both_states & ~F.coalesce(state_matches(want["state"], c["state"]), F.lit(False))))
         return F.struct(
-            (_filled(c["lat"]) & _filled(c["lon"]) & _filled(c["display_name"])).alias("complete"),
-            _filled(want["postcode"]).alias("asks_post"),
+            want.alias("want"), F.coalesce(plain, F.lit(False)).alias("plausible"), _filled(want["postcode"]).alias("asks_post"),
             F.coalesce(want["postcode"] == postcode, F.lit(False)).alias("same_post"),
-            F.when(place.isNull(), F.lit(0.0)).otherwise(token_similarity(place, found_name)).alias("name"),
-            _filled(want["house_number"]).alias("asks_house"), has_house.alias("has_house"),
-            (has_house & (normal_number(_text(c["house_number"])) != want["house_number"])).alias("other_house"),
-            (_filled(want["state"]) & _filled(c["state"])).alias("both_states"),
-            F.coalesce(state_matches(want["state"], c["state"]), F.lit(False)).alias("same_state"),
-            (_filled(want["city"]) & _filled(c["locality"])).alias("both_cities"),
-            token_similarity(want["city"], c["locality"]).alias("city"),
-            F.when(_filled(c["road"]), token_similarity(want["street"], c["road"])).otherwise(0.0).alias("road"))
-
-    def total(m):
-        rejected = (
-            ~m["complete"] | (m["asks_post"] & ~m["same_post"] & (m["name"] < 0.75))
-            | (m["asks_house"] & m["other_house"]) | (m["both_states"] & ~m["same_state"])
-            | (m["both_cities"] & (m["city"] < 0.5)))
+            # token work only for candidates the plain checks leave standing
+            F.when(place.isNull() | ~F.coalesce(plain, F.lit(False)), F.lit(0.0)).otherwise(token_similarity(place, found_name)).alias("name"),
+            asks_house.alias("asks_house"), has_house.alias("has_house"), both_states.alias("both_states"),
+            (_filled(want["city"]) & _filled(c["locality"])).alias("both_cities"))
+
+    def compare(m):
+        alive = m["plausible"] & ~(m["asks_post"] & ~m["same_post"] & (m["name"] < 0.75))
+        return F.struct(
+            m.alias("m"), alive.alias("alive"),
+            F.when(alive & m["both_cities"], token_similarity(m["want"]["city"], c["locality"])).otherwise(0.0).alias("city"),
+            F.when(alive & _filled(c["road"]), token_similarity(m["want"]["street"], c["road"])).otherwise(0.0).alias("road"))
+
+    def total(r):
+        m = r["m"]
+        rejected = ~r["alive"] | (m["both_cities"] & (r["city"] < 0.5))
         importance = F.greatest(F.lit(0.0), F.coalesce(c["importance"], F.lit(0.0))) * 0.04
         score = (
             F.lit(0.28) + F.when(m["asks_post"] & m["same_post"], 0.24).otherwise(0.0)
             + F.when(m["asks_house"] & m["has_house"], 0.2).when(m["asks_house"], 0.04).otherwise(0.0)
-            + m["road"] * 0.16 + F.when(m["both_cities"], m["city"] * 0.1).otherwise(0.0)
+            + r["road"] * 0.16 + F.when(m["both_cities"], r["city"] * 0.1).otherwise(0.0)
             + F.when(m["both_states"], 0.08).otherwise(0.0) + F.least(F.lit(0.04), importance) + m["name"] * 0.18)
-        return F.when(F.coalesce(rejected, F.lit(False)), F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
+        return F.when(rejected, F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
 
-    want = F.struct(address_parts(address).alias("parts"), leading_place_name(address).alias("place"))
-    return let(let(want, measure), total)
+    return let(let(let(request, measure), compare), total)
 
 
 def rank_candidates(df: DataFrame, *, request: str, score: str, pos: str, lat: str, lon: str) -> DataFrame:

@@ -57,12 +57,22 @@ def segment_distance_m(lat: Column, lon: Column, a: Column, b: Column) -> Column
 
 def footprint_distance_m(lat: Column, lon: Column, ring: Column, centre: Column | None = None) -> Column:
     """0 inside, else the nearest closed edge, else the centre, else infinity."""
-    n = F.size(ring)
-    edges = F.arrays_zip(ring.alias("a"), F.concat(F.slice(ring, 2, n), F.slice(ring, 1, 1)).alias("b"))
-    nearest = F.array_min(F.transform(edges, lambda e: segment_distance_m(lat, lon, e["a"], e["b"])))
+    def nearest(r):
+        n = F.size(r)
+        edges = F.arrays_zip(r.alias("a"), F.concat(F.slice(r, 2, n), F.slice(r, 1, 1)).alias("b"))
+        return F.array_min(F.transform(edges, lambda e: segment_distance_m(lat, lon, e["a"], e["b"])))
+
     fallback = F.lit(float("inf")) if centre is None else F.coalesce(
         segment_distance_m(lat, lon, centre, centre), F.lit(float("inf")))
-    return F.when(inside_ring(lat, lon, ring), F.lit(0.0)).when(n >= 2, nearest).otherwise(fallback)
+    return F.when(inside_ring(lat, lon, ring), F.lit(0.0)).when(F.size(ring) >= 2, nearest(ring)).otherwise(fallback)
+
+
+def box_distance_m(lat: Column, lon: Column, bounds: tuple[Column, Column, Column, Column]) -> Column:
+    """Metres to an area's bounding box: never more than to the area itself."""
+    lat0, lat1, lon0, lon1 = bounds
+    dy = F.greatest(lat0 - lat, lat - lat1, F.lit(0.0)) * METRES_PER_DEGREE
+    dx = F.greatest(lon0 - lon, lon - lon1, F.lit(0.0)) * METRES_PER_DEGREE * F.cos(F.radians(lat))
+    return F.hypot(dx, dy)
 
 
 def grid_pairs(points: DataFrame, areas: DataFrame, *, lat: str, lon: str, bounds: tuple[str, str, str, str],
@@ -70,7 +80,8 @@ def grid_pairs(points: DataFrame, areas: DataFrame, *, lat: str, lon: str, bound
     """Candidate pairs of points and areas whose reach covers the point's cell.
 
     ``bounds`` names the area columns min lat, max lat, min lon, max lon.  The
-    caller applies the exact distance filter; no candidate is dropped here.
+    caller applies the exact distance filter; only pairs whose bounding box is
+    already out of reach are dropped here.
     """
     cell = (cell_m or reach_m) / METRES_PER_DEGREE
     lat0, lat1, lon0, lon1 = (F.col(c) for c in bounds)
@@ -84,7 +95,16 @@ def grid_pairs(points: DataFrame, areas: DataFrame, *, lat: str, lon: str, bound
     reached = areas.withColumn("__cy", F.explode(cells(lat0 - dlat, lat1 + dlat))) \
         .withColumn("__cx", F.explode(cells(lon0 - dlon, lon1 + dlon)))
     placed = points.withColumn("__cy", F.floor(F.col(lat) / cell)).withColumn("__cx", F.floor(F.col(lon) / cell))
-    return placed.join(reached, ["__cy", "__cx"]).drop("__cy", "__cx")
+    close = box_distance_m(F.col(lat), F.col(lon), (lat0, lat1, lon0, lon1)) <= reach_m
+    return placed.join(reached, ["__cy", "__cx"]).filter(close).drop("__cy", "__cx")
+
+
+def with_footprint_distance(pairs: DataFrame, *, lat: str, lon: str, ring: str, reach_m: float,
+                            out: str = "distance_m") -> DataFrame:
+    """Exact distance of each candidate pair, computed once, and the radius filter."""
+    # an explode of one value keeps the filter from repeating the costly expression
+    value = F.array(footprint_distance_m(F.col(lat), F.col(lon), F.col(ring)))
+    return pairs.withColumn(out, F.explode(value)).filter(F.col(out) <= reach_m)
 
 
 def building_score(distance: Column, inside: Column, address: Column, house: Column, street: Column,

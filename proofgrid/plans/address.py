@@ -57,10 +57,11 @@ FACTS = """
 
 
 def scored(t):
-    c = candidates(t).join(requests(t), F.col("l_orderkey") == F.col("o_orderkey"))
+    parsed = requests(t).withColumn("request", adr.parsed_request(F.col("address")))
+    c = candidates(t).join(parsed, F.col("l_orderkey") == F.col("o_orderkey"))
     cols = {n: F.col(n) for n in ("lat", "lon", "name", "display_name", "importance", "house_number", "road",
                                   "locality", "state", "postcode")}
-    return c.withColumn("score", adr.candidate_score(F.col("address"), cols))
+    return c.withColumn("score", adr.candidate_score(F.col("request"), cols))
 
 
 @query("a01_address_text_match", """

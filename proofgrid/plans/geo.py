@@ -55,9 +55,8 @@ NEAR = """
 def near(t):
     pairs = geo.grid_pairs(points(t), buildings(t), lat="lat", lon="lon", bounds=("lat0", "lat1", "lon0", "lon1"),
                            reach_m=geo.BUILDING_RADIUS_M)
-    pairs = pairs.withColumn("dist", geo.footprint_distance_m(F.col("lat"), F.col("lon"), F.col("ring")))
-    pairs = pairs.filter(F.col("dist") <= geo.BUILDING_RADIUS_M)
-    inside = geo.inside_ring(F.col("lat"), F.col("lon"), F.col("ring"))
+    pairs = geo.with_footprint_distance(pairs, lat="lat", lon="lon", ring="ring", reach_m=geo.BUILDING_RADIUS_M, out="dist")
+    inside = F.col("dist") == 0
     return pairs.withColumn("score", geo.building_score(F.col("dist"), inside, F.col("address"), F.col("house"),
                                                         F.col("street"), F.col("post")))
 

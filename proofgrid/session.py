@@ -20,6 +20,9 @@ def local_session(cpus: str | int | None = None, shuffle_partitions: int = 8) ->
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # small files and small shuffles still use every local core
+        .config("spark.sql.files.maxPartitionBytes", "4MB")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
