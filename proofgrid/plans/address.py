@@ -28,7 +28,7 @@ def requests(t):
 def candidates(t):
     """The gazetteer rows a request brought back: one per order line."""
     s = F.col("l_suppkey")
-    return t.lineitem.select(
+    return t.spread("lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", F.col("l_partkey"),
         F.when(s % 50 != 7, F.lit("40.5")).alias("lat"), F.when(s % 50 == 9, "n/a").otherwise("-74.0").alias("lon"),
         F.when(s % 6 == 0, "Harbor Tower").alias("name"), F.concat(F.lit("Place "), s.cast("string")).alias("display_name"),

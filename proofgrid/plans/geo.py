@@ -13,7 +13,7 @@ HALF = 0.0002
 def points(t):
     """Customers as address points."""
     k = F.col("c_custkey")
-    return t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+    return t.spread("customer").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey", (F.lit(40.0) + (k % 100) * 0.001 + (k % 3) * 0.00017).alias("lat"),
         (F.lit(-74.0) + F.floor(k / 100) * 0.00008).alias("lon"),
         F.concat((k % 7 + 1).cast("string"), F.lit(" "), F.lower("n_name"), F.lit(" St, 1000"), (k % 2).cast("string")).alias("address"))

@@ -19,7 +19,7 @@ def cloud(t):
     """Every line is a point seen by a frame of its supplier's scene."""
     q, p = F.col("l_quantity"), F.col("l_partkey")
     idx = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")])
-    return t.lineitem.select(
+    return t.spread("lineitem").select(
         F.col("l_suppkey").alias("scene"), (F.col("l_linenumber") % 3).alias("frame"), idx.alias("idx"),
         ((p % 64) / 16.0 - 2).alias("x"), ((F.col("l_orderkey") % 48) / 16.0 - 1.5).alias("y"), (q / 10).alias("z"),
         F.log(F.col("l_tax") * 0.1 + 0.002).alias("s0"), F.log(q / 400 + 0.004).alias("s1"), F.log(F.col("l_discount") * 0.2 + 0.01).alias("s2"),
@@ -132,7 +132,7 @@ def q07(t):
     k as (select *, row_number() over (partition by scene order by d, i1)::int match_rank, count(*) over (partition by scene) m from v where rv = 1)
     select scene, i1, i2, match_rank from k where m >= 12 and match_rank <= 1200""")
 def q09(t):
-    base = t.lineitem.select(F.col("l_suppkey").alias("scene"), (F.col("l_linenumber") % 2).alias("side"), F.concat_ws("-", *[
+    base = t.spread("lineitem").select(F.col("l_suppkey").alias("scene"), (F.col("l_linenumber") % 2).alias("side"), F.concat_ws("-", *[
         F.col(n).cast("string") for n in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")]).alias("idx"),
         ((F.col("l_partkey") % 97) * 0.05).alias("x"), ((F.col("l_orderkey") % 89) * 0.05).alias("y"), (F.col("l_quantity") * 0.01).alias("z"),
         F.lit(0.0).alias("nx"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nz"), F.lit(0.5).alias("r"), F.lit(0.5).alias("g"), F.lit(0.5).alias("b"))
