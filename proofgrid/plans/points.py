@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from proofgrid.operators import points as pt
+from proofgrid.operators.posegraph import refine_poses
 from proofgrid.operators.ranking import even_sample, weighted_median
 from proofgrid.plans.registry import query
 
@@ -295,3 +296,25 @@ def q24(t):
     frames = l.groupBy("scene", "l_linenumber").agg(F.bool_or(F.col("l_discount") > 0.03).alias("placed"))
     out = pt.scene_summary(frames, l.withColumn("confidence", F.col("l_tax")), l, scene="scene")
     return out.select("scene", "frames", "connected", *r6("mean_tree_confidence"), "points", "status", "representative")
+
+
+@query("q08_refined_poses")
+def q08(t):
+    """Three cameras per supplier in a loop that does not quite close; lines are shared points."""
+    z, o, k = F.lit(0.0), F.lit(1.0), F.col("s_suppkey")
+    def shift(x):
+        return F.array(o, z, z, x, z, o, z, z, z, z, o, z, z, z, z, o)
+
+    pose = cams(t).select("scene", "frame", shift(F.col("frame") * 1.0).alias("pose"))
+    i = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    e = t.supplier.select(k.alias("scene"), i.alias("i"))
+    e = e.select("scene", F.when(F.col("i") == 1, 1).otherwise(0).alias("a"), F.when(F.col("i") == 0, 1).otherwise(2).alias("b"),
+                 shift(F.when(F.col("i") == 2, F.lit(2.1) + F.col("scene") % 7 * 0.02).otherwise(F.lit(1.0))).alias("transform"), F.lit(0.9).alias("confidence"))
+    c = cloud(t).select("scene", "idx", "x", "y", "z", (F.col("frame") % 3).alias("i"))
+    p = c.select("scene", F.when(F.col("i") == 1, 1).otherwise(0).alias("a"), F.when(F.col("i") == 0, 1).otherwise(2).alias("b"), "idx",
+                 (F.col("x") + F.when(F.col("i") == 2, 2.1).otherwise(1.03)).alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"),
+                 F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
+    anchors = t.supplier.select(k.alias("scene"), F.lit(0).alias("anchor"))
+    poses, report = refine_poses(pose, e, p, anchors, scene=["scene"], frame="frame", rounds=4)
+    out = poses.join(report, "scene")
+    return out.select("scene", "frame", F.round(F.col("pose")[3], 4).alias("px"), "optimised", *r6("point_before", "point_after", digits=4))
