@@ -82,7 +82,8 @@ def scene_labels(scenes: DataFrame, photos: DataFrame, *, case: str, scene: str,
             .when(F.col("is_fallback") | (F.col("mode") == "single_image"), "Unclassified view").otherwise("Observed scene"))
     s = s.withColumn("base", base).withColumn("__plan", plan)
     totals = s.filter(~F.col("__plan")).groupBy(case, "base").agg(F.count(F.lit(1)).alias("__total"))
-    ranked = number_rows(s, [case, "base", "__plan"], [F.coalesce("__order", F.lit(2**53)), F.col(created), F.col(scene)], "__rn")
+    s = s.withColumn("__order", F.coalesce("__order", F.lit(2**53)))
+    ranked = number_rows(s, [case, "base", "__plan"], [F.col("__order"), F.col(created), F.col(scene)], "__rn", F.col("__order"))
     out = join_back(ranked, totals, [case, "base"])
     text = F.concat(F.col("base"), F.when(F.col("__total") > 1, F.concat(F.lit(" "), F.col("__rn").cast("string"))).otherwise(""),
                     F.lit(" · "), F.col("views").cast("string"), F.when(F.col("views") == 1, " view").otherwise(" views"))
@@ -104,8 +105,10 @@ def ordered_scenes(nodes: DataFrame, *, case: str, node: str, scene: str) -> Dat
     rank = F.when(F.col("kind") == "exterior", 0)
     for name, r in FLOOR_RANK.items():
         rank = rank.when(F.col("floor_label") == name, r)
-    one = one.withColumn("__f", rank.otherwise(5)).withColumn("__t", F.coalesce("room_type", "kind"))
-    return number_rows(one, [case], [F.col("__f"), F.col("__t"), natural_key(F.col("label")), F.col(node)], "place").drop("__f", "__t")
+    one = one.withColumn("__f", rank.otherwise(5)).withColumn("__t", F.coalesce("room_type", "kind")) \
+        .withColumn("__k", natural_key(F.col("label")))
+    return number_rows(one, [case], [F.col("__f"), F.col("__t"), F.col("__k"), F.col(node)], "place",
+                       F.struct("__f", "__t", F.substring("__k", 1, 28))).drop("__f", "__t", "__k")
 
 
 def dashboard(cases: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from proofgrid.functions.numeric import (add, clamp, dist3, mat4_mul, mat4_point
                                          similarity_inverse, similarity_scale)
 from proofgrid.functions.text import let
 from proofgrid.session import cut_lineage
-from proofgrid.operators.ranking import (even_sample, exact_median, exact_quantile, first_by, join_back, top_k,
+from proofgrid.operators.ranking import (even_sample, exact_median, exact_quantile, first_by, join_back, number_rows, top_k,
                                          upper_median, weighted_median, with_group_stats)
 
 # Tolerances, limits and weights of the registration steps.
@@ -109,16 +109,14 @@ def with_residuals(pairs: DataFrame, fits: DataFrame, *, keys: list[str], transf
 
 
 def robust_similarity(pairs: DataFrame, *, keys: list[str], order: list[Column], iterations: int = 1200,
-                      seed: int = 20260716, block_rows: int = 8192) -> DataFrame:
+                      seed: int = 20260716, block_rows: int = 8192, slice_by: Column | None = None) -> DataFrame:
     """Q04: consensus similarity per pair: best of ``iterations`` seeded triples, refitted on its inliers.
 
     Triples are drawn by row position from a generator seeded with the pair
     key, so partitioning cannot change them.  Hypotheses are scored on blocks
     of rows and the block scores summed, so a pair of any size is spread.
     """
-    from proofgrid.operators.ranking import number_rows
-
-    rows = number_rows(pairs, keys, order, "__rn")
+    rows = number_rows(pairs, keys, order, "__rn", slice_by)
     facts = join_back(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")),
                       exact_median(rows.withColumn("__az", F.col("az")), keys, "__az", "__mz", 1024), keys)
     facts = facts.filter("__n >= 3").withColumn("__limit", F.greatest(F.lit(0.08), F.col("__mz") * 0.05)) \
@@ -175,9 +173,10 @@ def robust_similarity(pairs: DataFrame, *, keys: list[str], order: list[Column],
     return out.withColumnRenamed("n", "inliers").withColumn("scale", similarity_scale(F.col("transform")))
 
 
-def kept_inliers(inliers: DataFrame, *, keys: list[str], order: list[Column], limit: int = KEPT_INLIERS) -> DataFrame:
+def kept_inliers(inliers: DataFrame, *, keys: list[str], order: list[Column], limit: int = KEPT_INLIERS,
+                 slice_by: Column | None = None) -> DataFrame:
     """Q03: at most 512 evenly spaced inliers per pair."""
-    return even_sample(inliers, keys, order, limit)
+    return even_sample(inliers, keys, order, limit, slice_by=slice_by)
 
 
 def matrix_quaternion(m: Column, scale: Column) -> tuple[Column, Column, Column, Column]:
@@ -547,22 +546,49 @@ def calibrate_cameras(cameras: DataFrame, constraints: DataFrame, anchors: DataF
                        F.when(F.col(frame) == F.col("anchor"), 1.0).otherwise(score).alias("confidence_score"))
 
 
+def nearest_distance(queries: DataFrame, targets: DataFrame, *, keys: list[str], query: str, target: str,
+                     out: str, others_only: bool = False, reach: float = 2.0) -> DataFrame:
+    """Exact distance to the nearest target of the same group, without pairing a group with itself.
+
+    A round looks into the 27 cells around each query and settles those with a
+    target within one cell width; the rest go on with twice the width.  Queries
+    of groups without any (other) target drop out first.
+    """
+    xyz = ("px", "py", "pz")
+    enough = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= (2 if others_only else 1))
+    left = cut_lineage(queries.select(*keys, query, *xyz).join(enough.select(*keys), keys, "left_semi"))
+    pool = cut_lineage(targets.select(*keys, F.col(target).alias("__t"), *[F.col(c).alias(f"__{c}") for c in xyz]))
+    steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((i, j, k), xyz, strict=True)])
+                                for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
+    cells = [f"__c{c}" for c in xyz]
+    done = None
+    while left.limit(1).count():
+        spread = pool.withColumn("__s", steps).select(*keys, "__t", *[f"__{c}" for c in xyz], *[
+            (F.floor(F.col(f"__{c}") / reach) + F.col(f"__s.{c}")).alias(f"__c{c}") for c in xyz])
+        aimed = left.select("*", *[F.floor(F.col(c) / reach).alias(f"__c{c}") for c in xyz])
+        pairs = aimed.join(spread, [*keys, *cells])
+        if others_only:
+            pairs = pairs.filter(F.col(query) != F.col("__t"))
+        d = dist3(*[F.col(c) for c in xyz], *[F.col(f"__{c}") for c in xyz])
+        found = cut_lineage(pairs.groupBy(*keys, query).agg(F.min(d).alias(out)).filter(F.col(out) <= reach))
+        done = found if done is None else done.unionByName(found)
+        left = cut_lineage(left.join(found.select(*keys, query), [*keys, query], "left_anti"))
+        reach *= 2
+    return done if done is not None else left.select(*keys, query, F.lit(0.0).alias(out))
+
+
 def capture_envelope(cameras: DataFrame, queries: DataFrame, *, scene: str, camera: str, query: str) -> DataFrame:
     """Q22: whether a position lies outside the captured region of its scene.
 
     Radius is three times the upper median of nearest-camera spacing, at least
-    two metres.  Cameras of a scene are few, positions may be many.
+    two metres.  A scene needs two cameras.
     """
-    def cam(tag):
-        return cameras.select(scene, F.col(camera).alias(f"c{tag}"), *[F.col(c).alias(f"{c}{tag}") for c in ("px", "py", "pz")])
-
-    d = dist3(*[F.col(f"{c}1") for c in ("px", "py", "pz")], *[F.col(f"{c}2") for c in ("px", "py", "pz")])
-    spacing = cam(1).join(cam(2), scene).filter("c1 <> c2").groupBy(scene, "c1").agg(F.min(d).alias("spacing"))
+    spacing = nearest_distance(cameras, cameras, keys=[scene], query=camera, target=camera, out="spacing", others_only=True)
     mids = upper_median(spacing, [scene], "spacing", "__mid", 1024)
     radius = mids.select(scene, F.greatest(F.lit(2.0), F.col("__mid") * 3).alias("measured_radius"))
-    q = queries.select(scene, query, *[F.col(c).alias(f"{c}1") for c in ("px", "py", "pz")])
-    nearest = q.join(cam(2), scene).groupBy(scene, query).agg(F.min(d).alias("nearest_distance"))
-    return nearest.join(radius, scene).withColumn("outside", F.col("nearest_distance") > F.col("measured_radius"))
+    near = nearest_distance(queries.join(radius.select(scene), scene, "left_semi"), cameras, keys=[scene], query=query,
+                            target=camera, out="nearest_distance")
+    return near.join(radius, scene).withColumn("outside", F.col("nearest_distance") > F.col("measured_radius"))
 
 
 def scene_summary(frames: DataFrame, tree: DataFrame, points: DataFrame, *, scene: str) -> DataFrame:

@@ -85,7 +85,7 @@ def known_pairs(t, outliers=False):
 @query("q04_robust_similarity", """
     select label as pair, count(*) as matches, count(*) filter (vec_id % 4 <> 3) as inliers, 1.13::double as scale, 0.0::double as rmse from embeddings group by label""")
 def q04(t):
-    out = pt.robust_similarity(known_pairs(t, True), keys=["pair"], order=[F.col("vec_id")], iterations=200)
+    out = pt.robust_similarity(known_pairs(t, True), keys=["pair"], order=[F.col("vec_id")], iterations=200, slice_by=F.floor(F.col("vec_id") / 1000))
     return out.select("pair", "matches", "inliers", *r6("scale", "rmse"))
 
 
@@ -315,6 +315,6 @@ def q08(t):
                  (F.col("x") + F.when(F.col("i") == 2, 2.1).otherwise(1.03)).alias("ax"), F.col("y").alias("ay"), F.col("z").alias("az"),
                  F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
     anchors = t.supplier.select(k.alias("scene"), F.lit(0).alias("anchor"))
-    poses, report = refine_poses(pose, e, p, anchors, scene=["scene"], frame="frame", rounds=4)
+    poses, report = refine_poses(pose, e, p, anchors, scene=["scene"], frame="frame", rounds=2)
     out = poses.join(report, "scene")
     return out.select("scene", "frame", F.round(F.col("pose")[3], 4).alias("px"), "optimised", *r6("point_before", "point_after", digits=4))

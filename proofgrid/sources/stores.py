@@ -251,8 +251,12 @@ def geojson_polygon(properties: Column, ring: Column) -> Column:
 
 
 def natural_order(df: DataFrame, *, keys: list[str], name: str, rank: str = "rank") -> DataFrame:
-    """Position of each file of a batch in natural name order."""
-    return number_rows(df.withColumn("__k", natural_key(F.col(name))), keys, [F.col("__k"), F.col(name)], rank) \
-        .drop("__k")
+    """Position of each file of a batch in natural name order.
+
+    A prefix never sorts after the longer key, so key prefixes are the slices
+    over which a huge batch is spread.
+    """
+    keyed = df.withColumn("__k", natural_key(F.col(name)))
+    return number_rows(keyed, keys, [F.col("__k"), F.col(name)], rank, F.substring("__k", 1, 28)).drop("__k")
 
 
