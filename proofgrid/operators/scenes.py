@@ -508,21 +508,26 @@ def local_room_edges(nodes: DataFrame, *, artifact: list[str], node: str, links:
                          F.least(F.lit(0.72), F.col(f"{confidence}_a")).alias("confidence_score"))
 
 
-def bridge_edges(nodes: DataFrame, *, case: str, artifact: str, node: str, sources: str, links: str) -> DataFrame:
-    """Nodes of different artifacts that share source frames, one verified edge per pair.
+def bridge_edges(sources: DataFrame, nodes: DataFrame, *, case: str, artifact: str, node: str, source: str,
+                 links: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes of different artifacts that share source frames: one verified edge per pair, and its citations.
 
-    A source frame is shared by the few batches it bridges, so the join on
-    (case, source) stays linear in the number of node sources.
+    ``sources`` holds one row per (case, node, source).  A source frame is
+    shared by the few batches it bridges, so the join on (case, source) stays
+    linear in the number of rows.
     """
-    flat = nodes.select(case, F.col(artifact).alias("__art"), F.col(node).alias("__n"), F.col(links).alias("__l"),
-                        F.explode(F.array_distinct(sources)).alias("source"))
-    left = flat.select(case, "source", F.col("__n").alias("a"), F.col("__art").alias("__aa"), F.col("__l").alias("__la"))
-    right = flat.select(case, "source", F.col("__n").alias("b"), F.col("__art").alias("__ab"), F.col("__l").alias("__lb"))
-    pairs = left.join(right, [case, "source"]).filter("a < b and __aa <> __ab")
-    merged = pairs.groupBy(case, "a", "b").agg(
-        F.array_sort(F.collect_set("source")).alias("sources"), F.max(F.array_union("__la", "__lb")).alias("__l"))
-    return merged.select(case, "a", "b", "sources", traversal(F.col("__l")).alias("traversal"),
-                         F.lit(0.1).alias("distance_m"), F.lit(0.82).alias("confidence_score"))
+    flat = sources.select(case, F.col(node).alias("__n"), F.col(source).alias("source")).distinct() \
+        .join(nodes.select(case, F.col(node).alias("__n"), F.col(artifact).alias("__art")), [case, "__n"])
+    left = flat.select(case, "source", F.col("__n").alias("a"), F.col("__art").alias("__aa"))
+    right = flat.select(case, "source", F.col("__n").alias("b"), F.col("__art").alias("__ab"))
+    cited = left.join(right, [case, "source"]).filter("a < b and __aa <> __ab").select(case, "a", "b", "source")
+    def end(n):
+        return nodes.select(case, F.col(node).alias(n), F.col(links).alias(f"__l{n}"))
+
+    edges = cited.groupBy(case, "a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    edges = edges.join(end("a"), [case, "a"]).join(end("b"), [case, "b"])
+    return edges.select(case, "a", "b", "shared", traversal(F.array_union("__la", "__lb")).alias("traversal"),
+                        F.lit(0.1).alias("distance_m"), F.lit(0.82).alias("confidence_score")), cited
 
 
 def floor_presentation(hint: Column, observed: Column) -> Column:

@@ -298,10 +298,11 @@ def m18(t):
     with n as (select distinct l_suppkey s, s_nationkey art, l_orderkey src from lineitem join supplier on s_suppkey = l_suppkey)
     select x.s as a, y.s as b, count(*) as shared, case when x.s % 5 = 0 or y.s % 5 = 0 then 'stair_up' else 'door' end as traversal from n x join n y on x.src = y.src and x.s < y.s and x.art <> y.art group by all""")
 def m19(t):
-    n = t.lineitem.groupBy("l_suppkey").agg(F.collect_set("l_orderkey").alias("sources")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select(
-        F.lit(1).alias("case_id"), "l_suppkey", "s_nationkey", "sources", F.array(F.when(F.col("l_suppkey") % 5 == 0, "stair_up").otherwise("door")).alias("links"))
-    out = sc.bridge_edges(n, case="case_id", artifact="s_nationkey", node="l_suppkey", sources="sources", links="links")
-    return out.select("a", "b", F.size("sources").cast("bigint").alias("shared"), "traversal")
+    src = t.lineitem.select(F.lit(1).alias("case_id"), "l_suppkey", "l_orderkey")
+    n = t.supplier.select(F.lit(1).alias("case_id"), F.col("s_suppkey").alias("l_suppkey"), "s_nationkey",
+                          F.array(F.when(F.col("s_suppkey") % 5 == 0, "stair_up").otherwise("door")).alias("links"))
+    edges, _ = sc.bridge_edges(src, n, case="case_id", artifact="s_nationkey", node="l_suppkey", source="l_orderkey", links="links")
+    return edges.select("a", "b", "shared", "traversal")
 
 
 @query("m20_node_labels", """
