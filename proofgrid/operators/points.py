@@ -374,11 +374,12 @@ def cross_view_votes(points: DataFrame, cameras: DataFrame, depth: DataFrame, *,
     buffer = depth.select(scene, F.col(frame).alias("__tf"), "u", "v", F.col("z").cast("double").alias("__ref"))
     seen = aimed.join(buffer, [scene, "__tf", "u", "v"])
     tol = F.greatest(F.lit(VIEW_TOLERANCE[0]), F.col("__ref") * VIEW_TOLERANCE[1])
-    votes = seen.groupBy(scene, frame, idx).agg(
-        F.count(F.lit(1)).alias("observed"), F.count_if(F.abs(F.col("__z") - F.col("__ref")) <= tol).alias("supported"),
+    # every point adds an empty row, so unseen ones come out of the same aggregate
+    cols = [scene, frame, idx, "__z", "__ref"]
+    empty = points.select(scene, frame, idx, F.lit(None).cast("double").alias("__z"), F.lit(None).cast("double").alias("__ref"))
+    out = seen.select(*cols).unionByName(empty).groupBy(scene, frame, idx).agg(
+        F.count("__ref").alias("observed"), F.count_if(F.abs(F.col("__z") - F.col("__ref")) <= tol).alias("supported"),
         F.count_if(F.col("__z") < F.col("__ref") - tol).alias("contradicted"))
-    out = points.select(scene, frame, idx).join(votes, [scene, frame, idx], "left").na.fill(
-        0, ["observed", "supported", "contradicted"])
     return join_back(out, needed, [scene]).withColumn("removed", (
         (F.col("observed") >= F.col("__need")) & (F.col("supported") == 0)
         & (F.col("contradicted") == F.col("observed")))).withColumnRenamed("__need", "required")
