@@ -277,7 +277,7 @@ def admitted_zones(zones: DataFrame, *, touches: Column, area: str, drawing_area
 
 
 def label_zones(zones: DataFrame, tokens: DataFrame, *, keys: list[str], zone: str, box: tuple[str, str, str, str], area: str,
-                inside: Column | None = None, limit: int = MAX_ZONES) -> DataFrame:
+                inside: Column | None = None, limit: int = MAX_ZONES, slice_by: Column | None = None) -> DataFrame:
     """best-scored room label inside each zone, else an unlabelled number; largest zones first.
 
     ``inside`` is the exact polygon test on the joined (token, zone) row; the
@@ -287,7 +287,7 @@ def label_zones(zones: DataFrame, tokens: DataFrame, *, keys: list[str], zone: s
     hits = box_hits(rooms, zones, keys=keys, x="cx", y="cy", box=box)
     hits = hits if inside is None else hits.filter(inside)
     best = hits.groupBy(*keys, zone).agg(F.max_by(F.struct("text", "score"), F.struct("score", -F.col("pos"))).alias("__l"))
-    ranked = number_rows(zones, keys, [F.col(zone)], "__n")
+    ranked = number_rows(zones, keys, [F.col(zone)], "__n", slice_by)
     named = join_back(ranked, best, [*keys, zone])
     named = named.withColumn("label", F.coalesce("__l.text", F.concat(F.lit("Unlabeled space "), F.col("__n").cast("string")))) \
         .withColumn("label_source", F.when(F.col("__l").isNull(), "geometry_only").otherwise("plan_ocr")) \

@@ -169,7 +169,8 @@ ZONES = """zn as (select c_custkey % 50 + 1 sheet, c_custkey as zone, (c_custkey
     b as (select zn.sheet, zn.zone, arg_max((k, score), (score, -pos)) best from zn join tk on tk.sheet = zn.sheet and k in (0, 4) and cx between zl and zl + w and cy between zt and zt + h group by all)
     select rk.sheet, rk.zone, zone_rank, coalesce(case best[1] when 0 then 'KITCHEN' when 4 then 'BED ROOM' end, 'Unlabeled space ' || rn) as label from rk left join b on b.sheet = rk.sheet and b.zone = rk.zone where zone_rank <= 30""")
 def f09(t):
-    out = dr.label_zones(zones(t), tokens(t), keys=["sheet"], zone="zone", box=("zl", "zt", "zr", "zb"), area="area")
+    out = dr.label_zones(zones(t), tokens(t), keys=["sheet"], zone="zone", box=("zl", "zt", "zr", "zb"), area="area",
+                         slice_by=F.floor(F.col("zone") / 10_000))
     return out.select("sheet", "zone", "zone_rank", "label")
 
 
