@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proofgrid.session import ensure_checkpoint_dir
@@ -64,3 +64,19 @@ def long_lists(parts: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64, copy=False)))
+
+
+def numbered(df: DataFrame, keys: list[str], largest: int, slice_rows: int = 20_000) -> DataFrame:
+    """Add ``rank``, 0-based within ``keys``; ``largest`` is the row count of the largest key.
+
+    ``df`` must be a scan of stored files.  Rows are dealt to slices of each key by their place in the files, numbered
+    there, and shifted by the counts of the earlier slices: no window sees more than a slice of a hot key.
+    """
+    parts = max(16, 2 * largest // slice_rows)
+    sliced = located(df).withColumn("__slice", F.pmod(F.xxhash64("__loc"), F.lit(parts)))
+    counts = sliced.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select(*keys, "__slice", (F.sum("__n").over(Window.partitionBy(*keys).orderBy("__slice"))
+                                              - F.col("__n")).alias("__before"))
+    within = Window.partitionBy(*keys, "__slice").orderBy("__loc")
+    return sliced.withColumn("__r", F.row_number().over(within)).join(before, [*keys, "__slice"]) \
+        .withColumn("rank", F.col("__r") - 1 + F.col("__before")).drop("__slice", "__loc", "__r", "__before")

@@ -20,12 +20,11 @@ from collections import defaultdict, deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import located, map_arrow, stored
+from proofgrid.llm.common import map_arrow, numbered, stored
 
-SLICE_ROWS = 20_000  # pieces of one length that one window numbers, about
 SLOT_ROWS = 10_000  # slots that one row of the plan stands for, at most
 
 
@@ -127,14 +126,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, siz
         .select("length", "rank", "first", "offset", F.explode(F.sequence(F.lit(0), F.col("number") - 1)).alias("d")) \
         .select("length", (F.col("rank") + F.col("d")).alias("rank"), (F.col("first") + F.col("d")).alias("sequence_id"),
                 "offset")
-    parts = max(16, 2 * max(histogram.values(), default=0) // SLICE_ROWS)
-    sliced = located(cutup).withColumn("slice", F.pmod(F.xxhash64("__loc"), F.lit(parts)))
-    counts = sliced.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("length", "slice", (F.sum("n").over(Window.partitionBy("length").orderBy("slice"))
-                                               - F.col("n")).alias("before"))
-    within = Window.partitionBy("length", "slice").orderBy("__loc")
-    ranked = sliced.withColumn("r", F.row_number().over(within)).join(before, ["length", "slice"]) \
-        .withColumn("rank", F.col("r") - 1 + F.col("before"))
+    ranked = numbered(cutup, ["length"], max(histogram.values(), default=0))
     columns = [F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return ranked.join(slots, ["length", "rank"]).select(*columns, *["ids"] * keep_ids)
 
