@@ -27,15 +27,20 @@ def tokens(text: Column, keep: str = "a-z0-9") -> Column:
     return F.filter(parts, lambda t: t != "")
 
 
+def _numeric(run: Column) -> Column:
+    digits = F.ltrim(run, F.lit("0"))
+    return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+
 def natural_key(name: Column) -> Column:
     """Sort key under which digit runs compare as numbers, ignoring case.
 
-    Each run of digits is left-padded to 20 places, so ``img2`` sorts before
-    ``img10``.
+    Each run of digits is preceded by its length without leading zeros, so
+    ``img2`` sorts before ``img10``, however long the runs are.
     """
     runs = F.regexp_extract_all(F.lower(name), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
     return F.array_join(
-        F.transform(runs, lambda r: F.when(r.rlike("^[0-9]+$"), F.lpad(r, 20, "0")).otherwise(r)), ""
+        F.transform(runs, lambda r: F.when(r.rlike("^[0-9]+$"), _numeric(r)).otherwise(r)), ""
     )
 
 

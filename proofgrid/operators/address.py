@@ -305,8 +305,10 @@ def query_variants(*candidates: Column) -> Column:
 
 
 def title_case(text: Column) -> Column:
-    """Capitalise every word; six state codes stay upper case."""
-    out = F.initcap(F.lower(text))
+    """Capitalise after every non-word character; six state codes stay upper case."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\w+|\W+)"), F.lit(1))
+    out = F.array_join(F.transform(runs, lambda r: F.concat(
+        F.upper(F.substring(r, 1, 1)), F.right(r, F.length(r) - 1))), "")
     for code in STATE_ALIASES:
         out = F.regexp_replace(out, rf"\b{code.capitalize()}\b", code)
     return out

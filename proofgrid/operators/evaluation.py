@@ -13,6 +13,7 @@ from proofgrid.operators.ranking import join_back
 AT_LEAST = {"registration_recall": ("recall", "min_recall"), "registration_precision": ("precision", "min_precision"),
             "gaussian_count": ("gaussian_count", "min_gaussians"), "overlap_color_samples": ("color_samples", "min_color_samples"),
             "cross_view_support": ("cross_view_support", "min_cross_view")}
+COUNTS = ("gaussian_count", "overlap_color_samples")  # a missing count is zero
 AT_MOST = {"point_rmse": ("point_after", "max_point_rmse")}
 # check: (requirement, flag or None, before, after)
 IMPROVES = {"pose_graph_improved": ("require_pose", None, "pose_before", "pose_after"),
@@ -58,7 +59,7 @@ def threshold_checks(metrics: DataFrame, *, dataset: str) -> DataFrame:
     false = F.lit(False)
     checks: dict[str, Column] = {}
     for name, (m, t) in AT_LEAST.items():
-        value = F.coalesce(F.col(m), F.lit(0.0)) if name == "overlap_color_samples" else F.col(m)
+        value = F.coalesce(F.col(m), F.lit(0.0)) if name in COUNTS else F.col(m)
         checks[name] = F.col(t).isNull() | F.coalesce(value >= F.col(t), false)
     for name, (m, t) in AT_MOST.items():
         checks[name] = F.col(t).isNull() | F.coalesce(F.col(m) <= F.col(t), false)

@@ -1,77 +1,21 @@
 """Graph primitives: components, spanning forests, frontier walks.
 
 Every function takes edges of many graphs at once; ``group`` names the graph.
-Graphs with few edges are solved one per group in a small kernel (one shuffle
-in all); graphs above the limit are solved by rounds of joins over all of them
-together, so no graph has to fit in one task.
+All graphs are solved together by rounds of joins, whatever their size, so no
+graph has to fit in one task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from proofgrid.functions.numeric import mat4_mul, similarity_inverse
-from proofgrid.operators.ranking import with_group_stats
 from proofgrid.session import cut_lineage
 
-SMALL_GRAPH_EDGES = 20_000
 MAX_ROUNDS = 200
 
 
-def _split_by_size(edges: DataFrame, group: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
-    sized = with_group_stats(edges, group, __edges=F.count(F.lit(1)))
-    return sized.filter(F.col("__edges") <= limit).drop("__edges"), \
-        sized.filter(F.col("__edges") > limit).drop("__edges")
-
-
-def map_whole_groups(df: DataFrame, group: list[str], fn, schema: T.StructType, order: list[str] = ()) -> DataFrame:
-    """Run ``fn`` on chunks of complete groups, rows sorted by group and ``order``.
-
-    One shuffle; a chunk holds as many groups as an Arrow batch does, so tiny
-    groups share a call.  Only for groups of bounded size.
-    """
-    def run(batches):
-        held = None
-        for pdf in batches:
-            if held is not None:
-                pdf = pd.concat([held, pdf], ignore_index=True)
-            if pdf.empty:
-                continue
-            same = pd.Series(True, index=pdf.index)
-            for g in group:
-                last = pdf[g].iloc[-1]
-                same &= pdf[g].isna() if pd.isna(last) else pdf[g] == last
-            held, head = pdf[same], pdf[~same]
-            if len(head):
-                yield fn(head)
-        if held is not None and len(held):
-            yield fn(held)
-
-    placed = df.repartition(*group).sortWithinPartitions(*group, *order)
-    return placed.mapInPandas(run, schema)
-
-
-def _rows(pdf: pd.DataFrame, cols: list[str]):
-    return zip(*[pdf[c].tolist() for c in cols], strict=True)
-
-
-def _union_find():
-    parent: dict = {}
-
-    def find(v):
-        root = v
-        while parent.setdefault(root, root) != root:
-            root = parent[root]
-        while parent[v] != root:
-            parent[v], v = root, parent[v]
-        return root
-
-    return parent, find
-
-
 def components_by_rounds(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest vertex of each vertex's component, by hooking and shortcutting.
 
@@ -98,36 +42,15 @@ def components_by_rounds(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 
 def connected_components(edges: DataFrame, *, group: list[str], a: str, b: str,
-                         vertices: DataFrame | None = None, small: int = SMALL_GRAPH_EDGES) -> DataFrame:
+                         vertices: DataFrame | None = None) -> DataFrame:
     """M06 primitive: (group..., vertex, component) where component is its smallest vertex.
 
     ``vertices`` (group..., vertex) keeps singletons.
     """
-    edges = cut_lineage(edges.select(*group, a, b))  # read several times below
-    few, many = _split_by_size(edges, group, small)
-    vertex_type = edges.schema[a].dataType
-    schema = T.StructType([*[edges.schema[g] for g in group],
-                           T.StructField("vertex", vertex_type), T.StructField("component", vertex_type)])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent, find = _union_find()
-        for *g, u, w in _rows(pdf, [*group, a, b]):
-            x, y = find((*g, u)), find((*g, w))
-            if x[-1] < y[-1]:
-                parent[y] = x
-            elif y[-1] < x[-1]:
-                parent[x] = y
-        out = [(*v, find(v)[-1]) for v in list(parent)]
-        return pd.DataFrame(out, columns=[f.name for f in schema.fields])
-
-    labels = map_whole_groups(few, group, solve, schema)
-    if many.limit(1).count():
-        tagged = many.select(F.struct(*group, F.col(a).alias("x")).alias("a"),
-                             F.struct(*group, F.col(b).alias("x")).alias("b"))
-        big = components_by_rounds(tagged)
-        labels = labels.unionByName(big.select(
-            *[F.col(f"v.{g}").alias(g) for g in group], F.col("v.x").alias("vertex"),
-            F.col("component.x").alias("component")))
+    found = components_by_rounds(edges.select(F.struct(*group, F.col(a).alias("x")).alias("a"),
+                                              F.struct(*group, F.col(b).alias("x")).alias("b")))
+    labels = found.select(*[F.col(f"v.{g}").alias(g) for g in group], F.col("v.x").alias("vertex"),
+                          F.col("component.x").alias("component"))
     if vertices is None:
         return labels
     return vertices.distinct().join(labels, [*group, "vertex"], "left").withColumn(
@@ -161,8 +84,8 @@ def forest_by_rounds(edges: DataFrame, order: str) -> DataFrame:
     return chosen_ids
 
 
-def spanning_forest(edges: DataFrame, *, group: list[str], a: str, b: str, order: list[Column], edge_id: str,
-                    small: int = SMALL_GRAPH_EDGES) -> DataFrame:
+def spanning_forest(edges: DataFrame, *, group: list[str], a: str, b: str, order: list[Column],
+                    edge_id: str) -> DataFrame:
     """M09 primitive: the edges of the best spanning forest under a total order.
 
     Taking edges best first and skipping those that close a cycle gives one
@@ -170,31 +93,13 @@ def spanning_forest(edges: DataFrame, *, group: list[str], a: str, b: str, order
     unique last key in ``order``.
     """
     edges = cut_lineage(edges)  # read several times below
-    keyed = edges.withColumn("__ord", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
-    few, many = _split_by_size(keyed, group, small)
-    id_field = T.StructField("id", edges.schema[edge_id].dataType)
-    schema = T.StructType([*[edges.schema[g] for g in group], id_field])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent, find = _union_find()
-        kept = []
-        for *g, u, v, i in _rows(pdf, [*group, "a", "b", "id"]):
-            x, y = find((*g, u)), find((*g, v))
-            if x != y:
-                parent[y] = x
-                kept.append((*g, i))
-        return pd.DataFrame(kept, columns=[f.name for f in schema.fields])
-
-    keys = [F.col(f"__ord.k{i}").alias(f"__k{i}") for i in range(len(order))]
-    sorted_edges = few.select(*group, F.col(a).alias("a"), F.col(b).alias("b"), F.col(edge_id).alias("id"), *keys)
-    ids = map_whole_groups(sorted_edges, group, solve, schema, [f"__k{i}" for i in range(len(order))])
-    if many.limit(1).count():
-        tagged = many.select(
-            F.struct(*group, F.col(edge_id).alias("x")).alias("id"), "__ord",
-            F.struct(*group, F.col(a).alias("x")).alias("a"), F.struct(*group, F.col(b).alias("x")).alias("b"))
-        big = forest_by_rounds(tagged, "__ord")
-        ids = ids.unionByName(big.select(*[F.col(f"id.{g}").alias(g) for g in group], F.col("id.x").alias("id")))
-    return edges.join(ids.withColumnRenamed("id", edge_id), [*group, edge_id], "left_semi")
+    tagged = edges.select(
+        F.struct(*group, F.col(edge_id).alias("x")).alias("id"),
+        F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("__ord"),
+        F.struct(*group, F.col(a).alias("x")).alias("a"), F.struct(*group, F.col(b).alias("x")).alias("b"))
+    found = forest_by_rounds(tagged, "__ord")
+    ids = found.select(*[F.col(f"id.{g}").alias(g) for g in group], F.col("id.x").alias(edge_id))
+    return edges.join(ids, [*group, edge_id], "left_semi")
 
 
 def compose_poses(tree: DataFrame, anchors: DataFrame, *, group: list[str], a: str, b: str, transform: str) -> DataFrame:
@@ -222,55 +127,24 @@ def compose_poses(tree: DataFrame, anchors: DataFrame, *, group: list[str], a: s
     raise RuntimeError("tree is deeper than the round limit")
 
 
-def walk_distances(cells: DataFrame, seeds: DataFrame, *, group: list[str], x: str, y: str,
-                   small: int = SMALL_GRAPH_EDGES) -> DataFrame:
+def walk_distances(cells: DataFrame, seeds: DataFrame, *, group: list[str], x: str, y: str) -> DataFrame:
     """Number of 4-neighbour steps from the seeds to every reachable cell.
 
-    ``cells`` are the passable cells.  Small grids are walked one per group;
-    larger ones advance one step per round, all together.
+    ``cells`` are the passable cells.  All groups advance one step per round.
     """
     keys = [*group, x, y]
-    marked = cells.select(*keys).distinct().join(
-        seeds.select(*keys).distinct().withColumn("__seed", F.lit(1)), keys, "left")
-    marked = cut_lineage(marked)
-    few, many = _split_by_size(marked, group, small)
-    schema = T.StructType([*[cells.schema[k] for k in keys], T.StructField("steps", T.IntegerType())])
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        steps: dict = {}
-        passable = set()
-        for *cell, seed in _rows(pdf, [*keys, "__seed"]):
-            passable.add(tuple(cell))
-            if seed == 1:
-                steps[tuple(cell)] = 0
-        edge, depth = list(steps), 0
-        while edge:
-            depth += 1
-            near = {(*g, cx + dx, cy + dy) for *g, cx, cy in edge for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))}
-            edge = [c for c in near if c in passable and c not in steps]
-            steps.update(dict.fromkeys(edge, depth))
-        return pd.DataFrame([(*c, n) for c, n in steps.items()], columns=[f.name for f in schema.fields])
-
-    done = map_whole_groups(few, group, walk, schema)
-    if many.limit(1).count():
-        done = done.unionByName(_walk_by_rounds(many.select(*keys), many.filter("__seed = 1").select(*keys), group, x, y))
-    return done
-
-
-def _walk_by_rounds(passable: DataFrame, seeds: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
-    keys = [*group, x, y]
-    frontier = cut_lineage(seeds.withColumn("steps", F.lit(0)))
+    passable = cut_lineage(cells.select(*keys).distinct())
+    frontier = cut_lineage(seeds.select(*keys).distinct().join(passable, keys, "left_semi").withColumn("steps", F.lit(0)))
     done, rounds = frontier, 0
-    while True:
+    moves = F.explode(F.array(*[F.struct((F.col(x) + dx).alias("nx"), (F.col(y) + dy).alias("ny"))
+                                for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
+    while not frontier.isEmpty():
         rounds += 1
-        moves = F.explode(F.array(*[F.struct((F.col(x) + dx).alias("nx"), (F.col(y) + dy).alias("ny"))
-                                    for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
         reached = frontier.select(*group, moves.alias("__n")).select(
             *group, F.col("__n.nx").alias(x), F.col("__n.ny").alias(y)).distinct()
         frontier = cut_lineage(reached.join(passable, keys, "left_semi").join(done, keys, "left_anti")
                                .withColumn("steps", F.lit(rounds)))
-        if not frontier.limit(1).count():
-            return done
         done = done.unionByName(frontier)
         if rounds % 32 == 0:
             done = cut_lineage(done)
+    return done

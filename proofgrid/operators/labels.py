@@ -388,10 +388,14 @@ def level_anchor(text: Column) -> Column:
     return let(F.trim(F.regexp_replace(text, r"\s+", " ")), classify)
 
 
-def site_sheets(tokens: DataFrame, *, sheet: str, text: str) -> DataFrame:
-    """A sheet is a site plan when a token says so and no token anchors a level."""
-    return tokens.groupBy(sheet).agg(
-        F.bool_or(F.col(text).rlike(r"(?i)\bSITE\s+PLAN\b")).alias("__site"),
+def site_sheets(tokens: DataFrame, *, sheet: str, text: str, position: str) -> DataFrame:
+    """A sheet is a site plan when its text says so and no token anchors a level.
+
+    The title may be split over a token and the one at the next ``position``.
+    """
+    after = tokens.select(sheet, (F.col(position) - 1).alias(position), F.col(text).alias("__next"))
+    return tokens.join(after, [sheet, position], "left").groupBy(sheet).agg(
+        F.bool_or(F.concat_ws(" ", text, "__next").rlike(r"(?i)\bSITE\s+PLAN\b")).alias("__site"),
         F.bool_or(level_anchor(F.col(text)).isNotNull()).alias("__anchored"),
     ).select(sheet, (F.col("__site") & ~F.col("__anchored")).alias("site_reference"))
 

@@ -8,6 +8,7 @@ large scene is split by adaptive skew-join because its camera rows are few.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -421,7 +422,7 @@ def colour_gains(samples: DataFrame, edges: DataFrame, *, scene: str, a: str, b:
     def lum(n):
         return add([F.col(f"{c}{n}") * w for c, w in zip("rgb", LUMINANCE, strict=True)])
 
-    clear = lum(1).between(0.08, 0.94) & lum(2).between(0.08, 0.94)
+    clear = reduce(lambda x, y: x & y, [(lum(n) > 0.08) & (lum(n) < 0.94) for n in (1, 2)])
     inside = F.forall(F.array(*[F.col(f"{c}{n}") for c in "rgb" for n in (1, 2)]), lambda v: (v > 0.025) & (v < 0.98))
     keys = [scene, a, b]
     good = samples.filter(clear & inside)
@@ -553,9 +554,15 @@ def nearest_distance(queries: DataFrame, targets: DataFrame, *, keys: list[str],
 
     A round looks into the 27 cells around each query and settles those with a
     target within one cell width; the rest go on with twice the width.  Queries
-    of groups without any (other) target drop out first.
+    of groups without any (other) target drop out first, and so do positions
+    that are not finite.
     """
     xyz = ("px", "py", "pz")
+
+    def finite(df):
+        return df.filter(reduce(lambda a, b: a & b, [F.coalesce(F.abs(c) < float("inf"), F.lit(False)) for c in xyz]))
+
+    queries, targets = finite(queries), finite(targets)
     enough = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= (2 if others_only else 1))
     left = cut_lineage(queries.select(*keys, query, *xyz).join(enough.select(*keys), keys, "left_semi"))
     pool = cut_lineage(targets.select(*keys, F.col(target).alias("__t"), *[F.col(c).alias(f"__{c}") for c in xyz]))

@@ -123,13 +123,28 @@ def allowed_navigation(url: Column) -> Column:
     return is_http(url) & F.coalesce(let(host_of(url), open_host), F.lit(False))
 
 
+OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+QUAD = rf"{OCTET}(?:\.{OCTET}){{3}}"
+
+
+def _ipv6_pattern() -> str:
+    """All ways to write an IPv6 address, with at most one run of groups left out."""
+    h = "[0-9a-f]{1,4}"
+    forms = [f"(?:{h}:){{7}}{h}", f"(?:{h}:){{1,7}}:", f":(?::{h}){{1,7}}", "::", f"(?:{h}:){{6}}{QUAD}"]
+    forms += [f"(?:{h}:){{1,{n}}}(?::{h}){{1,{7 - n}}}" for n in range(1, 7)]
+    forms += [f"::(?:{h}:){{0,5}}{QUAD}", *[f"(?:{h}:){{{n}}}:(?:{h}:){{0,{5 - n}}}{QUAD}" for n in range(1, 6)]]
+    return f"^(?:{'|'.join(forms)})$"
+
+
 def is_private_ip(address: Column) -> Column:
-    """Private or reserved address; anything that is no IP counts as private."""
+    """Private or reserved address; anything that is no IP counts as private.
+
+    Behind ``::ffff:`` only a dotted quad can be public.
+    """
     a = F.lower(address)
     mapped = F.regexp_replace(a, "^::ffff:(?=[0-9.]+$)", "")
-    octet = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    is_v4 = mapped.rlike(rf"^{octet}(\.{octet}){{3}}$")
-    is_v6 = a.rlike(r"^[0-9a-f:.]+$") & a.contains(":") & ~a.contains(":::")
+    is_v4 = mapped.rlike(f"^{QUAD}$")
+    is_v6 = a.rlike(_ipv6_pattern()) & ~a.startswith("::ffff:")
     o = F.split(mapped, r"\.")
     first, second = F.try_element_at(o, F.lit(1)).try_cast("int"), F.try_element_at(o, F.lit(2)).try_cast("int")
     v4 = (

@@ -127,7 +127,7 @@ def accept_pairs(feature: DataFrame, learned: DataFrame, *, pair: list[str]) ->
 def cell_of(x: Column, y: Column, width: Column, height: Column) -> Column:
     """Cell 0..15 of a 4x4 grid, clipped to the image."""
     def index(v, size):
-        return F.least(F.lit(3), F.greatest(F.lit(0), (v / size * 4).cast("int")))
+        return F.least(F.lit(3), F.greatest(F.lit(0), (F.try_divide(v, F.when(size > 0, size)) * 4).cast("int")))
 
     return index(y, height) * 4 + index(x, width)
 
@@ -167,7 +167,7 @@ def match_spread(points: DataFrame, *, keys: list[str], x: str, y: str, width: s
     w, h = F.col(width), F.col(height)
     facts = points.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(cell_of(F.col(x), F.col(y), w, h)).alias("cells"),
-        F.max(w * h).alias("image_area"))
+        F.max(F.when((w > 0) & (h > 0), w * h)).alias("image_area"))
     ends = points.groupBy(*keys, F.col(x).cast("double").alias("u")).agg(
         F.min(F.col(y).cast("double")).alias("lo"), F.max(F.col(y).cast("double")).alias("hi"))
     # a first hull per hashed part keeps the second one small for a huge pair
@@ -189,10 +189,10 @@ def match_spread(points: DataFrame, *, keys: list[str], x: str, y: str, width: s
         return pd.DataFrame(out)
 
     hulls = parts.groupBy(*keys, "part").applyInPandas(corners, partial).groupBy(*keys).applyInPandas(area, final)
-    few = F.col("n") < 3
+    few = (F.col("n") < 3) | ~F.coalesce(F.col("image_area") > 0, F.lit(False))
     return join_back(facts, hulls, keys).select(
         *keys, F.when(few, 0).otherwise(F.col("cells")).cast("bigint").alias("cells"),
-        F.when(few, 0.0).otherwise(F.col("hull") / F.col("image_area")).alias("hull_coverage"))
+        F.when(few, 0.0).otherwise(F.try_divide("hull", "image_area")).alias("hull_coverage"))
 
 
 def planar_dominance(matches: DataFrame, *, pair: list[str], planar: str) -> DataFrame:
@@ -271,8 +271,8 @@ def nominate_frames(frames: DataFrame, core: DataFrame, *, scene: list[str], fra
 
     Mean similarity to the core is one product with the summed core vector, so
     frames are not paired with core frames; only the core itself, at most one
-    batch of frames, is paired for its median.  Nearest captures come from an
-    equi-join on device and time bucket.
+    batch of frames, is paired for its median; its capture times per device are
+    one short array.  Frames without a device have no nearest capture.
     """
     members = frames.join(core.select(*scene, frame), [*scene, frame], "left_semi")
     others = frames.join(core.select(*scene, frame), [*scene, frame], "left_anti")
@@ -285,12 +285,11 @@ def nominate_frames(frames: DataFrame, core: DataFrame, *, scene: list[str], fra
     sums = summed.groupBy(*scene).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("__i", "__v"))), lambda s: s["__v"]).alias("__sum"))
     counts = members.groupBy(*scene).agg(F.count(F.lit(1)).alias("__core"))
-    bucket = F.floor(F.col(seconds) / SESSION_GAP_SECONDS)
-    taken = members.select(*scene, F.col(device).alias("__d"), F.col(seconds).alias("__cs"), F.explode(
-        F.array(bucket - 1, bucket, bucket + 1)).alias("__bk"))
-    gaps = others.select(*scene, frame, F.col(device).alias("__d"), F.col(seconds).alias("__os"), bucket.alias("__bk")) \
-        .join(taken, [*scene, "__d", "__bk"]).groupBy(*scene, frame).agg(
-            F.min(F.abs(F.col("__os") - F.col("__cs"))).alias("nearest_seconds"))
+    named = F.length(F.trim(F.col(device))) > 0
+    taken = members.filter(named).groupBy(*scene, F.col(device).alias("__d")).agg(F.collect_list(seconds).alias("__cs"))
+    gaps = others.filter(named).select(*scene, frame, F.col(device).alias("__d"), F.col(seconds).alias("__os")) \
+        .join(taken, [*scene, "__d"]).groupBy(*scene, frame).agg(F.min(F.array_min(F.transform(
+            "__cs", lambda c: F.abs(F.col("__os") - c)))).alias("nearest_seconds"))
     facts = join_back(join_back(join_back(others, sums, scene), counts, scene), medians, scene)
     facts = join_back(facts, gaps, [*scene, frame]).withColumn(
         "affinity", dot(F.col("__sum"), F.col(embedding)) / F.col("__core"))
@@ -303,16 +302,15 @@ def nominate_frames(frames: DataFrame, core: DataFrame, *, scene: list[str], fra
 
 # --- M09: forest, anchor
 
-def connection_tree(edges: DataFrame, *, group: list[str], a: str, b: str, confidence: str, pos: str,
-                    small: int | None = None) -> tuple[DataFrame, DataFrame]:
+def connection_tree(edges: DataFrame, *, group: list[str], a: str, b: str, confidence: str,
+                    pos: str) -> tuple[DataFrame, DataFrame]:
     """Tree edges of the strongest tree per scene, and its anchor frame.
 
     Best edges first, ties in input order; the tree is chosen by size, summed
     tree confidence and smallest member; the anchor has the highest summed tree
     confidence, ties to the lowest frame.
     """
-    extra = {} if small is None else {"small": small}
-    forest = spanning_forest(edges, group=group, a=a, b=b, order=[-F.col(confidence), F.col(pos)], edge_id=pos, **extra)
+    forest = spanning_forest(edges, group=group, a=a, b=b, order=[-F.col(confidence), F.col(pos)], edge_id=pos)
     labels = connected_components(forest, group=group, a=a, b=b)
     marked = forest.join(labels.withColumnRenamed("vertex", a), [*group, a])
     trees = marked.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("__e"), F.sum(confidence).alias("__w"))

@@ -66,14 +66,17 @@ def t02_stream(t):
 
 
 @query("t03_job_fold", """
-    with s as (select user_id, ts, case event_type when 'purchase' then case when event_id % 3 = 0 then 'ready' else 'failed' end when 'error' then case when event_id % 5 = 0 then 'failed' else 'running' end else 'running' end st from events where event_type <> 'signup' and (event_type <> 'purchase' or user_id % 3 <> 0)),
-    f as (select user_id, arg_min(st, ts) filter (st in ('ready', 'failed')) e, min(ts) filter (st in ('ready', 'failed')) ended_at, min(ts) f from s group by 1)
-    select user_id, coalesce(e, 'failed') as status, ended_at from f""")
+    with s as (select concat(user_id, '/', strftime(ts, '%Y-%m-%d-%H')) as job, ts, event_id, case event_type when 'purchase' then case when event_id % 3 = 0 then 'ready' else 'failed' end when 'error' then case when event_id % 5 = 0 then 'failed' else 'running' end else 'running' end st,
+        cast('2024-01-15 00:30:00' as timestamp) as clock from events),
+    f as (select job, clock, arg_min(st, (ts, event_id)) filter (st in ('ready', 'failed')) e, min(ts) filter (st in ('ready', 'failed')) ended_at, arg_max(st, (ts, event_id)) l, min(ts) f from s group by all)
+    select job, case when epoch(coalesce(ended_at, clock)) - epoch(f) > 1800 then 'failed' else coalesce(e, l) end as status, ended_at from f""")
 def t03(t):
     k = F.col("event_type")
     status = F.when(k == "purchase", "ready").when((k == "error") & (F.col("event_id") % 5 == 0), "failed").otherwise("running")
-    log = t.events.filter("event_type <> 'signup' and (event_type <> 'purchase' or user_id % 3 <> 0)").select("user_id", "ts", "event_id", status.alias("status"))
-    return ev.job_fold(log, job="user_id", status="status", time="ts", complete=F.col("event_id") % 3 == 0, now=F.lit("2024-03-01 00:00:00"))
+    job = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd-HH"))
+    log = t.events.select(job.alias("job"), "ts", "event_id", status.alias("status"))
+    return ev.job_fold(log, job="job", status="status", time="ts", ident="event_id", complete=F.col("event_id") % 3 == 0,
+                       now=F.lit("2024-01-15 00:30:00"), window_seconds=1800)
 
 
 @query("t04_ingest_totals", "select user_id, count(*) as files, round(sum(value), 4) as bytes, count(*) <= 65 and sum(value) <= 1400 as accepted from events group by user_id")

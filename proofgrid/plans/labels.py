@@ -107,11 +107,11 @@ def l08(t):
 
 @query("l09_pending_images", """
     with r as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id)::int pick from events where event_type <> 'error' and event_id % 3 <> 0)
-    select user_id, event_id, pick from r where pick <= 20""")
+    select user_id, event_id, pick from r where pick <= 50""")
 def l09(t):
     done = t.events.filter("event_id % 3 = 0")
     return lab.pending_images(t.events, done, case="user_id", key="event_id", order=[F.col("ts"), F.col("event_id")],
-                              eligible=F.col("event_type") != "error", limit=20).select("user_id", "event_id", "pick")
+                              eligible=F.col("event_type") != "error", limit=50).select("user_id", "event_id", "pick")
 
 
 @query("l09_analysis_stats", """
@@ -143,10 +143,10 @@ TOK = """tok as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, 1.0 - l_
 
 @query("l11_printed_labels", f"""
     with {TOK}, r as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)::int label_pos from tok where score >= 0.78 and k not in (1, 2, 4))
-    select l_orderkey, l_linenumber, l_partkey, l_suppkey, label_pos from r where label_pos <= 3""")
+    select l_orderkey, l_linenumber, l_partkey, l_suppkey, label_pos from r where label_pos <= 60""")
 def l11(t):
     order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey")]
-    return lab.printed_labels(tokens(t), sheet="l_orderkey", text="text", score="score", order=order, limit=3) \
+    return lab.printed_labels(tokens(t), sheet="l_orderkey", text="text", score="score", order=order, limit=60) \
         .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "label_pos")
 
 
@@ -167,7 +167,7 @@ def l12(t):
 @query("l12_site_sheets", f"""
     with {TOK} select l_orderkey, bool_or(k = 6) and not bool_or(k in (2, 3, 7)) as site_reference from tok group by l_orderkey""")
 def l12_sites(t):
-    return lab.site_sheets(tokens(t), sheet="l_orderkey", text="text")
+    return lab.site_sheets(tokens(t), sheet="l_orderkey", text="text", position="l_linenumber")
 
 
 @query("l13_detections", """
@@ -175,7 +175,7 @@ def l12_sites(t):
         greatest(0, least(480, (l_linenumber * 20) / 0.5)) tp, greatest(0, least(480, (l_linenumber * 50) / 0.5)) bt from lineitem where 1 - l_discount * 8 >= 0.5),
     k as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) pick from d where r - l >= 1 and bt - tp >= 1)
     select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l / 640, 4) as x, round((r - l) / 640, 4) as width, round((bt - tp) / 480, 4) as height,
-      case l_returnflag when 'A' then 'occupant' when 'R' then 'heat / gas appliance' else 'observed object' end as tactical_label from k where pick <= 4""")
+      case l_returnflag when 'A' then 'occupant' when 'R' then 'heat / gas appliance' else 'observed object' end as tactical_label from k where pick <= 30""")
 def l13(t):
     q, n = F.col("l_quantity") * 10, F.col("l_linenumber")
     d = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", q.alias("x1"), (n * 20.0).alias("y1"), (q + n * 30).alias("x2"),
@@ -183,7 +183,7 @@ def l13(t):
                           F.when(F.col("l_returnflag") == "A", "person").when(F.col("l_returnflag") == "R", "oven").otherwise("chair").alias("label"))
     out = lab.filter_detections(d, frame="l_orderkey", order=[F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")],
                                 box=("x1", "y1", "x2", "y2"), score="score", label="label", ratio=F.lit(0.5), pad_x=F.lit(40), pad_y=F.lit(0),
-                                width=F.lit(640), height=F.lit(480), threshold=0.5, limit=4)
+                                width=F.lit(640), height=F.lit(480), threshold=0.5, limit=30)
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[F.round(c, 4).alias(c) for c in ("x", "width", "height")], "tactical_label")
 
 

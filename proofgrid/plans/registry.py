@@ -20,16 +20,6 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
-        """The table for row-wise heavy work: a single unsplittable file is spread over all cores.
-
-        A table that is scanned by at least as many tasks as there are cores is
-        left as it is, so nothing is shuffled at scale.
-        """
-        df = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
 
 def query(name: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``; ``sql`` is its check."""

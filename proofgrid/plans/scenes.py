@@ -9,8 +9,8 @@ from proofgrid.operators.graph import walk_distances
 from proofgrid.plans.registry import query
 
 
-def trade_edges(t, least=35):
-    """Parts on consecutive lines of an order, both in bulk, as edges of the customer's nation."""
+def trade_edges(t, least=0):
+    """Parts on consecutive lines of an order, both of that quantity at least, as edges of the customer's nation."""
     l = t.lineitem.filter(F.col("l_quantity") >= least).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     nxt = l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("__p"), F.col("l_quantity").alias("__q"))
     pairs = l.join(nxt, ["l_orderkey", "l_linenumber"]).filter(F.col("l_partkey") != F.col("__p"))
@@ -24,13 +24,13 @@ def trade_edges(t, least=35):
 EDGES = """
     e as (select c_nationkey scene, least(x.l_partkey, y.l_partkey) a, greatest(x.l_partkey, y.l_partkey) b, max(x.l_quantity + y.l_quantity) / 100 conf
       from lineitem x join lineitem y on x.l_orderkey = y.l_orderkey and y.l_linenumber = x.l_linenumber + 1 and x.l_partkey <> y.l_partkey
-      join orders on o_orderkey = x.l_orderkey join customer on c_custkey = o_custkey
-      where x.l_quantity >= 35 and y.l_quantity >= 35 group by all)"""
+      join orders on o_orderkey = x.l_orderkey join customer on c_custkey = o_custkey group by all)"""
 
 COMPONENTS = """
     und as (select scene, a u, b w from ee union all select scene, b, a from ee),
-    reach as (select scene, u v, u l from und union select und.scene, und.w, reach.l from reach join und on und.scene = reach.scene and und.u = reach.v),
-    lab as (select scene, v, min(l) c from reach group by all),
+    lab(scene, v, c) using key (scene, v) as (select distinct scene, u, u from und union
+      select und.scene, und.w, min(l.c) from lab l join und on und.scene = l.scene and und.u = l.v
+      join recurring.lab cur on cur.scene = und.scene and cur.v = und.w where l.c < cur.c group by und.scene, und.w),
     cs as (select scene, c, count(*) size from lab group by all),
     cw as (select ee.scene, c, sum(conf) weight from ee join lab on lab.scene = ee.scene and lab.v = ee.a group by all)"""
 
@@ -157,7 +157,7 @@ def m08(t):
 
 @query("m09_connection_tree")
 def m09(t):
-    tree, anchor = sc.connection_tree(trade_edges(t), group=["scene"], a="a", b="b", confidence="conf", pos="pos")
+    tree, anchor = sc.connection_tree(trade_edges(t, 35), group=["scene"], a="a", b="b", confidence="conf", pos="pos")
     return tree.join(anchor, "scene").select("scene", "a", "b", "conf", "anchor")
 
 

@@ -198,7 +198,7 @@ def s17(t):
 @query("s18_natural_order", r"""
     with k as (select c_custkey, c_nationkey, c_name, lower(c_mktsegment) || '_' || c_custkey as file from customer),
     n as (select *, list_aggregate(list_transform(regexp_extract_all(file, '([0-9]+|[^0-9]+)'),
-      lambda x: case when regexp_matches(x, '^[0-9]+$') then lpad(x, 20, '0') else x end), 'string_agg', '') key from k)
+      lambda x: case when regexp_matches(x, '^[0-9]+$') then lpad(length(ltrim(x, '0'))::varchar, 10, '0') || ltrim(x, '0') else x end), 'string_agg', '') key from k)
     select c_custkey, row_number() over (partition by c_nationkey order by key, file)::int as rank, key from n""")
 def s18(t):
     files = t.customer.select("c_custkey", "c_nationkey", F.concat(F.lower("c_mktsegment"), F.lit("_"), F.col("c_custkey").cast("string")).alias("file"))

@@ -82,23 +82,25 @@ def reset_stages(stages: DataFrame, resets: DataFrame, *, case: str, running: Co
         .withColumn("message", F.when(F.col("__ok"), "Waiting").otherwise(F.col("message"))).drop("__ok")
 
 
-def job_fold(log: DataFrame, *, job: str, status: str, time: str, complete: Column, now: Column | None = None,
-             window_seconds: int = MONITOR_SECONDS) -> DataFrame:
+def job_fold(log: DataFrame, *, job: str, status: str, time: str, ident: str, complete: Column,
+             now: Column | None = None, window_seconds: int = MONITOR_SECONDS) -> DataFrame:
     """State of every job; the first terminal state stays.
 
     ``complete`` says whether a ready row names its manifest and its scene or
-    model; an incomplete one is a failure.  A job without a terminal state
-    within the monitoring window counts as failed once ``now`` is past it.
+    model; an incomplete one is a failure.  A job that ends, or has not ended by
+    ``now``, later than the monitoring window after its first row counts as
+    failed.  Rows of one time are ordered by ``ident``.
     """
     state = F.when(F.col(status) == "ready", F.when(F.coalesce(complete, F.lit(False)), "ready").otherwise("failed")).otherwise(F.col(status))
     rows = log.withColumn("__s", state)
-    t = F.col(time)
+    t, order = F.col(time), F.struct(time, ident)
     ended = F.col("__s").isin(TERMINAL_JOB)
     agg = rows.groupBy(job).agg(
-        F.min_by("__s", F.when(ended, t)).alias("__end"), F.min(F.when(ended, t)).alias("ended_at"),
-        F.max_by("__s", t).alias("__last"), F.min(t).alias("first_seen"))
-    late = F.lit(False) if now is None else F.col("__end").isNull() & (
-        now.cast("timestamp").cast("double") - F.col("first_seen").cast("timestamp").cast("double") > window_seconds)
+        F.min_by("__s", F.when(ended, order)).alias("__end"), F.min(F.when(ended, t)).alias("ended_at"),
+        F.max_by("__s", order).alias("__last"), F.min(t).alias("first_seen"))
+    until = F.col("ended_at") if now is None else F.coalesce("ended_at", now.cast("timestamp"))
+    late = F.coalesce(until.cast("timestamp").cast("double") - F.col("first_seen").cast("timestamp").cast("double")
+                      > window_seconds, F.lit(False))
     return agg.select(job, F.when(late, "failed").otherwise(F.coalesce("__end", "__last")).alias("status"), "ended_at")
 
 

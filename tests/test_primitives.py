@@ -106,30 +106,28 @@ def brute_forest(edges):
     return kept
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
-def test_components_and_forest(spark, small):
-    """The grouped kernel and the join rounds must agree with brute force."""
+def test_components_and_forest(spark):
+    """The join rounds must agree with brute force."""
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60), rng.choice([0.25, 0.5, 0.75]), i) for i in range(45)]
     edges = [(a, b, w, i) for a, b, w, i in edges if a != b] + [(100 + i, 101 + i, 0.5, 1000 + i) for i in range(25)]
     rows = [(s, *e) for s in ("s1", "s2") for e in edges]
     df = spark.createDataFrame(rows, "s string, a long, b long, w double, id long")
     label = brute_components(edges)
-    got = graph.connected_components(df, group=["s"], a="a", b="b", small=small).collect()
+    got = graph.connected_components(df, group=["s"], a="a", b="b").collect()
     assert len(got) == 2 * len(label)
     assert all(r.component == label[r.vertex] for r in got)
-    tree = graph.spanning_forest(df, group=["s"], a="a", b="b", order=[-F.col("w"), F.col("id")], edge_id="id", small=small)
+    tree = graph.spanning_forest(df, group=["s"], a="a", b="b", order=[-F.col("w"), F.col("id")], edge_id="id")
     kept = brute_forest(edges)
     assert sorted((r.s, r.id) for r in tree.collect()) == sorted((s, i) for s in ("s1", "s2") for i in kept)
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
-def test_walk_distances(spark, small):
+def test_walk_distances(spark):
     grid = ["..#..", ".##..", "....#", "#.#.."]
     cells = [("g", x, y) for y, row in enumerate(grid) for x, c in enumerate(row) if c == "."]
     df = spark.createDataFrame(cells, "g string, x int, y int")
     seed = spark.createDataFrame([("g", 0, 0)], "g string, x int, y int")
-    got = {(r.x, r.y): r.steps for r in graph.walk_distances(df, seed, group=["g"], x="x", y="y", small=small).collect()}
+    got = {(r.x, r.y): r.steps for r in graph.walk_distances(df, seed, group=["g"], x="x", y="y").collect()}
     want, edge = {(0, 0): 0}, [(0, 0)]
     passable = {(x, y) for _, x, y in cells}
     while edge:
