@@ -44,6 +44,7 @@ from proofgrid.operators.graph import components_by_rounds
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 SIGMAS = 5.0
+MAP_BITS = 1 << 23  # of the bitmap of candidate ids: 1 MB, sent to every task
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -106,7 +107,14 @@ def _full_sets(docs: DataFrame, suspects: DataFrame, id_col: str, text_col: str,
         return pa.RecordBatch.from_arrays(
             [pa.array([w for w, _ in kept], pa.int64()), long_lists([s for _, s in kept])], names=["node", "values"])
 
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(suspects, "rep")
+    # A bitmap of fixed size leaves out most other rows before their texts are shuffled.
+    place = F.pmod(F.xxhash64("rep"), F.lit(MAP_BITS))
+    bits = suspects.select(place.alias("h")).groupBy(F.shiftright("h", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    maybe = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).withColumn("h", place) \
+        .withColumn("word", F.shiftright("h", 6)).join(F.broadcast(bits), "word") \
+        .filter(F.getbit("bits", F.col("h").bitwiseAND(63)) == 1).select("rep", "text")
+    texts = maybe.join(suspects, "rep")
     return map_arrow(texts.select("node", "text"), build, "node bigint, values array<bigint>")
 
 
@@ -211,8 +219,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = labels.select(F.col("v").alias("node"), "component")
     linked = rep.join(labels, "node")
     least = linked.groupBy("component").agg(F.min("rep").alias("least"))
-    smallest = rep.join(linked.join(least, "component").select("node", "least"), "node", "left") \
-        .select("node", F.coalesce("least", "rep").alias("component"))
+    # Stored, so that both sides of the last join are plain scans and a set with very many copies can be split.
+    smallest = stored(rep.join(linked.join(least, "component").select("node", "least"), "node", "left")
+                      .select("node", F.coalesce("least", "rep").alias("component")), "components")
     out = sig.drop("sketch").join(smallest, "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
