@@ -37,6 +37,18 @@ def located(df: DataFrame) -> DataFrame:
     return df.withColumn("__loc", F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("row")))
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+             schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of about ``SLICE_BYTES``, unless the session names another size.
+
+    A batch is held by the executor and by its Python worker, so its size bounds the memory of both.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(SLICE_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply ``fn`` to slices of Arrow batches; a slice holds a bounded number of rows and about ``SLICE_BYTES``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,10 +56,11 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             for part in slices(batch):
                 yield fn(part)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import long_lists, slices, stored
+from proofgrid.llm.common import in_arrow, long_lists, slices, stored
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # of text with A-Z in lower case; bytes from 0x80 are parts of other letters
 BLOCK_WORDS = 200_000
@@ -89,8 +89,8 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, terms: frozenset[by
                 if lengths:
                     yield block(part.column(0).slice(first, len(lengths)), lengths, found)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(
-        run, f"block string, ids array<{kind}>, starts array<bigint>, lengths array<bigint>, terms array<binary>, "
+    return in_arrow(
+        docs.select(F.col(id_col), F.col(text_col)), run, f"block string, ids array<{kind}>, starts array<bigint>, lengths array<bigint>, terms array<binary>, "
              "counts array<bigint>, places array<bigint>")
 
 
@@ -222,7 +222,7 @@ def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
                         [block, pa.array(docs_, pa.int64()), ids, pa.array(lengths), hits, *named],
                         names=["block", "doc", "id", "n_words", "hits", "items", "near"])
 
-        return index.mapInArrow(run, f"block string, doc bigint, id {kind}, n_words bigint, hits array<struct<first:bigint,past:bigint>>, "
+        return in_arrow(index, run, f"block string, doc bigint, id {kind}, n_words bigint, hits array<struct<first:bigint,past:bigint>>, "
                                      "items array<string>, near array<string>")
 
     found = ask(only) if blocks == 1 else _joined([ask(windows_of(b)) for b in range(blocks)])

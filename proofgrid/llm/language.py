@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import map_arrow, stored
+from proofgrid.llm.common import in_arrow, map_arrow, stored
 
 BUCKETS = 1 << 16
 MAX_GRAM = 4
+SCORED_AT_ONCE = 10_000  # words; bounds the memory for their n-grams
 UNKNOWN = "und"
 RUN = re.compile(r"[^\W\d_]+")
 
@@ -99,6 +100,9 @@ class Model:
 
     def score(self, words: list[str]) -> np.ndarray:
         """words x languages; languages that do not use a word's script are out of reach."""
+        if len(words) > SCORED_AT_ONCE:
+            return np.concatenate([self.score(words[i:i + SCORED_AT_ONCE])
+                                   for i in range(0, len(words), SCORED_AT_ONCE)])
         owner, cell = gram_cells(words)
         scores = np.stack([np.bincount(owner, self.cells[cell, i], len(words)) for i in range(len(self.langs))],
                           axis=1) / MAX_GRAM
@@ -124,7 +128,7 @@ def fit(labelled: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cell), pa.string()), pa.array(cell),
                                               pa.array(own[cell])], names=["lang", "cell", "n"])
 
-    rows = labelled.mapInArrow(count, "lang string, cell bigint, n bigint").groupBy("lang", "cell") \
+    rows = in_arrow(labelled, count, "lang string, cell bigint, n bigint").groupBy("lang", "cell") \
         .agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(rows["lang"].unique())
     table = np.zeros((BUCKETS + len(NAMES), len(langs)))
@@ -165,29 +169,38 @@ def viterbi(scores: np.ndarray, words: np.ndarray, lengths: np.ndarray, penalty:
     return labels
 
 
-class _Words:
-    """Scores of the words seen so far by one task; forgotten when there are too many."""
+class _Words(dict):
+    """Numbers and scores of the words seen so far by one task; forgotten when there are too many."""
 
-    def __init__(self, limit: int = 400_000):
-        self.limit, self.known = limit, {}
+    def __init__(self, limit: int = 50_000):
+        super().__init__()
+        self.limit, self.fresh, self.count = limit, [], 0
         self.sizes, self.scores = np.zeros(0, np.int64), None
 
-    def numbers(self, texts: list[list[str]], model: Model) -> list[np.ndarray]:
-        """Word numbers of every text; runs without a letter are left out."""
-        if len(self.known) > self.limit:
+    def __missing__(self, word: str) -> int:
+        number = -1  # a run without a letter
+        if word.isalpha() or any(map(str.isalpha, word)):
+            number = self.count
+            self.count += 1
+            self.fresh.append(word)
+        self[word] = number
+        return number
+
+    def numbers(self, texts: list[str | None], model: Model) -> list[np.ndarray]:
+        """Numbers of the words of every text."""
+        if len(self) > self.limit:
+            self.clear()
             self.__init__(self.limit)
-        known, fresh = self.known, []
-        for words in texts:
-            for w in words:
-                if w not in known:
-                    known[w] = len(self.sizes) + len(fresh) if w.isalpha() or any(map(str.isalpha, w)) else -1
-                    if known[w] >= 0:
-                        fresh.append(w)
-        if fresh:
-            scores = model.score(fresh)
+        out = []
+        for text in texts:
+            words = RUN.findall(text) if text and model.langs else []
+            out.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
+        if self.fresh:
+            scores = model.score(self.fresh)
             self.scores = scores if self.scores is None else np.concatenate([self.scores, scores])
-            self.sizes = np.concatenate([self.sizes, [sum(map(str.isalpha, w)) for w in fresh]])
-        return [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in texts]
+            self.sizes = np.concatenate([self.sizes, [sum(map(str.isalpha, w)) for w in self.fresh]])
+            self.fresh = []
+        return out
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", *, penalty: float = 8.0,
@@ -200,14 +213,16 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "
         ", spans array<struct<start:bigint,end:bigint,lang:string>>" * with_spans
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
     cache = _Words()
+    extra = [] if text_col in columns else [F.col(text_col).alias("__text")]
+    at_text, kept_columns = len(columns) if extra else columns.index(text_col), len(columns)
 
     def label(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = sent.value
-        texts = batch.column(0).to_pylist()
-        numbered = cache.numbers([RUN.findall(t) if t and model.langs else [] for t in texts], model)
+        texts = batch.column(at_text).to_pylist()
+        numbered = cache.numbers(texts, model)
         kept = [n[n >= 0] for n in numbered]
         counts = np.fromiter(map(len, kept), np.int64, len(kept))
-        words = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        words = np.concatenate(kept) if kept else np.zeros(0, np.int32)
         labels = viterbi(cache.scores, words, counts[counts > 0], penalty) if len(words) else np.zeros(0, np.int16)
         langs, share, n_spans, spans, at = [], [], [], [], 0
         for row, n in enumerate(counts.tolist()):
@@ -225,11 +240,11 @@ def predict(docs: DataFrame, model: Model, columns: list[str], text_col: str = "
         found = [pa.array(langs, pa.string()), pa.array(share, pa.float64()), pa.array(n_spans, pa.int32())]
         if with_spans:
             found.append(pa.array(spans, spans_type))
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], *found], schema=pa.schema(
-            [*list(batch.schema)[1:], *[pa.field(n, a.type) for n, a in zip(("lang_pred", "score", "n_spans", "spans"),
+        return pa.RecordBatch.from_arrays([*batch.columns[:kept_columns], *found], schema=pa.schema(
+            [*list(batch.schema)[:kept_columns], *[pa.field(n, a.type) for n, a in zip(("lang_pred", "score", "n_spans", "spans"),
                                                                             found)]]))
 
-    return map_arrow(docs.select(F.col(text_col).alias("__text"), *columns), label, schema)
+    return map_arrow(docs.select(*columns, *extra), label, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *,
