@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import stored
+from proofgrid.llm.common import in_arrow, stored
 
 MAGIC = "WARC/1.1\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -100,7 +100,7 @@ def parse(raw: bytes) -> tuple[int | None, str, str, str, str, bytes | None]:
 
 
 SEGMENT = ("file bigint, split bigint, at bigint, size bigint, next bigint, kind string, id string, refers_to string, "
-           "digest string, payload binary")
+           "digest string, body binary")
 
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
@@ -121,7 +121,7 @@ def _walk(batches):
 
 
 def candidates(spark: SparkSession, path: str, derive: dict[str, Column]) -> DataFrame:
-    """Every piece behind a magic, with what it would be as a record; ``derive`` is computed from ``payload``."""
+    """Every piece behind a magic, with what it would be as a record; ``derive`` is computed from ``body``, its payload."""
     def run(batches):
         rows, held = [], 0
         names = [c.split()[0] for c in SEGMENT.split(", ")]
@@ -135,8 +135,8 @@ def candidates(spark: SparkSession, path: str, derive: dict[str, Column]) -> Dat
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
-    found = _segments(spark, path).mapInArrow(run, SEGMENT)
-    return found.withColumn("complete", F.col("payload").isNotNull()).withColumns(derive).drop("payload")
+    found = in_arrow(_segments(spark, path), run, SEGMENT)
+    return found.withColumn("complete", F.col("body").isNotNull()).withColumns(derive).drop("body")
 
 
 def reachable(pointers: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def read_warc(spark: SparkSession, path: str, derive: dict[str, Callable[[Column
     ``derive`` maps names to functions of the payload (use ``lambda p: p`` for the bytes); they are computed where the
     payload is read.  A revisit has the empty payload it is stored with.
     """
-    computed = {name: fn(F.col("payload")) for name, fn in derive.items()}
+    computed = {name: fn(F.col("body")) for name, fn in derive.items()}
     found = stored(candidates(spark, path, computed), "candidates")
     splits = found.groupBy("file", "split").agg(F.sum(F.col("size") + len(MAGIC)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n")
@@ -192,7 +192,7 @@ def _put_together(spark: SparkSession, path: str, placed: DataFrame, broken: Dat
     pieces = placed.select("file", "split", "at", "start", F.floor(F.col("start") / BUCKET).alias("cell")) \
         .join(wanted, ["file", "cell"]).filter("start >= record and start < next").select("file", "split", "at", "record",
                                                                                         "start")
-    raw = _segments(spark, path).mapInArrow(locate, "file bigint, split bigint, at bigint, raw binary")
+    raw = in_arrow(_segments(spark, path), locate, "file bigint, split bigint, at bigint, raw binary")
     groups = raw.join(pieces, ["file", "split", "at"]).groupBy("file", "record").agg(
         F.sort_array(F.collect_list(F.struct("start", "raw"))).alias("parts"))  # at most one record's bytes
 
@@ -204,10 +204,10 @@ def _put_together(spark: SparkSession, path: str, placed: DataFrame, broken: Dat
                     [pa.array([file]), pa.array([record]), *[pa.array([x], pa.string())
                                                              for x in (kind, name, refers, digest)],
                      pa.array([payload], pa.binary())],
-                    names=["file", "start", "kind", "id", "refers_to", "digest", "payload"])
+                    names=["file", "start", "kind", "id", "refers_to", "digest", "body"])
 
-    return groups.mapInArrow(join, "file bigint, start bigint, kind string, id string, refers_to string, digest string, "
-                                   "payload binary")
+    return in_arrow(groups, join, "file bigint, start bigint, kind string, id string, refers_to string, digest string, "
+                                   "body binary")
 
 
 def urn_id(urn: Column, kind: str) -> Column:
@@ -218,7 +218,7 @@ def urn_id(urn: Column, kind: str) -> Column:
 def with_referred(records: DataFrame, columns: list[str]) -> DataFrame:
     """Revisits get the payload columns of the record they refer to."""
     own = records.filter("kind = 'response' and id <> ''").groupBy("id").agg(*[F.first(c).alias(f"__{c}") for c in columns])
-    joined = records.join(own.withColumnRenamed("id", "__id"),
-                          (F.col("refers_to") == F.col("__id")) & (F.col("kind") == "revisit"), "left")
-    return joined.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}) \
-        .drop("__id", *[f"__{c}" for c in columns])
+    revisits = records.filter("kind = 'revisit'")
+    joined = revisits.join(own.withColumnRenamed("id", "__id"), F.col("refers_to") == F.col("__id"), "left")
+    filled = joined.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).select(records.columns)
+    return records.filter("kind <> 'revisit'").unionByName(filled)
