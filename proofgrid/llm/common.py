@@ -72,6 +72,11 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, step)
 
 
+def small_table(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    """A table of driver-side values of bounded size, sent as Arrow: no Python worker unpickles its rows."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def long_lists(parts: list[np.ndarray]) -> pa.ListArray:
     """A list<int64> column from one int64 array per row."""
     ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)

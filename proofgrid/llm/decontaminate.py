@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import in_arrow, long_lists, slices, stored
+from proofgrid.llm.common import in_arrow, long_lists, slices, small_table, stored
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # of text with A-Z in lower case; bytes from 0x80 are parts of other letters
 BLOCK_WORDS = 200_000
@@ -66,12 +66,12 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, terms: frozenset[by
                     lists[w].append(at)
         starts = np.cumsum([0, *[n + gap for n in lengths[:-1]]], dtype=np.int64)
         counts = np.array([len(v) for v in lists.values()], np.int64)
-        places = np.concatenate([np.asarray(v, np.int64) for v in lists.values()]) if lists else np.zeros(0, np.int64)
+        places = np.concatenate([np.asarray(v, np.int32) for v in lists.values()]) if lists else np.zeros(0, np.int32)
         one = lambda values, t: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, t))
         return pa.RecordBatch.from_arrays(
             [pa.array([uuid.uuid4().hex]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
              long_lists([starts]),
-             one(lengths, pa.int64()), one(list(lists), pa.binary()), long_lists([counts]), long_lists([places])],
+             one(lengths, pa.int64()), one(list(lists), pa.binary()), long_lists([counts]), one(places, pa.int32())],
             names=["block", "ids", "starts", "lengths", "terms", "counts", "places"])
 
     def run(batches):
@@ -91,7 +91,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, terms: frozenset[by
 
     return in_arrow(
         docs.select(F.col(id_col), F.col(text_col)), run, f"block string, ids array<{kind}>, starts array<bigint>, lengths array<bigint>, terms array<binary>, "
-             "counts array<bigint>, places array<bigint>")
+             "counts array<bigint>, places array<int>")
 
 
 def _near(lists: list[np.ndarray], slop: int) -> np.ndarray:
@@ -200,7 +200,7 @@ def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     def ask(windows) -> DataFrame:
         known = sorted({w for win in windows for w in win})
-        asked = spark.createDataFrame([(bytearray(w),) for w in known], "terms binary")
+        asked = small_table(spark, {"terms": pa.array(known, pa.binary())})
         counts = {bytes(r.terms): r.n for r in sums.join(asked, "terms", "left_semi").collect()}
         sent = spark.sparkContext.broadcast(_Asked(windows, counts))
 

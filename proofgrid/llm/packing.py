@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofgrid.llm.common import map_arrow, numbered, stored
+from proofgrid.llm.common import map_arrow, numbered, small_table, stored
 
 SLOT_ROWS = 10_000  # slots that one row of the plan stands for, at most
 
@@ -121,7 +121,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, siz
     histogram = {r.length: r.n for r in cutup.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = [(n, rank + d, min(SLOT_ROWS, number - d), first + d, offset)
             for n, rank, number, first, offset in plan_slots(histogram, size) for d in range(0, number, SLOT_ROWS)]
-    slots = spark.createDataFrame(runs, "length bigint, rank bigint, number bigint, first bigint, offset bigint") \
+    slots = small_table(spark, {c: pa.array([run[i] for run in runs], pa.int64()) for i, c in enumerate(
+        ("length", "rank", "number", "first", "offset"))}) \
         .repartition(max(1, len(runs) // 64)) \
         .select("length", "rank", "first", "offset", F.explode(F.sequence(F.lit(0), F.col("number") - 1)).alias("d")) \
         .select("length", (F.col("rank") + F.col("d")).alias("rank"), (F.col("first") + F.col("d")).alias("sequence_id"),
