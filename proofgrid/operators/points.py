@@ -31,6 +31,7 @@ MIN_LIFTED = 12
 MANY_MATCHES, INLIERS_MANY, INLIERS_FEW, INLIER_RATIO = 40, 18, 10, 0.25
 SCALE_RANGE = (0.5, 2.0)
 KEPT_INLIERS = 512
+SCORED_AT_ONCE = 32  # transforms against a block of rows
 SURFACE_SAMPLES, SURFACE_MATCHES = 30_000, 1_200
 MIN_SURFACE_SAMPLES, MIN_SURFACE_MATCHES, MIN_DENSE = 24, 12, 24
 NORMAL_AGREEMENT, COLOUR_DISTANCE = 0.6, 0.35
@@ -127,7 +128,11 @@ def robust_similarity(pairs: DataFrame, *, keys: list[str], order: list[Column],
     def draw(n: pd.Series, s: pd.Series) -> pd.Series:
         def triples(count, start):
             rng = np.random.default_rng(int(start))
-            return np.concatenate([rng.choice(int(count), 3, replace=False) for _ in range(iterations)]) + 1
+            a, b, c = (rng.integers(0, int(count) - i, iterations) for i in range(3))
+            b += b >= a  # b and c skip what is drawn already
+            c += c >= np.minimum(a, b)
+            c += c >= np.maximum(a, b)
+            return np.stack([a, b, c], axis=1).ravel() + 1
         return pd.Series([triples(a, b) for a, b in zip(n, s, strict=True)])
 
     drawn = facts.select(*keys, F.posexplode(draw("__n", "__seed")).alias("__slot", "__rn"))
@@ -148,13 +153,16 @@ def robust_similarity(pairs: DataFrame, *, keys: list[str], order: list[Column],
             return pd.DataFrame(columns=[f.name for f in schema.fields])
         src, dst = left[["bx", "by", "bz"]].to_numpy(float), left[["ax", "ay", "az"]].to_numpy(float)
         limit = left["__limit"].iloc[0]
-        out = []
-        for hyp in right["__hyps"].iloc[0]:
-            m = np.asarray(hyp["transform"], float).reshape(4, 4)
-            err = np.linalg.norm(src @ m[:3, :3].T + m[:3, 3] - dst, axis=1)
+        hyps = right["__hyps"].iloc[0]
+        every = np.array([h["transform"] for h in hyps], float).reshape(-1, 4, 4)
+        count, error = [], []
+        for at in range(0, len(every), SCORED_AT_ONCE):
+            m = every[at:at + SCORED_AT_ONCE]
+            err = np.linalg.norm(src @ m[:, :3, :3].transpose(0, 2, 1) + m[:, None, :3, 3] - dst, axis=2)
             good = err <= limit
-            out.append((hyp["__h"], int(good.sum()), float(err[good].sum())))
-        res = pd.DataFrame(out, columns=["h", "c", "e"])
+            count.append(good.sum(axis=1))
+            error.append(np.where(good, err, 0.0).sum(axis=1))
+        res = pd.DataFrame({"h": [h["__h"] for h in hyps], "c": np.concatenate(count), "e": np.concatenate(error)})
         for k in reversed(keys):
             res.insert(0, k, left[k].iloc[0])
         return res

@@ -35,8 +35,8 @@ def c01(t):
     return cat.scene_of_nodes(nodes, scenes, reg, case="c", node="node", direct="direct", source="src", scene="scene", pos="pos").select("node", "scene_id")
 
 
-LABELS = """lab as (select p_brand c, p_size % 3 as floor, p_partkey label, case p_partkey % 60 when 0 then 'bedroom' when 1 then 'kitchen' when 2 then 'bathroom' end room from part where p_partkey % 60 < 4),
-    nod as (select distinct p_brand c, p_partkey scene, case p_partkey % 80 when 4 then 'bedroom' when 5 then 'kitchen' end room from part where p_partkey % 80 in (4, 5)),
+LABELS = """lab as (select p_brand c, p_size % 3 as floor, p_partkey label, case p_partkey % 60 when 0 then 'bedroom' when 1 then 'kitchen' when 2 then 'bathroom' end room from part),
+    nod as (select distinct p_brand c, p_partkey scene, case p_partkey % 80 when 4 then 'bedroom' when 5 then 'kitchen' else 'hallway' end room from part),
     k as (select c, room, count(*) n, arg_min(scene, (-(scene % 9), scene)) first from nod group by all),
     s as (select c, floor, room, count(*) st from lab where room is not null group by all)"""
 
@@ -48,8 +48,8 @@ LABELS = """lab as (select p_brand c, p_size % 3 as floor, p_partkey label, case
     from lab left join s on s.c = lab.c and s.floor = lab.floor and s.room = lab.room left join k on k.c = lab.c and k.room = lab.room""")
 def c02(t):
     p = F.col("p_partkey")
-    labels = t.part.filter(p % 60 < 4).select(F.col("p_brand").alias("c"), (F.col("p_size") % 3).alias("floor"), p.alias("label"), F.when(p % 60 < 3, pick(["bedroom", "kitchen", "bathroom"], p % 60)).alias("room"))
-    nodes = t.part.filter((p % 80).isin(4, 5)).select(F.col("p_brand").alias("c"), p.alias("scene_id"), F.when(p % 80 == 4, "bedroom").otherwise("kitchen").alias("room"), F.lit("room").alias("kind"))
+    labels = t.part.select(F.col("p_brand").alias("c"), (F.col("p_size") % 3).alias("floor"), p.alias("label"), F.when(p % 60 < 3, pick(["bedroom", "kitchen", "bathroom"], p % 60)).alias("room"))
+    nodes = t.part.select(F.col("p_brand").alias("c"), p.alias("scene_id"), F.when(p % 80 == 4, "bedroom").when(p % 80 == 5, "kitchen").otherwise("hallway").alias("room"), F.lit("room").alias("kind"))
     views = nodes.select("c", "scene_id", (F.col("scene_id") % 9).alias("views"))
     return cat.resolve_plan_rooms(labels, nodes, views, case="c", label="label", room="room").drop("available")
 

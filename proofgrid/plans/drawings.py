@@ -80,7 +80,7 @@ def f02_lines(t):
 def f03(t):
     """Short treads stacked by line number on the sheet of an order."""
     y = F.col("l_linenumber") * 12.0
-    s = t.lineitem.filter("l_quantity >= 10").select(
+    s = t.lineitem.select(
         F.col("l_orderkey").alias("sheet"), seg_id().alias("seg"), F.lit(100.0).alias("x1"), y.alias("y1"), (F.lit(130.0) + F.col("l_quantity") / 5).alias("x2"), y.alias("y2"), F.lit(800).alias("size"))
     out = dr.stair_runs(s, keys=["sheet"], seg="seg", size="size")
     return out.select("sheet", "treads", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy"))
@@ -88,13 +88,12 @@ def f03(t):
 
 BOUNDS = """
     bd as (select s_suppkey sheet, coalesce(greatest(0, min(least(x1, x2)) - 12), 40) l, coalesce(greatest(0, min(least(y1, y2)) - 12), 32) t, coalesce(least(1000, max(greatest(x1, x2)) + 12), 960) r, coalesce(least(800, max(greatest(y1, y2)) + 12), 768) b
-      from supplier left join sg on sheet = s_suppkey and n >= 190 group by 1)"""
+      from supplier left join sg on sheet = s_suppkey group by 1)"""
 
 
 def bounds(t):
-    long = segments(t).filter(dr.segment_length() >= 190)
     sheets = t.supplier.select(F.col("s_suppkey").alias("sheet"), F.lit(W).alias("w"), F.lit(H).alias("h"))
-    return dr.drawing_bounds(long, sheets, keys=["sheet"], width="w", height="h")
+    return dr.drawing_bounds(segments(t), sheets, keys=["sheet"], width="w", height="h")
 
 
 @query("f04_drawing_bounds", f'with {SEGMENTS}, {BOUNDS} select sheet, l as "left", t as top, r as "right", b as bottom from bd')
@@ -132,15 +131,14 @@ def f06(t):
 
 
 @query("f07_connected_segments", f"""
-    with {SEGMENTS}, s as (select * from sg where n >= 120),
+    with {SEGMENTS}, s as (select * from sg),
     p as (select a.sheet, a.seg, least(
         sqrt(pow(a.x1 - greatest(b.x1, least(b.x2, a.x1)), 2) + pow(a.y1 - greatest(b.y1, least(b.y2, a.y1)), 2)), sqrt(pow(a.x2 - greatest(b.x1, least(b.x2, a.x2)), 2) + pow(a.y2 - greatest(b.y1, least(b.y2, a.y2)), 2)),
         sqrt(pow(b.x1 - greatest(a.x1, least(a.x2, b.x1)), 2) + pow(b.y1 - greatest(a.y1, least(a.y2, b.y1)), 2)), sqrt(pow(b.x2 - greatest(a.x1, least(a.x2, b.x2)), 2) + pow(b.y2 - greatest(a.y1, least(a.y2, b.y2)), 2))) d
       from s a join s b on a.sheet = b.sheet and a.seg <> b.seg)
     select sheet, seg from s where n >= 300 or exists (select 1 from p where p.sheet = s.sheet and p.seg = s.seg and d <= 20)""")
 def f07(t):
-    s = segments(t).filter(dr.segment_length() >= 120)
-    return dr.connected_segments(s, keys=["sheet"], seg="seg", width="w", height="h").select("sheet", "seg")
+    return dr.connected_segments(segments(t), keys=["sheet"], seg="seg", width="w", height="h").select("sheet", "seg")
 
 
 @query("f08_wall_records", f"""

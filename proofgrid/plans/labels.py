@@ -23,11 +23,11 @@ def l01(t):
 
 
 @query("l02_prose_answers", """
-    select event_id, case event_type when 'view' then 'interior' when 'click' then 'exterior' when 'error' then 'non_property' else 'interior' end as scene_type,
+    select event_id, case event_type when 'view' then 'interior' when 'click' then 'exterior' when 'error' then 'non_property' when 'signup' then 'interior' else 'unknown' end as scene_type,
       case event_type when 'view' then 'living_room' when 'signup' then 'bathroom' else 'unknown' end as room_type,
       'unknown' as relevance, 'upper' as floor_hint,
-      case when event_id % 2 = 0 then '' else event_id || ' Oak' end as observed_address, round(least(1, (event_id % 100) / 100.0), 6) as confidence_score,
-      'stair_up,door' as connections, 'a view' as summary from events where event_type <> 'purchase' and event_id % 100 > 1""")
+      case when event_id % 2 = 0 then '' else event_id || ' Oak' end as observed_address, case when event_id % 100 <= 1 then event_id % 100 else round((event_id % 100) / 100.0, 6) end as confidence_score,
+      'stair_up,door' as connections, 'a view' as summary from events""")
 def l02(t):
     k = F.col("event_type")
     scene = F.when(k == "view", "Interior").when(k == "click", "Exterior").when(k == "error", "non property").otherwise("not sure")
@@ -35,7 +35,7 @@ def l02(t):
     text = F.concat(F.lit("**Scene type**: "), scene, F.lit("\nRoom type = "), room, F.lit("\nFloor hint: Upper\nObserved address: "),
                     F.when(F.col("event_id") % 2 == 0, "Unknown").otherwise(F.concat(F.col("event_id").cast("string"), F.lit(" Oak"))),
                     F.lit("\nConnections: Door, stair up\nSummary: a view\nConfidence score: "), (F.col("event_id") % 100).cast("string"))
-    e = t.events.filter("event_type <> 'purchase' and event_id % 100 > 1").select("event_id", lab.parse_prose(text).alias("a"))
+    e = t.events.select("event_id", lab.parse_prose(text).alias("a"))
     return e.select("event_id", "a.scene_type", "a.room_type", "a.relevance", "a.floor_hint", "a.observed_address",
                     F.round("a.confidence_score", 6).alias("confidence_score"), F.array_join("a.connections", ",").alias("connections"), "a.summary")
 

@@ -85,7 +85,7 @@ def known_pairs(t, outliers=False):
 @query("q04_robust_similarity", """
     select label as pair, count(*) as matches, count(*) filter (vec_id % 4 <> 3) as inliers, 1.13::double as scale, 0.0::double as rmse from embeddings group by label""")
 def q04(t):
-    out = pt.robust_similarity(known_pairs(t, True), keys=["pair"], order=[F.col("vec_id")], iterations=200, slice_by=F.floor(F.col("vec_id") / 1000))
+    out = pt.robust_similarity(known_pairs(t, True), keys=["pair"], order=[F.col("vec_id")], slice_by=F.floor(F.col("vec_id") / 1000))
     return out.select("pair", "matches", "inliers", *r6("scale", "rmse"))
 
 

@@ -9,9 +9,9 @@ from proofgrid.operators.graph import walk_distances
 from proofgrid.plans.registry import query
 
 
-def trade_edges(t, least=0):
-    """Parts on consecutive lines of an order, both of that quantity at least, as edges of the customer's nation."""
-    l = t.lineitem.filter(F.col("l_quantity") >= least).select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+def trade_edges(t):
+    """Parts on consecutive lines of an order as edges of the customer's nation."""
+    l = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     nxt = l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("__p"), F.col("l_quantity").alias("__q"))
     pairs = l.join(nxt, ["l_orderkey", "l_linenumber"]).filter(F.col("l_partkey") != F.col("__p"))
     owned = pairs.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey") \
@@ -157,7 +157,7 @@ def m08(t):
 
 @query("m09_connection_tree")
 def m09(t):
-    tree, anchor = sc.connection_tree(trade_edges(t, 35), group=["scene"], a="a", b="b", confidence="conf", pos="pos")
+    tree, anchor = sc.connection_tree(trade_edges(t), group=["scene"], a="a", b="b", confidence="conf", pos="pos")
     return tree.join(anchor, "scene").select("scene", "a", "b", "conf", "anchor")
 
 
