@@ -62,25 +62,32 @@ def forest_by_rounds(edges: DataFrame, order: str) -> DataFrame:
 
     ``edges`` has a, b (comparable vertices), id and the total order column,
     smallest first.  Each round every component takes its best outgoing edge.
+    The order has no ties, so these choices form trees around one mutual pair
+    each; pointer jumping finds the pair's smaller end for every component.
     """
     live = cut_lineage(edges.select("id", order, F.col("a").alias("ca"), F.col("b").alias("cb")).filter("ca <> cb"))
     chosen_ids = None
     for _ in range(MAX_ROUNDS):
-        item = F.struct("id", "ca", "cb")
-        ends = live.select(F.col("ca").alias("c"), F.col(order), item.alias("e")) \
-            .unionByName(live.select(F.col("cb").alias("c"), F.col(order), item.alias("e")))
-        best = ends.groupBy("c").agg(F.min_by("e", F.col(order)).alias("e")).select("e.*").distinct()
-        best = cut_lineage(best)
-        ids = best.select("id")
+        ends = live.select(F.col("ca").alias("c"), F.col(order), F.struct("id", F.col("cb").alias("to")).alias("e")) \
+            .unionByName(live.select(F.col("cb").alias("c"), F.col(order), F.struct("id", F.col("ca").alias("to")).alias("e")))
+        best = cut_lineage(ends.groupBy("c").agg(F.min_by("e", F.col(order)).alias("e")).select("c", "e.*"))
+        ids = best.select("id").distinct()
         chosen_ids = ids if chosen_ids is None else chosen_ids.unionByName(ids)
-        if not best.limit(1).count():
+        if best.isEmpty():
             break
-        merged = components_by_rounds(best, "ca", "cb")
-        to_a = merged.select(F.col("v").alias("ca"), F.col("component").alias("na"))
-        to_b = merged.select(F.col("v").alias("cb"), F.col("component").alias("nb"))
-        live = live.join(to_a, "ca", "left").join(to_b, "cb", "left").select(
-            "id", order, F.coalesce("na", "ca").alias("ca"), F.coalesce("nb", "cb").alias("cb")).filter("ca <> cb")
-        live = cut_lineage(live)
+        back = best.select(F.col("c").alias("to"), F.col("to").alias("back"))
+        root = (F.col("back") == F.col("c")) & (F.col("c") < F.col("to"))
+        parents = cut_lineage(best.join(back, "to").select("c", F.when(root, F.col("c")).otherwise(F.col("to")).alias("p")))
+        while True:
+            above = parents.select(F.col("c").alias("p"), F.col("p").alias("g"))
+            parents = cut_lineage(parents.join(above, "p").select("c", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved")))
+            if parents.filter("moved").isEmpty():
+                break
+            parents = parents.drop("moved")
+        to_a = parents.select(F.col("c").alias("ca"), F.col("p").alias("na"))
+        to_b = parents.select(F.col("c").alias("cb"), F.col("p").alias("nb"))
+        live = cut_lineage(live.join(to_a, "ca").join(to_b, "cb").select(
+            "id", order, F.col("na").alias("ca"), F.col("nb").alias("cb")).filter("ca <> cb"))
     return chosen_ids
 
 
