@@ -30,6 +30,7 @@ from proofgrid.llm.common import in_arrow, map_arrow, stored
 BUCKETS = 1 << 16
 MAX_GRAM = 4
 SCORED_AT_ONCE = 10_000  # words; bounds the memory for their n-grams
+HASH_BITS = 12  # of the hash of an id, in the counts that find the sample
 UNKNOWN = "und"
 RUN = re.compile(r"[^\W\d_]+")
 
@@ -80,8 +81,15 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Co
     """(lang, text) of at most ``per_lang`` labelled training texts per language, picked by the hash of the id."""
     chosen = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()) \
         .select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
-    # The limit keeps ids only; the partial group limit bounds what a hot language shuffles.
-    ranked = chosen.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
+    # Counts per cell of the hash, combined where they are read, tell how far the sample reaches in each language: the
+    # exact choice then sees little more than the sample, however many rows a language has.
+    chosen = chosen.withColumn("cell", F.shiftright("h", 64 - HASH_BITS))
+    counts = chosen.groupBy("lang", "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("cell")) - F.col("n")
+    reach = counts.withColumn("before", before).filter(F.col("before") < per_lang) \
+        .groupBy("lang").agg(F.max("cell").alias("last"))
+    near = chosen.join(F.broadcast(reach), "lang").filter("cell <= last")  # one row per language
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
     few = ranked.filter(F.col("r") <= per_lang).select("id", "lang").distinct()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
         F.broadcast(few), "id").select("lang", "text")  # per_lang ids per language at most

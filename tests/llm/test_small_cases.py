@@ -296,3 +296,15 @@ def test_archives_with_magic_in_payloads(spark, split):
     import base64
 
     assert got[1].digest32 == base64.b32encode(hashlib.sha1(payloads[1].encode()).digest()).decode()
+
+
+@pytest.mark.parametrize("per_lang", [1, 7, 1000])
+def test_language_sample_has_the_smallest_hashes(spark, per_lang):
+    """Also where one language has nearly all rows and ids repeat."""
+    df = spark.range(3000).select((F.col("id") % 2900).alias("doc_id"), F.when(F.col("id") % 100 == 0, "de").otherwise("en").alias("lang"),
+                                  F.col("id").cast("string").alias("text"))
+    got = language.sample(df, "doc_id", "text", "lang", F.lit(True), per_lang).select("text").collect()
+    rows = df.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("h")).collect()
+    few = {r.doc_id for lang in ("de", "en")
+           for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.h, r.doc_id))[:per_lang]}
+    assert {r.text for r in got} == {r.text for r in rows if r.doc_id in few}
