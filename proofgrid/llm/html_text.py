@@ -8,6 +8,10 @@ tree, grown here on the small labelled table below, keeps or drops each block.
 Scripts, styles, form controls, comments, and markup have no text.  Character references are decoded, white space in
 a block becomes one space, and the kept blocks are joined by one space in page order.
 
+Attribute values are read whole, whatever their length, in time linear in the page.  A quote opens a value only behind
+an equals sign; one without a partner on the page is an ordinary character, and a tag whose quotes leave it no end ends
+at the next >.
+
 Defined results: a null, empty or text-free page has an empty text; unclosed and misplaced tags never fail; a page
 without any tag is one block.
 """
@@ -88,7 +92,8 @@ consent gdpr notice notices alert nav navbar navigation menu breadcrumb breadcru
 topbar comment comments commentlist reply replies respond disqus discussion share sharing social related recommended
 newsletter subscribe subscription signup login search popup modal overlay widget widgets pagination pager toolbar
 contentinfo complementary""".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,5000}\"|'[^']{0,5000}')*)>", re.S)
+TAG = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*)(?:([^>\"']*)>)?)")  # its attributes too where they have no quote
+STOP = re.compile(r">|=\s*[\"']")  # in a tag: its end, or the start of a quoted value
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|aria-hidden\s*=\s*[\"']?true|\shidden(?:\s|=|/|$)", re.I)
 PART = re.compile(r"[a-z0-9]+")
@@ -110,6 +115,22 @@ def _place(tag: str, attrs: str, outer: int) -> int:
     return 1 if tag in MAIN_TAGS or words & MAIN_WORDS and tag not in ("body", "html") else outer
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """The place of the > that ends the tag whose attributes start at ``at``; -1 if no > is left.
+
+    ``dead`` are the starts of values from which no > is reached outside quotes, so no part of a page is read again and
+    again.
+    """
+    tried, here = [], at
+    while (stop := STOP.search(page, here)) and stop.start() not in dead:
+        if stop[0] == ">":
+            return stop.start()
+        tried.append(stop.start())
+        here = max(stop.end(), page.find(stop[0][-1], stop.end()) + 1)
+    dead.update(tried)
+    return page.find(">", at)
+
+
 def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
     """(text, words, linked words, place) of the blocks of a page, in page order."""
     out, stack = [], []  # stack: open containers and the place before each
@@ -129,13 +150,27 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
             pieces.append(text)
             linked.append(text if link else " ")
 
-    end = len(page)
+    end, dead = len(page), set()
     while at < end:
         m = TAG.search(page, at)
         add(page[at:m.start() if m else end])
         if not m:
             break
-        at, tag = m.end(), (m[2] or "").lower()
+        if m[0] == "<!--":
+            at = page.find("-->", m.end()) + 3
+            if at < 3:
+                break
+            continue
+        tag, attrs = (m[2] or "").lower(), m[3]
+        if attrs is not None:
+            at = m.end()
+        else:
+            stop = _tag_end(page, m.end(), dead) if tag else page.find(">", m.end())
+            if stop < 0:  # no tag ends any more; a comment may still start
+                note = page.find("<!--", m.start())
+                add(page[m.start():note if note >= 0 else end])
+                break
+            at, attrs = stop + 1, page[m.end():stop]
         if not tag:
             continue
         if m[1]:
@@ -147,7 +182,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
                     place = stack[i][1]
                     del stack[i:]
                     break
-        elif tag in END_OF and not m[3].endswith("/"):
+        elif tag in END_OF and not attrs.endswith("/"):
             gone = END_OF[tag].search(page, at)
             at = gone.end() if gone else end
         elif tag == "a":
@@ -158,11 +193,11 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
             close()
             if tag == "body":
                 stack, place = [], 0
-            if tag not in VOID and tag not in ("p", "li", "td", "tr", "th", "dd", "dt") and not m[3].endswith("/"):
+            if tag not in VOID and tag not in ("p", "li", "td", "tr", "th", "dd", "dt") and not attrs.endswith("/"):
                 stack.append((tag, place))
-                place = -1 if tag in NO_TEXT else _place(tag, m[3], place)
-            elif tag in ("li", "p", "td") and m[3]:
-                inner = _place(tag, m[3], place)
+                place = -1 if tag in NO_TEXT else _place(tag, attrs, place)
+            elif tag in ("li", "p", "td") and attrs:
+                inner = _place(tag, attrs, place)
                 if inner != place:
                     stack.append((tag, place))
                     place = inner

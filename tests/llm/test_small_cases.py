@@ -238,6 +238,22 @@ def test_page_blocks():
     html_text.main_text("<" * 20_000 + "<a href=\"" * 2_000, tree)
 
 
+@pytest.mark.parametrize("quote", "\"'")
+def test_page_attributes_of_any_length(quote):
+    tree = html_text.trained_tree()
+    long = f"{quote}{'x > <p> ' * 12_500}{quote}"  # 100 000 characters
+    body = "Enough words of a text that the page is about, so that it is kept. " * 3
+    page = (f"<body><nav data-x={long} class=menu><p>{body}</nav><div data-x={long} class='ad'><p>{body}</div>"
+            f"<article style={long}><p>One <img src={long} alt=y> two</article></body>")
+    assert html_text.main_text(page, tree) == "One two"
+    assert [b[0] for b in html_text.blocks_of(f"<p title={quote}a>one<p>it{quote * 2}s {quote}two{quote}")] == \
+        ["one", f"it{quote * 2}s {quote}two{quote}"]
+    assert [b[0] for b in html_text.blocks_of(f"<p {quote}>one<p>two <p class={quote}a>three")] == ["one", "two", "three"]
+    assert [b[0] for b in html_text.blocks_of("<p>1 <b 2 <!-- 3")] == ["1 <b 2"]
+    for part in (f"<a href={quote}", f"<a b={quote}>{quote} ", f"<a b={quote}><p>", "<!", "<a "):
+        html_text.blocks_of(part * 100_000)
+
+
 def test_shards_fit_and_cover(spark, docs):
     rows = sharding.place_rows(docs, limit=60_000).collect()
     assert len(rows) == len(TEXTS)
