@@ -41,7 +41,11 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){0,3}")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+IBAN = re.compile(r"(?<![^\W_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")  # 34 code characters at most
+IBAN_LENGTH = {c[:2]: int(c[2:]) for c in """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 CH21 CR22 CY28 CZ24 DE22 DK18
+DO28 EE20 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IS26 IT27 JO30 KW30 KZ20 LB28 LI21 LT20
+LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SE24 SI19 SK24 SM27 TN24
+TR26 UA29 VG24 XK20""".split()}
 SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
@@ -97,13 +101,31 @@ def _alone(text: str, start: int, end: int) -> bool:
     return not (start and text[start - 1].isalnum()) and not text[end:end + 1].isalnum()
 
 
+def _valid_head(text: str, start: int, end: int) -> int:
+    """The end of the head of a proposal that is a valid code; 0 if there is none.
+
+    One of the length of its country comes first (a longer one can pass by chance, with the start of the next code), then
+    the longest.
+    """
+    best = 0
+    for e in range(end, start + 14, -1):
+        if text[e - 1] != " " and not text[e:e + 1].isalnum():
+            code = text[start:e].replace(" ", "")
+            if 15 <= len(code) <= 34 and mod97(code):
+                if len(code) == IBAN_LENGTH.get(code[:2]):
+                    return e
+                best = best or e
+    return best
+
+
 def ibans(text: str):
-    for m in IBAN.finditer(text):
-        for end in range(m.end(), m.start() + 14, -1):  # the longest head that is a valid code
-            code = text[m.start():end].replace(" ", "")
-            if 15 <= len(code) <= 34 and text[end - 1] != " " and _alone(text, m.start(), end) and mod97(code):
-                yield m.start(), end
-                break
+    """Leftmost non-overlapping codes: on behind an accepted one, from the next start if no head of a proposal is valid."""
+    m = IBAN.search(text)
+    while m:
+        end = _valid_head(text, *m.span())
+        if end:
+            yield m.start(), end
+        m = IBAN.search(text, end or m.start() + 1)
 
 
 def ssns(text: str):

@@ -226,6 +226,26 @@ def test_personal_data_added_kinds_and_long_runs():
         pii.find(run)
 
 
+def test_ibans_next_to_other_codes():
+    found = lambda text: [text[s:e] for k, s, e, _ in pii.find(text) if k == "iban"]
+    codes = ["DE89370400440532013000", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "NO9386011117947",
+             "GB82 WEST 1234 5698 7654 32", "FR1420041010050500013M02606"]
+    assert found(" ".join(codes)) == codes
+    for a in codes:
+        for b in codes:
+            for gap in (" ", "  ", ", ", "\n"):
+                assert found(a + gap + b) == [a, b]
+    assert found("Order RE24 IBAN DE89 3704 0044 0532 0130 00") == [codes[2]]
+    assert found("DE88370400440532013000 " + codes[0]) == [codes[0]]
+    for n in range(500):  # also where a head that runs into the next code passes by chance
+        rest = f"{86011117000 + n}"
+        first = next(c for c in (f"NO{d:02}{rest}" for d in range(2, 99)) if pii.mod97(c))
+        assert found(f"{first} {codes[4]}") == [first, codes[4]]
+    assert not found("x" + codes[0]) and not found(codes[0] + "x") and not found("é" + codes[0])
+    for run in ("AB12 " * 60_000, "AB12" * 75_000, "A" * 300_000):
+        found(run)
+
+
 def test_page_blocks():
     tree = html_text.trained_tree()
     page = ("<html><head><title>T</title><script>var a='</p>';</script></head><body><header>Site name</header><nav><a>Home</a>"
