@@ -3,13 +3,19 @@
 The training texts are cut into blocks of about ``BLOCK_WORDS`` words (whole
 documents).  Each block becomes one stored row: for every term its posting
 list, the sorted word positions in the block; documents are separated by a gap
-as long as a window, so no match crosses a border.  Blocks answer all test
+as long as a window and a stretch, so no match crosses a border.  Blocks answer all test
 windows on their own, so nothing is shuffled and no term or document, however
 frequent or long, meets in one task.  For a window the list of its rarest term
 (by postings over all blocks) is shifted by the term's offset and intersected
 with the shifted lists of its other terms, rarest first: what is left are the
-exact phrase matches.  Proximity matches are the documents in which the three
-rarest terms of an item lie within ``slop`` words without an exact match.
+exact phrase matches.
+
+A proximity match is an edited copy: ``slop`` words in a row of a document hold
+at least ``share`` of the distinct terms of some window of the item, in any
+order, and the item has no phrase match in the document.  It depends on the
+document and the item alone.  Per block, the terms of a window are first counted
+in neighbouring buckets as long as a stretch; the stretches of those that hold
+enough are then counted exactly.
 
 Test items are sent to the tasks in blocks of at most ``QUERY_WORDS`` words; if
 all fit into one, only terms they hold are indexed.
@@ -94,33 +100,64 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, terms: frozenset[by
              "counts array<bigint>, places array<int>")
 
 
-def _near(lists: list[np.ndarray], slop: int) -> np.ndarray:
-    """Positions of the first list that have a position of each other list within ``slop``."""
-    at = lists[0]
-    for other in lists[1:]:
-        right = np.searchsorted(other, at)
-        ahead = other[np.minimum(right, len(other) - 1)]
-        behind = other[np.maximum(right - 1, 0)]
-        at = at[np.minimum(np.abs(ahead - at), np.abs(behind - at)) <= slop]
-    return at
+class _Stretches:
+    """Where ``slop`` words in a row of a block hold enough terms of a window."""
+
+    def __init__(self, lists: dict[bytes, np.ndarray], n_places: int, slop: int, most: int):
+        self.lists, self.slop, self.step = lists, slop, max(1, slop)
+        self.reach = (self.step + slop - 2) // self.step  # a stretch ends so many buckets behind its start at most
+        self.held: dict[bytes, np.ndarray] = {}  # the terms counted now: the buckets from which a stretch can hold them
+        self.total = np.zeros(n_places // self.step + 1 + self.reach, np.uint8 if most < 256 else np.int32)
+
+    def _row(self, term: bytes) -> np.ndarray:
+        there = np.zeros_like(self.total)
+        there[self.lists[term] // self.step + self.reach] = 1
+        row = there.copy()
+        for k in range(1, self.reach + 1):
+            row[:-k] |= there[k:]
+        return row
+
+    def find(self, window: tuple[bytes, ...], need: int) -> np.ndarray:
+        """The first term's place of stretches with ``need`` distinct terms; windows in the items' order go fast."""
+        terms = self.lists.keys() & set(window)
+        if len(terms) < need:
+            return np.zeros(0, np.int64)
+        for t in self.held.keys() - terms:
+            self.total -= self.held.pop(t)
+        for t in terms - self.held.keys():
+            self.held[t] = row = self._row(t)
+            self.total += row
+        if self.total.max() < need:
+            return np.zeros(0, np.int64)
+        buckets = np.flatnonzero(self.total >= need) - self.reach
+        start = (buckets[:, None] * self.step + np.arange(self.step)).ravel()
+        n, first = np.zeros(len(start), np.int64), start + self.slop
+        for t in terms:
+            places = self.lists[t]
+            i = np.searchsorted(places, start)
+            place = np.where(i < len(places), places[np.minimum(i, len(places) - 1)], start + self.slop)
+            n += place < start + self.slop
+            first = np.minimum(first, place)
+        return first[n >= need]
 
 
 class _Asked:
-    """Windows by their rarest term, and the three rarest terms of every item."""
+    """Windows by their rarest term; windows of which enough terms occur, and how many are enough."""
 
-    def __init__(self, windows: dict[tuple[bytes, ...], set[str]], counts: dict[bytes, int]):
+    def __init__(self, windows: dict[tuple[bytes, ...], set[str]], counts: dict[bytes, int], share: tuple[int, int]):
         def rare(w):
             return counts.get(w, 0), w
 
-        self.by_rarest = defaultdict(list)
-        of_item: dict[str, set[bytes]] = defaultdict(set)
-        for window, items in windows.items():
-            order = sorted(range(len(window)), key=lambda i: rare(window[i]))
+        self.by_rarest, self.near = defaultdict(list), []
+        for window, ids in windows.items():
+            order, items = sorted(range(len(window)), key=lambda i: rare(window[i])), sorted(ids)
             if counts.get(window[order[0]], 0):
-                self.by_rarest[window[order[0]]].append(([(i, window[i]) for i in order], sorted(items)))
-            for item in items:
-                of_item[item].update(window)
-        self.near = [(item, sorted(ws, key=rare)[:3]) for item, ws in of_item.items() if len(ws) >= 3]
+                self.by_rarest[window[order[0]]].append(([(i, window[i]) for i in order], items))
+            terms = set(window)
+            need = -(-share[0] * len(terms) // share[1])
+            if sum(w in counts for w in terms) >= need:
+                self.near.append((window, need, items))
+        self.most = max((len(w[0]) for w in self.near), default=0)
 
     def answer(self, starts, lengths, terms, counts, places, slop):
         """Per document of a block: hit word ranges, items with a phrase match, items with a proximity match."""
@@ -141,11 +178,11 @@ class _Asked:
                     hit[at + i] = True
                 for doc in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
                     phrase[doc].update(items)
-        for item, rare in self.near:
-            if all(w in lists for w in rare):
-                at = _near([lists[w] for w in rare], slop)
-                for doc in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
-                    near[doc].add(item)
+        stretches = _Stretches(lists, len(hit), slop, self.most)
+        for window, need, items in self.near:
+            at = stretches.find(window, need)
+            for doc in np.unique(np.searchsorted(starts, at, "right") - 1).tolist() if len(at) else ():
+                near[doc].update(items)
         edge = np.flatnonzero(np.diff(np.concatenate([[False], hit]).astype(np.int8)))
         edge = edge.reshape(-1, 2)  # a document's last word is followed by a gap or the spare place
         owner = np.searchsorted(starts, edge[:, 0], "right") - 1
@@ -176,11 +213,12 @@ def _joined(answers: list[DataFrame]) -> DataFrame:
 
 def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", *, width: int = 13,
-                 slop: int = 26, query_words: int = QUERY_WORDS) -> DataFrame:
+                 slop: int = 26, share: tuple[int, int] = (2, 3), query_words: int = QUERY_WORDS) -> DataFrame:
     """(id, n_words, hits, items, near) per row of ``docs``.
 
     ``hits`` are the ranges of words inside any occurrence of a window (first, past the last), ``items`` the sorted
-    ids of items with a phrase match, ``near`` of those with a proximity match only.
+    ids of items with a phrase match, ``near`` of those with a proximity match only: ``slop`` words in a row hold
+    ``share`` of the terms of a window.
     """
     spark = docs.sparkSession
     item_rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
@@ -194,7 +232,8 @@ def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     only = windows_of(0) if blocks == 1 else None
     index = stored(build_index(docs, id_col, text_col,
-                               frozenset(w for win in only for w in win) if only is not None else None, width), "index")
+                               frozenset(w for win in only for w in win) if only is not None else None, max(width, slop)),
+                   "index")
     sums = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("e")).groupBy("e.terms") \
         .agg(F.sum("e.counts").alias("n"))
 
@@ -202,7 +241,7 @@ def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         known = sorted({w for win in windows for w in win})
         asked = small_table(spark, {"terms": pa.array(known, pa.binary())})
         counts = {bytes(r.terms): r.n for r in sums.join(asked, "terms", "left_semi").collect()}
-        sent = spark.sparkContext.broadcast(_Asked(windows, counts))
+        sent = spark.sparkContext.broadcast(_Asked(windows, counts, share))
 
         def run(batches):
             for batch in batches:

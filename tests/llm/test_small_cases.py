@@ -135,6 +135,54 @@ def test_contamination_and_query_blocks(spark):
                        (5, 1, [(0, 1)], ["11"]), (6, 3, [], []), (6, 2 * n + 1, [(0, 2 * n + 1)], ["", "10"])]
 
 
+def near_by_brute_force(docs, items, width, slop, share):
+    """Per document the items of which some stretch holds the share of a window's terms, without those in exact order."""
+    out = []
+    for _, text in docs:
+        words, exact, near = decontaminate.words_of(text), set(), set()
+        for item, given in items:
+            asked = decontaminate.words_of(given)
+            for i in range(max(1, len(asked) - width + 1) if asked else 0):
+                window = asked[i:i + width]
+                if any(words[a:a + len(window)] == window for a in range(len(words))):
+                    exact.add(str(item))
+                need = -(-share[0] * len(set(window)) // share[1])
+                if any(len(set(words[a:a + slop]) & set(window)) >= need for a in range(len(words))):
+                    near.add(str(item))
+        out.append((sorted(exact), sorted(near - exact)))
+    return out
+
+
+@pytest.mark.parametrize("width,slop,share", [(13, 26, (2, 3)), (4, 6, (3, 4)), (5, 3, (1, 2)), (3, 1, (1, 3))])
+def test_edited_copies_against_brute_force(spark, monkeypatch, width, slop, share):
+    rng = random.Random(width)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate((1, 2, 3, 8, 13, 14, 30, 40))]
+    items += [(20, "absent w1 w2 w3 w4 nowhere w5 w6 w7 w8"), (21, "w9 w9"), (22, ""), (23, None)]
+    docs = []
+    for i in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(40))]
+        copied = (rng.choice(items)[1] or "").split()
+        for _ in range(rng.randrange(4) if copied else 0):
+            copied[rng.randrange(len(copied))] = rng.choice(["new", "other", *vocabulary])
+        docs.append((i, " ".join(words[:9] + copied + words[9:])))
+    docs += [(60 + i, "w9") for i in range(4)] + [(64, "w1 w2 w3 w4"), (65, "w5 w6 w7 w8"), (66, None)]
+    want = near_by_brute_force(docs, items, width, slop, share)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)
+    given = spark.createDataFrame(items, "item_id bigint, text string")
+    for block_words, query_words in ((200_000, decontaminate.QUERY_WORDS), (50, decontaminate.QUERY_WORDS), (200_000, 100)):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
+        rows = decontaminate.find_matches(frame, given, width=width, slop=slop, share=share, query_words=query_words)
+        assert [(r["items"], r.near) for r in sorted(rows.collect(), key=lambda r: r.doc_id)] == want
+
+
+def test_an_edited_copy_of_an_item_with_absent_terms(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox jumps over a lazy dog"), (2, "the quick"), (3, "fox jumps over")],
+                                 "doc_id bigint, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "the quick brown wolf jumps over a lazy dog")], "item_id bigint, text string")
+    assert {r.doc_id: r.near for r in decontaminate.find_matches(docs, items).collect()} == {1: ["1"], 2: [], 3: []}
+
+
 def test_packing_round_trip(spark, docs):
     tok = packing.encoder(packing.default_vocabulary())
     out = packing.pack(docs, size=64, keep_ids=True)
