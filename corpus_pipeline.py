@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: five stages, each over all rows its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.  Rows are matched by
-``doc_id`` or by their place in the files, never by position in a result.
+their place in the files, never by position in a result or by ``doc_id``, which may repeat.
 """
 
 from __future__ import annotations
@@ -29,21 +29,25 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return placed.join(gone, F.col("__loc") == F.col("loc"), "left_anti").select(docs.columns)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = stored(ids.select(F.col("doc_id").alias("__gone")).distinct(), "dropped")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+def _without(placed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose place is not among ``gone``: an id may name several documents."""
+    return placed.join(stored(gone, "dropped"), F.col("__loc") == F.col("loc"), "left_anti").drop("__loc")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8) stays."""
-    return _without(docs, near_dup.near_duplicates(docs).filter("not kept"))
+    """One document of each group of near copies (five words, similarity 0.8) stays: the least id, then the first place."""
+    placed = located(docs)
+    named = placed.select(F.struct("doc_id", "__loc").alias("row"), "text")
+    found = near_dup.near_duplicates(named, "row")
+    return _without(placed, found.filter("not kept").select(F.col("row.__loc").alias("loc")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover a twentieth or more go."""
-    found = decontaminate.find_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    placed = located(docs)
+    found = decontaminate.find_matches(placed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__loc")
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda n, r: n + r["past"] - r["first"])
-    return _without(docs, found.filter((n_hit > 0) & (20 * n_hit >= F.col("n_words"))))
+    return _without(placed, found.filter((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).select(F.col("__loc").alias("loc")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

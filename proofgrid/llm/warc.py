@@ -46,12 +46,12 @@ def sha1_base32(data: Column) -> Column:
 
 
 def _first_copies(rows: DataFrame, least_bytes: int) -> DataFrame:
-    """(id, refers_to) of the rows that repeat the payload of a row with a smaller id."""
-    keyed = rows.select("id", "n_bytes", F.sha2("payload", 256).alias("key")).filter(F.col("n_bytes") >= least_bytes)
+    """(id, key, refers_to) of the rows that repeat the payload of a row with a smaller id; an id may have several."""
+    keyed = rows.select("id", "n_bytes", "key").filter(F.col("n_bytes") >= least_bytes)
     groups = keyed.groupBy("key", "n_bytes").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")) \
         .filter("c > 1")
     return keyed.join(groups, ["key", "n_bytes"]).filter(~F.col("id").eqNullSafe(F.col("first"))) \
-        .select("id", F.col("first").alias("refers_to"))
+        .select("id", "key", F.col("first").alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", *,
@@ -59,10 +59,11 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """Write one record per row of ``pages`` below ``path``; payloads are strings, stored in UTF-8."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", "")
-                        .alias("url"), payload.alias("payload"), F.octet_length(payload).alias("n_bytes"))
+                        .alias("url"), payload.alias("payload"), F.octet_length(payload).alias("n_bytes"),
+                        F.sha2(payload, 256).alias("key"))
     # Stored first: its size decides whether it is sent to the tasks or joined by shuffle.
     copies = stored(_first_copies(rows, least_bytes).distinct(), "revisits")
-    marked = rows.join(copies, rows["id"].eqNullSafe(copies["id"]), "left").select(rows["*"], "refers_to")
+    marked = rows.join(copies, rows["id"].eqNullSafe(copies["id"]) & (rows["key"] == copies["key"]), "left").select(rows["*"], "refers_to")
     text_id = F.coalesce(F.col("id").cast("string"), F.lit(""))
     refers = F.col("refers_to").cast("string")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
@@ -216,9 +217,12 @@ def urn_id(urn: Column, kind: str) -> Column:
 
 
 def with_referred(records: DataFrame, columns: list[str]) -> DataFrame:
-    """Revisits get the payload columns of the record they refer to."""
-    own = records.filter("kind = 'response' and id <> ''").groupBy("id").agg(*[F.first(c).alias(f"__{c}") for c in columns])
-    revisits = records.filter("kind = 'revisit'")
-    joined = revisits.join(own.withColumnRenamed("id", "__id"), F.col("refers_to") == F.col("__id"), "left")
-    filled = joined.withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).select(records.columns)
+    """Revisits get the payload columns of the record they refer to: that with their digest, if an id names several."""
+    named, filled = records.filter("kind = 'response' and id <> ''"), records.filter("kind = 'revisit'")
+    for i, keys in enumerate((["id", "digest"], ["id"])):
+        own = named.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(*[F.first(c).alias(f"__{i}_{c}") for c in columns])
+        same = F.col("refers_to") == F.col("__id")
+        filled = filled.join(own, same & (F.col("digest") == F.col("__digest")) if "digest" in keys else same, "left") \
+            .drop(*[f"__{k}" for k in keys])
+    filled = filled.withColumns({c: F.coalesce(f"__0_{c}", f"__1_{c}", c) for c in columns}).select(records.columns)
     return records.filter("kind <> 'revisit'").unionByName(filled)

@@ -382,6 +382,17 @@ def test_archives_with_magic_in_payloads(spark, split):
     assert got[1].digest32 == base64.b32encode(hashlib.sha1(payloads[1].encode()).digest()).decode()
 
 
+def test_archives_of_repeated_ids(spark):
+    """Every payload is written once at least, every row once, and each revisit refers to its own payload."""
+    rows = [(1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "c"), (3, "a"), (3, "b"), (3, "own"), (4, "own"), (4, None), (None, "a")]
+    path = shared_folder(spark, "warc-test")
+    warc.write_warc(spark.createDataFrame(rows, "page_id bigint, html string").withColumn("url", F.lit("u")), path)
+    records = warc.read_warc(spark, path, {"payload": lambda p: p})
+    assert {bytes(r.payload).decode() for r in records.filter("kind = 'response'").collect()} == {p or "" for _, p in rows}
+    got = warc.with_referred(records, ["payload"]).withColumn("page", warc.urn_id(F.col("id"), "bigint")).collect()
+    assert sorted(((r.page, bytes(r.payload).decode()) for r in got), key=str) == sorted(((i, p or "") for i, p in rows), key=str)
+
+
 @pytest.mark.parametrize("per_lang", [1, 7, 1000])
 def test_language_sample_has_the_smallest_hashes(spark, per_lang):
     """Also where one language has nearly all rows and ids repeat."""
