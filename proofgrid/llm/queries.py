@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proofgrid.llm import (
-    decontaminate, exact_dedup, html_text, language, near_dup, packing, pii, sharding, url_filter, warc,
+    bpe_chunks, collocations, conversations, decontaminate, exact_dedup, html_text, language, near_dup, packing, pii,
+    sharding, url_filter, warc,
 )
 from proofgrid.llm.common import shared_folder
 
@@ -200,6 +201,47 @@ def page_texts(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"), ["page_id", "url"])
 
 
+@query("op11_conversation_repair")
+def repaired_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    talks, copies = conversations.damaged(table(spark, folder, "conversations"))
+    return conversations.repair(talks, copies=copies)
+
+
+@query("op12_collocations", r"""
+    with pieces as (
+        select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+    worded as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), w -> w <> '') as w from pieces),
+    totals as (select lang, sum(len(w))::bigint as n from worded group by lang),
+    placed as (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from worded, range(1, 6) t(k) where len(w) >= k),
+    f as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as f from placed group by all having f >= 100),
+    longer as (
+        select s.lang, s.phrase, max(l.f) as f from f s join f l on l.lang = s.lang and l.k = s.k + 1
+         and (starts_with(l.phrase, s.phrase || ' ') or ends_with(l.phrase, ' ' || s.phrase)) where s.k > 1 group by all),
+    kept as (
+        select f.lang, f.phrase, f.f as a, f.k, string_split(f.phrase, ' ') as w from f
+        left join longer using (lang, phrase) where f.k > 1 and coalesce(longer.f, 0) < f.f),
+    cuts as (select *, unnest(range(1, k)) as j from kept),
+    scored as (
+        select c.lang, c.phrase, c.a, x.f as l, y.f as r, n, j,
+               ((1000 * c.a::hugeint * n) // (x.f::hugeint * y.f))::bigint as score
+        from cuts c join f x on x.lang = c.lang and x.phrase = array_to_string(w[1:j], ' ')
+        join f y on y.lang = c.lang and y.phrase = array_to_string(w[j + 1:], ' ') join totals on totals.lang = c.lang),
+    lowest as (select * from scored qualify row_number() over (partition by lang, phrase order by score, j) = 1)
+    select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+    from lowest qualify rank <= 2000
+""")
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
+@query("op13_bpe_chunks")
+def bpe_documents(spark: SparkSession, folder: str) -> DataFrame:
+    found = bpe_chunks.encode(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
     """All queries of this subpackage, the pipeline included, and their SQL."""
     import corpus_pipeline
