@@ -34,7 +34,7 @@ from proofgrid.llm.common import in_arrow, slices, stored
 
 MOST_WORDS = 5
 SHARDS, ROOT_SHARDS = 32, 256
-HOT = 10_000  # occurrences from which a prefix's stripe is dealt to shards
+HOT = 1 << 22  # occurrences from which a prefix's stripe is dealt to shards
 MAP_BITS = 1 << 25  # of each bitmap: 4 MB, sent to every task
 BORDERS = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\t", b"\n" * 9 + b" ")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -42,18 +42,42 @@ STRIPE = "lang string, prefix string, shard int, words array<string>, counts arr
 UNKNOWN = "und"
 
 
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """Word numbers of all texts, -1 at every border of a piece, and the distinct words."""
-    parts = b"\n".join(texts).lower().translate(BORDERS).replace(b"\n", b" \n ").split(b" ")
-    distinct = list(set(parts) - {b"", b"\n"})
-    number = dict(zip(distinct, range(len(distinct))))
-    number.update({b"\n": -1, b"": -2})
-    ids = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
-    return ids[ids != -2], distinct
+class _Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as far as needed so far."""
 
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
-def word_hashes(words: Iterable[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(n - 1, base, np.uint64)))
+                                  for base in (int(MULTIPLIER), pow(int(MULTIPLIER), -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
+
+
+POWERS = _Powers()
+LETTERS = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+
+
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, piece and hash of every word of ``data``, whose words are parted by blanks and pieces by line feeds.
+
+    The hash of a word is a polynomial over its bytes, taken from one running sum over all of them.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    inside = np.zeros(len(raw) + 2, np.int8)
+    inside[1:-1] = (raw != 10) & (raw != 32)
+    turns = np.flatnonzero(np.diff(inside))
+    starts, ends = turns[::2], turns[1::2]
+    pieces = np.cumsum(raw == 10, dtype=np.int32)[starts] if len(raw) else starts
+    up, down = POWERS.upto(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(LETTERS[raw] * up[:len(raw)], out=sums[1:])
+    return starts, ends, pieces, (sums[ends] - sums[starts]) * down[starts]
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return word_spans(b" ".join(words))[3]
 
 
 def mixed(lang: str, columns: Iterable[np.ndarray], size: int) -> np.ndarray:
@@ -81,44 +105,55 @@ def _grouped(ids: np.ndarray, at: np.ndarray, k: int, size: int) -> tuple[np.nda
 
 
 def stripes_of(lang: str, texts: list[bytes], k: int, often: np.ndarray | None, hot: np.ndarray | None) -> pa.RecordBatch:
-    """``STRIPE`` rows of some texts of one language for prefixes of ``k`` words."""
-    ids, words = words_of(texts)
-    n, size = len(ids), len(words)
-    hashes = word_hashes(words)
-    ends = np.append(np.flatnonzero(ids < 0), n)
-    room = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # words from here to the border
+    """``STRIPE`` rows of some texts of one language for prefixes of ``k`` words.
+
+    Hashes only choose the places; the words found there are told apart by their bytes.
+    """
+    data = b"\n".join(texts).lower().translate(BORDERS)
+    starts, ends, pieces, hashes = word_spans(data)
+    n = len(starts)
+    borders = np.append(np.flatnonzero(np.diff(pieces)) + 1, n)
+    room = borders[np.searchsorted(borders, np.arange(n), "right")] - np.arange(n)  # words from here to the border
     if k == 0:
-        at = np.flatnonzero(room > 0)
-        follows = np.ones(len(at), bool)
-        shards = np.full(1, ROOT_SHARDS)
+        at, follows = np.arange(n), np.ones(n, bool)
     else:
         at = np.flatnonzero(room >= k)
-        places = mixed(lang, (hashes[ids[at + j]] for j in range(k)), len(at))
+        places = mixed(lang, (hashes[at + j] for j in range(k)), len(at))
         kept = _is_set(often, places)
         frequent = np.zeros(n + 1, bool)
         at, places = at[kept], places[kept]
         frequent[at] = True
         follows = (room[at] > k) & frequent[at + 1]
+    asked = np.zeros(n + 1, bool)
+    for j in range(k):
+        asked[at + j] = True
+    asked[at[follows] + k] = True
+    asked = np.flatnonzero(asked)
+    number: dict[bytes, int] = {}
+    ids = np.full(n + 1, -1)
+    ids[asked] = [number.setdefault(data[i:j], len(number)) for i, j in zip(starts[asked].tolist(), ends[asked].tolist())]
+    words, size = list(number), len(number)
+    by_word = np.zeros(size + 1, np.int64)  # null takes the last one
+    by_word[ids[asked]] = (hashes[asked] >> np.uint64(40)).astype(np.int64)
     group, example = _grouped(ids, at, k, size)
+    shards = np.full(len(example), ROOT_SHARDS)
     if k:
         of_group = np.zeros(len(example), np.int64)
         of_group[group] = places
-        shards = np.where(_is_set(hot, of_group), SHARDS, 1) if len(example) else of_group
-    following = np.where(follows, ids[np.minimum(at + k, n - 1)], -1) if n else at
-    keys, counts = np.unique(group * (size + 1) + following + 1, return_counts=True)
+        shards = np.where(_is_set(hot, of_group), SHARDS, 1)
+    keys, counts = np.unique(group * (size + 1) + np.where(follows, ids[np.minimum(at + k, n)], -1) + 1, return_counts=True)
     group, following = keys // (size + 1), keys % (size + 1) - 1
-    by_word = np.append((hashes >> np.uint64(40)).astype(np.int64), 0)[following]  # null takes the last one
-    shard = by_word % shards[group] if len(group) else group
+    shard = by_word[following] % shards[group]
     order = np.lexsort((shard, group))
     group, shard, following, counts = group[order], shard[order], following[order], counts[order]
-    starts = np.flatnonzero(np.diff(group, prepend=-1) | np.diff(shard, prepend=-1)) if len(group) else group
-    bounds = pa.array(np.append(starts, len(group)), pa.int32())
+    first = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(shard, prepend=-1) != 0))
+    bounds = pa.array(np.append(first, len(group)), pa.int32())
     named = pa.array([w.decode() for w in words], pa.string())
     following = named.take(pa.array(following, pa.int64(), mask=following < 0))
     prefixes = pa.array([b" ".join([words[i] for i in ids[e:e + k].tolist()]).decode() for e in example.tolist()], pa.string())
     return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(starts), pa.string()), prefixes.take(pa.array(group[starts], pa.int64())),
-         pa.array(shard[starts], pa.int32()), pa.ListArray.from_arrays(bounds, following),
+        [pa.array([lang] * len(first), pa.string()), prefixes.take(pa.array(group[first], pa.int64())),
+         pa.array(shard[first], pa.int32()), pa.ListArray.from_arrays(bounds, following),
          pa.ListArray.from_arrays(bounds, pa.array(counts, pa.int64()))],
         names=["lang", "prefix", "shard", "words", "counts"])
 
