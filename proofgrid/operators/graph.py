@@ -7,11 +7,13 @@ graph has to fit in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofgrid.functions.numeric import mat4_mul, similarity_inverse
-from proofgrid.session import cut_lineage
+from proofgrid.session import cut_lineage, stored
 
 MAX_ROUNDS = 200
 
@@ -57,81 +59,155 @@ def connected_components(edges: DataFrame, *, group: list[str], a: str, b: str,
         "component", F.coalesce("component", "vertex"))
 
 
-def forest_by_rounds(edges: DataFrame, order: str) -> DataFrame:
-    """Spanning forest of best edges, Boruvka style.
+def _rooted(best: DataFrame) -> DataFrame:
+    """(c, p): the tree root of every component, from its best edge (c, to).
 
-    ``edges`` has a, b (comparable vertices), id and the total order column,
-    smallest first.  Each round every component takes its best outgoing edge.
-    The order has no ties, so these choices form trees around one mutual pair
-    each; pointer jumping finds the pair's smaller end for every component.
+    Best edges under an order without ties form trees around one mutual pair each; its smaller end is the root.  A job
+    goes four steps up, so a chain of any length takes a quarter of its length's binary logarithm of jobs and more.
     """
-    live = cut_lineage(edges.select("id", order, F.col("a").alias("ca"), F.col("b").alias("cb")).filter("ca <> cb"))
-    chosen_ids = None
-    for _ in range(MAX_ROUNDS):
-        ends = live.select(F.col("ca").alias("c"), F.col(order), F.struct("id", F.col("cb").alias("to")).alias("e")) \
-            .unionByName(live.select(F.col("cb").alias("c"), F.col(order), F.struct("id", F.col("ca").alias("to")).alias("e")))
-        best = cut_lineage(ends.groupBy("c").agg(F.min_by("e", F.col(order)).alias("e")).select("c", "e.*"))
-        ids = best.select("id").distinct()
-        chosen_ids = ids if chosen_ids is None else chosen_ids.unionByName(ids)
-        if best.isEmpty():
-            break
-        back = best.select(F.col("c").alias("to"), F.col("to").alias("back"))
-        root = (F.col("back") == F.col("c")) & (F.col("c") < F.col("to"))
-        parents = cut_lineage(best.join(back, "to").select("c", F.when(root, F.col("c")).otherwise(F.col("to")).alias("p")))
-        while True:
-            above = parents.select(F.col("c").alias("p"), F.col("p").alias("g"))
-            parents = cut_lineage(parents.join(above, "p").select("c", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved")))
-            if parents.filter("moved").isEmpty():
-                break
-            parents = parents.drop("moved")
-        to_a = parents.select(F.col("c").alias("ca"), F.col("p").alias("na"))
-        to_b = parents.select(F.col("c").alias("cb"), F.col("p").alias("nb"))
-        live = cut_lineage(live.join(to_a, "ca").join(to_b, "cb").select(
-            "id", order, F.col("na").alias("ca"), F.col("nb").alias("cb")).filter("ca <> cb"))
-    return chosen_ids
-
-
-def spanning_forest(edges: DataFrame, *, group: list[str], a: str, b: str, order: list[Column],
-                    edge_id: str) -> DataFrame:
-    """M09 primitive: the edges of the best spanning forest under a total order.
-
-    Taking edges best first and skipping those that close a cycle gives one
-    forest only, whatever the method, because the order has no ties: pass a
-    unique last key in ``order``.
+    back = best.select(F.col("c").alias("to"), F.col("to").alias("back"))
+    root = (F.col("back") == F.col("c")) & (F.col("c") < F.col("to"))
+    now = best.join(back, "to").select("c", F.when(root, F.col("c")).otherwise(F.col("to")).alias("p"))
+    while True:
+        now = stored(now, "parents")
+        up = now.select(F.col("c").alias("p"), F.col("p").alias("g"))
+        higher = now
+        for step in range(3):
+            higher = higher.join(up, "p").select("c", F.col("g").alias("p"), F.col("p").alias("was"))
+        higher = stored(higher.select("c", "p", (F.col("p") != F.col("was")).alias("open")), "parents")
+        now = higher.select("c", "p")
+        if higher.filter("open").isEmpty():
+            return now
+
+
+def forest_by_rounds(edges: DataFrame, order: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """Ids of the spanning forest of best edges, and (v, root) of every vertex with an edge; Boruvka's rounds.
+
+    ``edges`` has a, b (comparable vertices), id and the total order column, smallest first.  Each round every component
+    takes its best outgoing edge, the trees these form are contracted to their roots, and of parallel edges between two
+    components only the best stays.  Components at least halve each round, so all tables of one kind together are no
+    larger than twice the first.
     """
-    edges = cut_lineage(edges)  # read several times below
+    live = stored(edges.select("id", order, F.col("a").alias("ca"), F.col("b").alias("cb")).filter("ca <> cb"), "live")
+    chosen, merges = [], []
+    while not live.isEmpty():
+        halves = [live.select(F.col(c).alias("c"), F.struct(order, "id", F.col(to).alias("to")).alias("e"))
+                  for c, to in (("ca", "cb"), ("cb", "ca"))]
+        best = stored(halves[0].unionByName(halves[1]).groupBy("c").agg(F.min("e").alias("e")).select("c", "e.id", "e.to"), "best")
+        chosen.append(best.select("id"))
+        merges.append(_rooted(best.select("c", "to")))
+        to_a, to_b = (merges[-1].select(F.col("c").alias(c), F.col("p").alias(p)) for c, p in (("ca", "na"), ("cb", "nb")))
+        moved = live.join(to_a, "ca").join(to_b, "cb").filter("na <> nb")
+        live = stored(moved.groupBy(F.least("na", "nb").alias("ca"), F.greatest("na", "nb").alias("cb")).agg(
+            F.min(F.struct(order, "id")).alias("e")).select("e.id", f"e.{order}", "ca", "cb"), "live")
+    if not chosen:
+        return None, None
+    return reduce(DataFrame.unionByName, chosen).distinct(), _labels(merges)
+
+
+def _labels(merges: list[DataFrame]) -> DataFrame:
+    """(v, root) through all rounds: a round's roots are the next round's vertices, unless they were done."""
+    labels = merges[-1].select(F.col("c").alias("v"), F.col("p").alias("root"))
+    for m in reversed(merges[:-1]):
+        labels = m.join(labels, m.p == labels.v, "left").select(m.c.alias("v"), F.coalesce("root", "p").alias("root"))
+    return stored(labels, "labels")
+
+
+def forest_and_labels(edges: DataFrame, *, group: list[str], a: str, b: str, order: list[Column],
+                      edge_id: str) -> tuple[DataFrame, DataFrame]:
+    """M09 primitive: the edges of the best spanning forest under a total order, and (group..., vertex, component),
+    where component is the smallest vertex of a tree.
+
+    Taking edges best first and skipping those that close a cycle gives one forest only, whatever the method, because
+    the order has no ties: pass a unique last key in ``order``.
+    """
+    edges = stored(edges, "edges")  # read several times below
     tagged = edges.select(
         F.struct(*group, F.col(edge_id).alias("x")).alias("id"),
         F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("__ord"),
         F.struct(*group, F.col(a).alias("x")).alias("a"), F.struct(*group, F.col(b).alias("x")).alias("b"))
-    found = forest_by_rounds(tagged, "__ord")
+    found, labels = forest_by_rounds(tagged, "__ord")
+    if found is None:
+        none = edges.limit(0)
+        return none, none.select(*group, F.col(a).alias("vertex"), F.col(a).alias("component"))
+    least = labels.groupBy("root").agg(F.min("v").alias("least"))
+    named = labels.join(least, "root").select(*[F.col(f"v.{g}").alias(g) for g in group], F.col("v.x").alias("vertex"),
+                                              F.col("least.x").alias("component"))
     ids = found.select(*[F.col(f"id.{g}").alias(g) for g in group], F.col("id.x").alias(edge_id))
-    return edges.join(ids, [*group, edge_id], "left_semi")
+    return edges.join(ids, [*group, edge_id], "left_semi"), named
+
+
+def spanning_forest(edges: DataFrame, *, group: list[str], a: str, b: str, order: list[Column],
+                    edge_id: str) -> DataFrame:
+    """The edges of the best spanning forest alone."""
+    return forest_and_labels(edges, group=group, a=a, b=b, order=order, edge_id=edge_id)[0]
+
+
+IDENTITY = [1.0 if i % 5 == 0 else 0.0 for i in range(16)]
+
+
+def _rooted_with(best: DataFrame) -> DataFrame:
+    """(c, p, m) as in ``_rooted``, with the transform of every component into its root; doubling, two steps a job."""
+    back = best.select(F.col("c").alias("to"), F.col("to").alias("back"))
+    root = (F.col("back") == F.col("c")) & (F.col("c") < F.col("to"))
+    same = F.array(*[F.lit(v) for v in IDENTITY])
+    now = best.join(back, "to").select("c", F.when(root, F.col("c")).otherwise(F.col("to")).alias("p"),
+                                       F.when(root, same).otherwise(F.col("m")).alias("m"))
+    while True:
+        now = stored(now, "parents")
+        up = now.select(F.col("c").alias("p"), F.col("p").alias("g"), F.col("m").alias("n"))
+        higher = now
+        for step in range(2):
+            higher = higher.join(up, "p").select("c", F.col("g").alias("p"), mat4_mul(F.col("n"), F.col("m")).alias("m"),
+                                                 F.col("p").alias("was"))
+        higher = stored(higher.select("c", "p", "m", (F.col("p") != F.col("was")).alias("open")), "parents")
+        now = higher.select("c", "p", "m")
+        if higher.filter("open").isEmpty():
+            return now
 
 
 def compose_poses(tree: DataFrame, anchors: DataFrame, *, group: list[str], a: str, b: str, transform: str) -> DataFrame:
-    """Transforms of every frame into the anchor's frame along tree edges.
+    """(group..., vertex, pose): transforms of every frame into the anchor's frame along tree edges.
 
-    ``transform`` maps b into a; walking an edge the other way uses the inverse.
-    The frontier moves one edge per round for all scenes together.
+    ``transform`` maps b into a; walking an edge the other way uses the inverse.  The forest is contracted in rounds:
+    every component hooks to its neighbour by one edge, pointer doubling with the matrix product as monoid carries all of
+    a tree to its root, and the edges left between components take over the transforms of their ends.  A chain is one
+    round of log(length) jobs.  Frames are expressed in their root and then in the anchor; frames of other trees have
+    no pose, an anchor without an edge has the identity.
     """
-    def half(near, far, m):
-        return tree.select(*group, F.col(near).alias("__near"), F.col(far).alias("vertex"), m.alias("__m"))
-
-    steps = cut_lineage(half(a, b, F.col(transform)).unionByName(half(b, a, similarity_inverse(F.col(transform)))))
-    identity = F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16)])
-    done = cut_lineage(anchors.select(*group, F.col("anchor").alias("vertex"), identity.alias("pose"),
-                                      F.lit(0).alias("depth")))
-    frontier = done
-    for depth in range(1, MAX_ROUNDS * 10):
-        reached = frontier.select(*group, F.col("vertex").alias("__near"), F.col("pose").alias("__p")) \
-            .join(steps, [*group, "__near"]) \
-            .select(*group, "vertex", mat4_mul(F.col("__p"), F.col("__m")).alias("pose"), F.lit(depth).alias("depth"))
-        frontier = cut_lineage(reached.join(done.select(*group, "vertex"), [*group, "vertex"], "left_anti"))
-        if not frontier.limit(1).count():
-            return done
-        done = done.unionByName(frontier)
-    raise RuntimeError("tree is deeper than the round limit")
+    live = stored(tree.select(F.struct(*group, F.col(a).alias("x")).alias("ca"), F.struct(*group, F.col(b).alias("x")).alias("cb"),
+                              F.col(transform).alias("m")).filter("ca <> cb"), "live")
+    vertex = live.schema["ca"].dataType
+    same = F.array(*[F.lit(v) for v in IDENTITY])
+    starts = anchors.select(F.struct(*[F.col(g) for g in group], F.col("anchor").alias("x")).cast(vertex).alias("v"))
+    merges = []
+    while not live.isEmpty():
+        edge = F.struct(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi"))
+        halves = live.select(F.col("ca").alias("c"), edge.alias("o"), F.struct(
+            F.col("cb").alias("to"), similarity_inverse(F.col("m")).alias("m")).alias("e")).unionByName(
+            live.select(F.col("cb").alias("c"), edge.alias("o"), F.struct(F.col("ca").alias("to"), "m").alias("e")))
+        best = stored(halves.groupBy("c").agg(F.min_by("e", "o").alias("e")).select("c", "e.to", "e.m"), "best")
+        merges.append(_rooted_with(best))
+        to_a, to_b = (merges[-1].select(F.col("c").alias(c), F.col("p").alias(n), F.col("m").alias(t))
+                      for c, n, t in (("ca", "na", "ma"), ("cb", "nb", "mb")))
+        moved = live.join(to_a, "ca").join(to_b, "cb").filter("na <> nb")
+        live = stored(moved.select(F.col("na").alias("ca"), F.col("nb").alias("cb"), mat4_mul(
+            mat4_mul(F.col("ma"), F.col("m")), similarity_inverse(F.col("mb"))).alias("m")), "live")
+    if merges:
+        poses = merges[-1].select(F.col("c").alias("v"), F.col("p").alias("root"), "m")
+        for below in reversed(merges[:-1]):
+            above = poses.select(F.col("v").alias("p"), F.col("root").alias("top"), F.col("m").alias("n"))
+            poses = below.join(above, "p", "left").select(
+                F.col("c").alias("v"), F.coalesce("top", "p").alias("root"),
+                F.when(F.col("n").isNull(), F.col("m")).otherwise(mat4_mul(F.col("n"), F.col("m"))).alias("m"))
+        poses = stored(poses, "poses")
+        base = starts.join(poses, "v").select("root", similarity_inverse(F.col("m")).alias("n"))
+        reached = poses.join(base, "root").select("v", mat4_mul(F.col("n"), F.col("m")).alias("pose"))
+        alone = starts.join(poses.select("v"), "v", "left_anti").select("v", same.alias("pose"))
+        reached = reached.unionByName(alone)
+    else:
+        reached = starts.select("v", same.alias("pose"))
+    return reached.select(*[F.col(f"v.{g}").alias(g) for g in group], F.col("v.x").alias("vertex"), "pose")
 
 
 def walk_distances(cells: DataFrame, seeds: DataFrame, *, group: list[str], x: str, y: str) -> DataFrame:

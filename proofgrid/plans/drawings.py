@@ -255,7 +255,7 @@ def f17(t):
     with s as (select l_orderkey, bool_or(l_partkey % 8 = 6) and not bool_or(l_partkey % 8 in (2, 3, 7)) site from lineitem group by 1)
     select 'reference' as part, count(*) as sheets from orders join s on l_orderkey = o_orderkey where site union all select 'floor', count(*) from orders left join s on l_orderkey = o_orderkey where not coalesce(site, false)""")
 def f18(t):
-    site = site_sheets(order_tokens(t), sheet="l_orderkey", text="text")
+    site = site_sheets(order_tokens(t), sheet="l_orderkey", text="text", position="l_linenumber")
     floors, refs = dr.split_references(t.orders.select(F.col("o_orderkey").alias("l_orderkey")), site, keys=["l_orderkey"])
     return refs.agg(F.count(F.lit(1)).alias("sheets")).select(F.lit("reference").alias("part"), "sheets").unionByName(
         floors.agg(F.count(F.lit(1)).alias("sheets")).select(F.lit("floor").alias("part"), "sheets"))

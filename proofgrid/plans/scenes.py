@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofgrid.operators import scenes as sc
-from proofgrid.operators.graph import walk_distances
+from proofgrid.operators.graph import compose_poses, walk_distances
 from proofgrid.plans.registry import query
 
 
@@ -35,6 +35,31 @@ COMPONENTS = """
     cw as (select ee.scene, c, sum(conf) weight from ee join lab on lab.scene = ee.scene and lab.v = ee.a group by all)"""
 
 
+def folded(edges: str, order: str, key: str = "scene") -> str:
+    """SQL for Kruskal's choice: edges best first, folded over a list of component labels per ``key``.
+
+    ``edges`` names a table with the key, a, b and pos; gives vx (key, v, i), kr (key, lab, ch), forest and vlab.
+    """
+    return f"""
+    vx as (select {key}, v, row_number() over (partition by {key} order by v) as i from (select {key}, a as v from {edges} union select {key}, b from {edges})),
+    sorted as (select e.{key}, list(struct_pack(a := x.i, b := y.i, pos := e.pos) order by {order}) as es, max(greatest(x.i, y.i)) as n
+      from {edges} e join vx x on x.{key} = e.{key} and x.v = e.a join vx y on y.{key} = e.{key} and y.v = e.b group by e.{key}),
+    kr as (select {key}, list_reduce(es, lambda acc, x: case when acc.lab[x.a] = acc.lab[x.b] then acc else struct_pack(
+        lab := list_transform(acc.lab, lambda l: case when l = acc.lab[x.b] then acc.lab[x.a] else l end), ch := list_append(acc.ch, x.pos)) end,
+      struct_pack(lab := range(1, n + 1), ch := []::varchar[])) as r from sorted),
+    forest as (select e.* from {edges} e join (select {key}, unnest(r.ch) as pos from kr) c on c.{key} = e.{key} and c.pos = e.pos),
+    vlab as (select vx.{key}, v, r.lab[i] as l from vx join kr on kr.{key} = vx.{key}),
+    vcomp as (select *, min(v) over (partition by {key}, l) as c from vlab)"""
+
+
+TREE = f"""{EDGES}, ep as (select *, a || '-' || b as pos from e), {folded("ep", "e.conf desc, e.pos")},
+    trees as (select f.scene, c, count(*) as edges, round(sum(conf), 9) as w from forest f join vcomp k on k.scene = f.scene and k.v = f.a group by all),
+    best as (select scene, c from trees qualify row_number() over (partition by scene order by edges desc, w desc, c) = 1),
+    tree as (select f.* from forest f join vcomp k on k.scene = f.scene and k.v = f.a join best on best.scene = f.scene and best.c = k.c),
+    strength as (select scene, v, round(sum(conf), 9) as s from (select scene, a as v, conf from tree union all select scene, b, conf from tree) group by all),
+    anchors as (select scene, v as anchor from strength qualify row_number() over (partition by scene order by s desc, v) = 1)"""
+
+
 def vertices(e):
     return e.select("scene", F.col("a").alias("vertex")).union(e.select("scene", "b")).distinct()
 
@@ -155,12 +180,37 @@ def m08(t):
     return out.select("scene", "vec_id", (F.round("affinity", 4) + 0.0).alias("affinity"), "session_match", "accepted")
 
 
-@query("m09_connection_tree")
+@query("m09_connection_tree", f"with {TREE} select tree.scene, a, b, conf, anchor from tree join anchors on anchors.scene = tree.scene")
 def m09(t):
     tree, anchor = sc.connection_tree(trade_edges(t), group=["scene"], a="a", b="b", confidence="conf", pos="pos")
     return tree.join(anchor, "scene").select("scene", "a", "b", "conf", "anchor")
 
 
+@query("m09_frame_poses", f"""
+    with recursive {TREE},
+    arcs as (select scene, a as u, b as v, 1 + ((a + b) % 5 - 2) * 0.01 as s, radians((a * 7 + b * 13) % 360) as th, a % 11 - 5.0 as x, b % 7 - 3.0 as y, (a + b) % 3 - 1.0 as z, true as fwd from tree
+      union all select scene, b, a, 1 + ((a + b) % 5 - 2) * 0.01, radians((a * 7 + b * 13) % 360), a % 11 - 5.0, b % 7 - 3.0, (a + b) % 3 - 1.0, false from tree),
+    step as (select scene, u, v, case when fwd then s else 1 / s end as s, case when fwd then th else -th end as th,
+      case when fwd then x else -(cos(th) * x + sin(th) * y) / s end as x, case when fwd then y else -(cos(th) * y - sin(th) * x) / s end as y,
+      case when fwd then z else -z / s end as z from arcs),
+    walk as (select scene, anchor as v, anchor as prev, 1.0::double as s, 0.0::double as th, 0.0::double as x, 0.0::double as y, 0.0::double as z from anchors
+      union all select w.scene, t.v, w.v, w.s * t.s, w.th + t.th, w.x + w.s * (cos(w.th) * t.x - sin(w.th) * t.y), w.y + w.s * (sin(w.th) * t.x + cos(w.th) * t.y), w.z + w.s * t.z
+      from walk w join step t on t.scene = w.scene and t.u = w.v and t.v <> w.prev)
+    select scene, v as vertex, round(s, 5) as scale, round(x, 3) + 0.0 as x, round(y, 3) + 0.0 as y, round(z, 3) + 0.0 as z from walk""")
+def m09_poses(t):
+    """The edge a-b maps b into a: a turn about z, a scale near one and a shift, all from the two part numbers."""
+    tree, anchor = sc.connection_tree(trade_edges(t), group=["scene"], a="a", b="b", confidence="conf", pos="pos")
+    a, b = F.col("a"), F.col("b")
+    s, th = 1 + ((a + b) % 5 - 2) * 0.01, F.radians((a * 7 + b * 13) % 360)
+    zero = F.lit(0.0)
+    m = F.array(s * F.cos(th), -s * F.sin(th), zero, a % 11 - F.lit(5.0), s * F.sin(th), s * F.cos(th), zero, b % 7 - F.lit(3.0),
+                zero, zero, s, (a + b) % 3 - F.lit(1.0), zero, zero, zero, F.lit(1.0))
+    poses = compose_poses(tree.withColumn("m", m), anchor, group=["scene"], a="a", b="b", transform="m")
+    p = F.col("pose")
+    return poses.select("scene", "vertex", F.round(F.sqrt(p[0] * p[0] + p[4] * p[4]), 5).alias("scale"),
+                        *[(F.round(p[i], 3) + 0.0).alias(c) for i, c in ((3, "x"), (7, "y"), (11, "z"))])
+
+
 @query("m10_remaining_inputs", """
     with art as (select o_custkey, o_orderkey, case o_orderpriority when '1-URGENT' then 'failed' when '2-HIGH' then 'queued' else 'ready' end status,
         case when o_orderstatus = 'P' then 'floorplan' when o_orderstatus = 'F' then 'multi_image' else 'single' end as mode from orders),
