@@ -13,12 +13,14 @@ exact phrase matches.
 A proximity match is an edited copy: ``slop`` words in a row of a document hold
 at least ``share`` of the distinct terms of some window of the item, in any
 order, and the item has no phrase match in the document.  It depends on the
-document and the item alone.  Per block, the terms of a window are first counted
-in neighbouring buckets as long as a stretch; the stretches of those that hold
-enough are then counted exactly.
+document and the item alone.  A window of d terms that needs m of them is only
+near one of its d-m+1 rarest: their postings are the candidates, the terms in
+the 2 x ``slop`` words around each are counted at once, and where enough are
+there, every stretch is.
 
-Test items are sent to the tasks in blocks of at most ``QUERY_WORDS`` words; if
-all fit into one, only terms they hold are indexed.
+The index holds the terms whose bit is set in a bitmap of the items' terms, of
+fixed size whatever their number.  Test items are sent to the tasks in blocks
+of at most ``QUERY_WORDS`` words.
 
 Defined results: a null or empty text has no words; an item without words
 matches nothing; a null item id counts as the empty string; items that repeat
@@ -33,6 +35,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,8 @@ from proofgrid.llm.common import in_arrow, long_lists, slices, small_table, stor
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # of text with A-Z in lower case; bytes from 0x80 are parts of other letters
 BLOCK_WORDS = 200_000
 QUERY_WORDS = 1_000_000
+TERM_BITS = 1 << 23  # of the bitmap of the items' terms: 1 MB, sent to every task
+PAIRS_AT_ONCE = 20_000  # candidates whose surroundings are looked at together
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -57,18 +62,39 @@ def _windows(items: list[tuple[str, str | None]], width: int) -> dict[tuple[byte
     return out
 
 
-def build_index(docs: DataFrame, id_col: str, text_col: str, terms: frozenset[bytes] | None, gap: int) -> DataFrame:
+def _bit(term: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(term) % TERM_BITS
+
+
+def asked_terms(items: DataFrame) -> bytes:
+    """The bitmap of all terms of ``items`` (text)."""
+    def run(batches):
+        for batch in batches:
+            bits = np.unique([_bit(w) for w in {w for t in batch.column(0).to_pylist() for w in words_of(t)}]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bits)], names=["h"])
+
+    words = in_arrow(items.select("text"), run, "h bigint").groupBy(F.shiftright("h", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(TERM_BITS // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.tobytes()
+
+
+def build_index(docs: DataFrame, id_col: str, text_col: str, asked: bytes, gap: int) -> DataFrame:
     """One row per block: ids, starts and lengths of its documents; terms, their counts and their positions.
 
-    ``terms`` limits the index to the terms that can be asked for.
+    Only terms whose bit is set in ``asked`` are kept.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(asked)
 
     def block(ids: pa.Array, lengths: list[int], found: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
-        lists: dict[bytes, list[int]] = defaultdict(list)
+        bits = sent.value
+        lists: dict[bytes, list[int]] = {
+            w: [] for w in set().union(*[words for _, words in found]) if bits[(b := _bit(w)) >> 3] >> (b & 7) & 1}
         for start, words in found:
             for at, w in enumerate(words, start):
-                if terms is None or w in terms:
+                if w in lists:
                     lists[w].append(at)
         starts = np.cumsum([0, *[n + gap for n in lengths[:-1]]], dtype=np.int64)
         counts = np.array([len(v) for v in lists.values()], np.int64)
@@ -100,47 +126,6 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, terms: frozenset[by
              "counts array<bigint>, places array<int>")
 
 
-class _Stretches:
-    """Where ``slop`` words in a row of a block hold enough terms of a window."""
-
-    def __init__(self, lists: dict[bytes, np.ndarray], n_places: int, slop: int, most: int):
-        self.lists, self.slop, self.step = lists, slop, max(1, slop)
-        self.reach = (self.step + slop - 2) // self.step  # a stretch ends so many buckets behind its start at most
-        self.held: dict[bytes, np.ndarray] = {}  # the terms counted now: the buckets from which a stretch can hold them
-        self.total = np.zeros(n_places // self.step + 1 + self.reach, np.uint8 if most < 256 else np.int32)
-
-    def _row(self, term: bytes) -> np.ndarray:
-        there = np.zeros_like(self.total)
-        there[self.lists[term] // self.step + self.reach] = 1
-        row = there.copy()
-        for k in range(1, self.reach + 1):
-            row[:-k] |= there[k:]
-        return row
-
-    def find(self, window: tuple[bytes, ...], need: int) -> np.ndarray:
-        """The first term's place of stretches with ``need`` distinct terms; windows in the items' order go fast."""
-        terms = self.lists.keys() & set(window)
-        if len(terms) < need:
-            return np.zeros(0, np.int64)
-        for t in self.held.keys() - terms:
-            self.total -= self.held.pop(t)
-        for t in terms - self.held.keys():
-            self.held[t] = row = self._row(t)
-            self.total += row
-        if self.total.max() < need:
-            return np.zeros(0, np.int64)
-        buckets = np.flatnonzero(self.total >= need) - self.reach
-        start = (buckets[:, None] * self.step + np.arange(self.step)).ravel()
-        n, first = np.zeros(len(start), np.int64), start + self.slop
-        for t in terms:
-            places = self.lists[t]
-            i = np.searchsorted(places, start)
-            place = np.where(i < len(places), places[np.minimum(i, len(places) - 1)], start + self.slop)
-            n += place < start + self.slop
-            first = np.minimum(first, place)
-        return first[n >= need]
-
-
 class _Asked:
     """Windows by their rarest term; windows of which enough terms occur, and how many are enough."""
 
@@ -148,16 +133,52 @@ class _Asked:
         def rare(w):
             return counts.get(w, 0), w
 
-        self.by_rarest, self.near = defaultdict(list), []
+        self.by_rarest, near = defaultdict(list), []
         for window, ids in windows.items():
             order, items = sorted(range(len(window)), key=lambda i: rare(window[i])), sorted(ids)
             if counts.get(window[order[0]], 0):
                 self.by_rarest[window[order[0]]].append(([(i, window[i]) for i in order], items))
             terms = set(window)
-            need = -(-share[0] * len(terms) // share[1])
-            if sum(w in counts for w in terms) >= need:
-                self.near.append((window, need, items))
-        self.most = max((len(w[0]) for w in self.near), default=0)
+            need, known = -(-share[0] * len(terms) // share[1]), sorted(terms & counts.keys(), key=rare)
+            if len(known) >= need:
+                near.append((known, need, items))
+        self.number = {t: i for i, t in enumerate(sorted({t for known, _, _ in near for t in known}))}
+        self.need = np.array([need for _, need, _ in near], np.int64)
+        self.items = [items for _, _, items in near]
+        self.terms = np.full((len(near), max((len(k) for k, _, _ in near), default=0)), -2, np.int32)
+        keys: list[list[int]] = [[] for _ in self.number]
+        for w, (known, need, _) in enumerate(near):
+            self.terms[w, :len(known)] = [self.number[t] for t in known]
+            for t in known[:len(known) - need + 1]:
+                keys[self.number[t]].append(w)
+        self.key_count = np.array([*map(len, keys), 0], np.int64)  # the last one is for terms that no window asks for
+        self.key_start = np.cumsum(self.key_count) - self.key_count
+        self.key_window = np.array([w for of in keys for w in of], np.int64)
+
+    def nearby(self, terms, counts, places, n_places: int, slop: int):
+        """(place, window) of stretches that hold enough of a window's terms."""
+        number = np.array([self.number.get(t, -1) for t in terms], np.int32)
+        of_place = np.repeat(number, counts)
+        around = np.full(n_places + 2 * slop, -1, np.int32)
+        around[places + slop] = of_place
+        per = self.key_count[of_place]
+        at, term, per = places[per > 0].astype(np.int64), of_place[per > 0], per[per > 0]
+        cuts = np.searchsorted(np.cumsum(per), np.arange(PAIRS_AT_ONCE, per.sum(), PAIRS_AT_ONCE), "right")
+        for some, of, n in zip(*[np.split(x, np.unique(cuts)) for x in (at, term, per)]):
+            if not len(some):
+                continue
+            place = np.repeat(some, n)
+            window = self.key_window[np.repeat(self.key_start[of] - (np.cumsum(n) - n), n) + np.arange(len(place))]
+            words, wanted, need = around[place[:, None] + np.arange(1, 2 * slop)], self.terms[window], self.need[window]
+            there = sum((words == wanted[:, j, None]).any(axis=1).astype(np.int64) for j in range(wanted.shape[1]))
+            kept = there >= need
+            place, window, words, wanted, need = (x[kept] for x in (place, window, words, wanted, need))
+            held = np.zeros((len(place), slop), np.int64)  # distinct terms of the stretches that start at each place
+            for j in range(wanted.shape[1]):
+                seen = np.cumsum(np.pad(words == wanted[:, j, None], ((0, 0), (1, 0))), axis=1)
+                held += seen[:, slop:] > seen[:, :-slop]
+            kept = held.max(axis=1, initial=0) >= need
+            yield from zip(place[kept].tolist(), window[kept].tolist())
 
     def answer(self, starts, lengths, terms, counts, places, slop):
         """Per document of a block: hit word ranges, items with a phrase match, items with a proximity match."""
@@ -178,11 +199,8 @@ class _Asked:
                     hit[at + i] = True
                 for doc in np.unique(np.searchsorted(starts, at, "right") - 1).tolist():
                     phrase[doc].update(items)
-        stretches = _Stretches(lists, len(hit), slop, self.most)
-        for window, need, items in self.near:
-            at = stretches.find(window, need)
-            for doc in np.unique(np.searchsorted(starts, at, "right") - 1).tolist() if len(at) else ():
-                near[doc].update(items)
+        for place, window in self.nearby(terms, counts, places, len(hit), slop) if lists and self.items else ():
+            near[int(np.searchsorted(starts, place, "right")) - 1].update(self.items[window])
         edge = np.flatnonzero(np.diff(np.concatenate([[False], hit]).astype(np.int8)))
         edge = edge.reshape(-1, 2)  # a document's last word is followed by a gap or the spare place
         owner = np.searchsorted(starts, edge[:, 0], "right") - 1
@@ -230,10 +248,7 @@ def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     def windows_of(b: int):
         return _windows([(r.item, r.text) for r in keyed.filter(F.col("b") == b).collect()], width)
 
-    only = windows_of(0) if blocks == 1 else None
-    index = stored(build_index(docs, id_col, text_col,
-                               frozenset(w for win in only for w in win) if only is not None else None, max(width, slop)),
-                   "index")
+    index = stored(build_index(docs, id_col, text_col, asked_terms(item_rows), max(width, slop)), "index")
     sums = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("e")).groupBy("e.terms") \
         .agg(F.sum("e.counts").alias("n"))
 
@@ -264,6 +279,7 @@ def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         return in_arrow(index, run, f"block string, doc bigint, id {kind}, n_words bigint, hits array<struct<first:bigint,past:bigint>>, "
                                      "items array<string>, near array<string>")
 
-    found = ask(only) if blocks == 1 else _joined([ask(windows_of(b)) for b in range(blocks)])
+    answers = [ask(windows_of(b)) for b in range(blocks)]
+    found = answers[0] if blocks == 1 else _joined(answers)
     return found.select(F.col("id").alias(id_col), "n_words", "hits", "items",
                         F.array_except("near", "items").alias("near"))

@@ -79,8 +79,8 @@ def gram_cells(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Column, per_lang: int) -> DataFrame:
     """(lang, text) of at most ``per_lang`` labelled training texts per language, picked by the hash of the id."""
-    chosen = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()) \
-        .select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
+    labelled = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    chosen = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
     # Counts per cell of the hash, combined where they are read, tell how far the sample reaches in each language: the
     # exact choice then sees little more than the sample, however many rows a language has.
     chosen = chosen.withColumn("cell", F.shiftright("h", 64 - HASH_BITS))
@@ -91,8 +91,9 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train: Co
     near = chosen.join(F.broadcast(reach), "lang").filter("cell <= last")  # one row per language
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
     few = ranked.filter(F.col("r") <= per_lang).select("id", "lang").distinct()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        F.broadcast(few), "id").select("lang", "text")  # per_lang ids per language at most
+    # Labelled rows only, by id and language: an id may also name rows without text, without label or of other languages.
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return rows.join(F.broadcast(few), ["id", "lang"]).select("lang", "text")  # per_lang ids per language at most
 
 
 class Model:
@@ -102,7 +103,8 @@ class Model:
         self.langs = langs
         smooth = counts + 0.5
         logp = np.log(smooth / smooth.sum(axis=0))
-        self.cells = (logp - logp.mean(axis=1, keepdims=True)).astype(np.float32)
+        middle = logp.mean(axis=1, keepdims=True) if langs else 0.0
+        self.cells = (logp - middle).astype(np.float32)
         share = scripts / np.maximum(scripts.sum(axis=0), 1)
         self.uses = share >= 0.01  # script x language
 

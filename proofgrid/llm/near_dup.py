@@ -214,7 +214,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components_by_rounds(links)
     more = stored(_confirmed(_rest_pairs(postings, labels, t, sketch), sets, ratio, screen), "links")
     if not more.isEmpty():
-        labels = components_by_rounds(links.unionByName(more))
+        # The first labels stay; only the components that the new links join are labelled again.
+        ends = [labels.select(F.col("v").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+        joined = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(
+            F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        merged = components_by_rounds(joined).select(F.col("v").alias("c"), F.col("component").alias("top"))
+        known = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+                                   .join(labels, "v", "left_anti").withColumn("component", F.col("v")))
+        labels = known.join(merged, F.col("component") == F.col("c"), "left") \
+            .select("v", F.coalesce("top", "component").alias("component"))
     rep = sig.filter("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("rep"))
     labels = labels.select(F.col("v").alias("node"), "component")
     linked = rep.join(labels, "node")

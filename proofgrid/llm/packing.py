@@ -14,6 +14,8 @@ are packed like any others.
 from __future__ import annotations
 
 import base64
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict, deque
@@ -29,26 +31,57 @@ SLOT_ROWS = 10_000  # slots that one row of the plan stands for, at most
 
 
 def default_vocabulary() -> str:
-    """The installed byte-level BPE vocabulary, in the form of ranks."""
+    """The installed byte-level BPE vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def default_ranks() -> str:
+    """The same vocabulary as ranks: equal ids for ordinary text, four times as fast."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-_ENCODERS: dict[str, object] = {}
+class Encoder:
+    """Ids of texts as the vocabulary's own library gives them, one per Python worker.
+
+    Ranks serve ordinary texts.  Texts with a special string, whose id they lack, and texts with a run of blanks or of
+    other characters too long for their pattern go to the library itself.
+    """
+
+    def __init__(self, vocabulary: str, ranks: str | None):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core only
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(vocabulary)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        special = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([r"\s{200}", r"\S{2000}", *special]))
+        self.quick = None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.quick = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        if self.quick is None or self.odd.search(text):
+            return self.whole.encode(text, add_special_tokens=False).ids
+        return self.quick.encode_ordinary(text)
+
 
+_ENCODERS: dict[tuple[str, str | None], Encoder] = {}
 
-def encoder(vocabulary: str):
-    """The tokenizer of a vocabulary file, one per Python worker; special strings in a text are ordinary text."""
-    if vocabulary not in _ENCODERS:
-        import public_tokenizers
-        import tiktoken
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[vocabulary] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                                  special_tokens={})
-    return _ENCODERS[vocabulary]
+def encoder(vocabulary: str, ranks: str | None) -> Encoder:
+    if (vocabulary, ranks) not in _ENCODERS:
+        _ENCODERS[vocabulary, ranks] = Encoder(vocabulary, ranks)
+    return _ENCODERS[vocabulary, ranks]
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -57,14 +90,15 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, first), *((start, size) for start in range(first, n, size))]
 
 
-def pieces(docs: DataFrame, id_col: str, text_col: str, size: int, vocabulary: str, keep_ids: bool) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str, text_col: str, size: int, vocabulary: str, ranks: str | None,
+           keep_ids: bool) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of every text, ended by token 0."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def tokenize(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tok, owner, out = encoder(vocabulary), [], []
+        tok, owner, out = encoder(vocabulary, ranks), [], []
         for row, text in enumerate(batch.column(1).to_pylist()):
-            ids = np.array([*tok.encode_ordinary(text or ""), 0], "<u4")
+            ids = np.array([*tok.encode(text or ""), 0], "<u4")
             for i, (start, n) in enumerate(cut(len(ids), size)):
                 part = ids[start:start + n]
                 owner.append(row)
@@ -117,7 +151,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, siz
          vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset[, ids]) per piece."""
     spark = docs.sparkSession
-    cutup = stored(pieces(docs, id_col, text_col, size, vocabulary or default_vocabulary(), keep_ids), "pieces")
+    ranks = default_ranks() if vocabulary is None else None
+    cutup = stored(pieces(docs, id_col, text_col, size, vocabulary or default_vocabulary(), ranks, keep_ids), "pieces")
     histogram = {r.length: r.n for r in cutup.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = [(n, rank + d, min(SLOT_ROWS, number - d), first + d, offset)
             for n, rank, number, first, offset in plan_slots(histogram, size) for d in range(0, number, SLOT_ROWS)]

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from proofgrid.functions.numeric import add, dist3, dot, half_up, rotate_up
 from proofgrid.operators.graph import connected_components, forest_and_labels, spanning_forest
 from proofgrid.operators.ranking import exact_median, first_by, join_back, number_rows, top_k, with_group_stats
+from proofgrid.session import stored
 
 # Match gates, nomination limits and room-graph constants.
 RATIO_TEST = 0.72
@@ -311,7 +312,7 @@ def connection_tree(edges: DataFrame, *, group: list[str], a: str, b: str, confi
     confidence, ties to the lowest frame.
     """
     forest, labels = forest_and_labels(edges, group=group, a=a, b=b, order=[-F.col(confidence), F.col(pos)], edge_id=pos)
-    marked = forest.join(labels.withColumnRenamed("vertex", a), [*group, a])
+    marked = stored(forest.join(labels.withColumnRenamed("vertex", a), [*group, a]), "trees")
     trees = marked.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("__e"), F.sum(confidence).alias("__w"))
     best = first_by(trees, group, [F.col("__e").desc(), F.round("__w", 9).desc(), F.col("component")])
     tree = marked.join(best.select(*group, "component"), [*group, "component"], "left_semi")

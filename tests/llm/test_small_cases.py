@@ -184,27 +184,44 @@ def test_an_edited_copy_of_an_item_with_absent_terms(spark):
 
 
 def test_packing_round_trip(spark, docs):
-    tok = packing.encoder(packing.default_vocabulary())
+    tok = packing.encoder(packing.default_vocabulary(), packing.default_ranks())
     out = packing.pack(docs, size=64, keep_ids=True)
     rows = out.collect()
-    assert len(rows) == sum(len(packing.cut(len(tok.encode_ordinary(t or "")) + 1, 64)) for _, t in TEXTS)
+    assert len(rows) == sum(len(packing.cut(len(tok.encode(t or "")) + 1, 64)) for _, t in TEXTS)
     ids = sorted(sum((r.ids for r in sorted((r for r in rows if r.doc_id == 6), key=lambda r: r.piece)), []))
-    assert ids == sorted([*tok.encode_ordinary(LONG), 0])
+    assert ids == sorted([*tok.encode(LONG), 0])
     whole = {r.sequence_id: r.ids for r in packing.assemble(out).collect()}
     assert all(len(v) <= 64 for v in whole.values())
     for r in rows:
         assert whole[r.sequence_id][r.offset:r.offset + r.length] == r.ids
 
 
-def test_vocabulary_files_agree():
-    import public_tokenizers
+def test_ids_are_those_of_the_vocabulary_and_its_library():
+    """Also special strings, and runs that the ranks' pattern can't take."""
     from tokenizers import Tokenizer
 
-    reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
-    tok = packing.encoder(packing.default_vocabulary())
-    for text in ("", " ", "It's 12,5 €\n\n\tfin  ", "Ünïcode größe ça", "x" * 300, "<|endoftext|>"):
-        assert tok.encode_ordinary(text) == reference.encode(text, add_special_tokens=False).ids
+    reference = Tokenizer.from_file(packing.default_vocabulary())
+    tok = packing.encoder(packing.default_vocabulary(), packing.default_ranks())
+    for text in ("", " ", "It's 12,5 €\n\n\tfin  ", "Ünïcode größe ça", "x" * 300, "a <|endoftext|> b", "<|endoftext|", "." * 5000,
+                 " " * 1_000_000, "a" + "\n" * 300_000 + "b", "word " * 3000 + " " * 201):
+        assert tok.encode(text) == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_takes_a_very_long_run(spark):
+    df = spark.createDataFrame([(1, " " * 1_000_000), (2, "a <|endoftext|> b")], "doc_id bigint, text string")
+    rows = packing.pack(df, keep_ids=True).collect()
+    assert [r.ids for r in rows if r.doc_id == 2] == [[64, 220, 50256, 275, 0]]
+
+
+def test_language_learns_labelled_rows_only(spark):
+    """A repeated id names rows without text, without a label, and of another language."""
+    rows = [(1, "the cat and the dog", "en"), (1, None, None), (1, "zzz unlabelled", None), (1, "le chat et le chien", "fr"), (2, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(map(tuple, language.sample(df, "doc_id", "text", "lang", F.lit(True), 10).collect())) \
+        == [("en", "the cat and the dog"), ("fr", "le chat et le chien")]
+    got = language.identify(df, train=F.lit(True), columns=["doc_id", "text"]).collect()
+    assert {r.text: r.lang_pred for r in got if r.text and "zzz" not in r.text} == {rows[0][1]: "en", rows[3][1]: "fr"}
+    assert [r.lang_pred for r in got if r.text is None] == ["und", "und"]
 
 
 def test_plan_is_gapless_and_tight():
