@@ -11,7 +11,7 @@ from proofgrid.functions.numeric import clamp
 from proofgrid.operators.graph import connected_components, spanning_forest
 from proofgrid.operators.labels import is_room_label, level_anchor
 from proofgrid.operators.ranking import first_by, join_back, number_rows, top_k
-from proofgrid.session import cut_lineage
+from proofgrid.session import cut_lineage, stored
 
 # Tolerances and sizes of the plan rules.
 MIN_SEGMENT_SHARE = 0.045
@@ -70,16 +70,24 @@ def merge_collinear(segments: DataFrame, *, keys: list[str]) -> DataFrame:
 def merge_intervals(df: DataFrame, *, keys: list[str], start: str, end: str, gap: float, offset: Column | None = None) -> DataFrame:
     """Gaps and islands: intervals closer than ``gap`` become one.
 
-    Equal intervals are first counted into one row, which is where a popular
-    key has its bulk.
+    Equal intervals are first counted into one row, which is where a popular key has its bulk.  The rest is sorted once
+    into slices, which cut long keys; how far the intervals of a key reach, and how many islands it has, is first known
+    per slice and then carried over its slices, so no window sees more than a slice of a key.
     """
     extra = [] if offset is None else [offset.alias("offset")]
     base = df.groupBy(*keys, start, end).agg(F.count(F.lit(1)).alias("__c"), *extra)
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = base.withColumn("__new", F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0))
-    island = F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    merged = marked.withColumn("island", island.cast("bigint"))
+    sliced = stored(base.repartitionByRange(*map(F.col, [*keys, start, end])).sortWithinPartitions(*keys, start, end)
+                    .withColumn("__slice", F.spark_partition_id()), "intervals")
+    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    part = [*keys, "__slice"]
+    tops = sliced.groupBy(*part).agg(F.max(end).alias("__top")).select(*part, F.max("__top").over(earlier).alias("__reach"))
+    inside = Window.partitionBy(*part).orderBy(start, end)
+    reach = F.greatest(F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("__reach"))
+    marked = join_back(sliced, tops, part).withColumn("__before", reach).withColumn(
+        "__new", F.when(F.col("__before").isNull() | (F.col(start) > F.col("__before") + gap), 1).otherwise(0))
+    counts = marked.groupBy(*part).agg(F.sum("__new").alias("__n")).select(*part, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__islands"))
+    island = F.sum("__new").over(inside.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__islands")
+    merged = join_back(marked, counts, part).withColumn("island", island.cast("bigint"))
     more = [] if offset is None else [(F.sum(F.col("offset") * F.col("__c")) / F.sum("__c")).alias("offset")]
     return merged.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end),
                                                F.sum("__c").alias("members"), *more)

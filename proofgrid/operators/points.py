@@ -120,7 +120,7 @@ def robust_similarity(pairs: DataFrame, *, keys: list[str], order: list[Column],
     """
     rows = number_rows(pairs, keys, order, "__rn", slice_by)
     facts = join_back(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")),
-                      exact_median(rows.withColumn("__az", F.col("az")), keys, "__az", "__mz", 1024), keys)
+                      exact_median(rows.withColumn("__az", F.col("az")), keys, "__az", "__mz"), keys)
     facts = facts.filter("__n >= 3").withColumn("__limit", F.greatest(F.lit(0.08), F.col("__mz") * 0.05)) \
         .withColumn("__seed", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(2**31)))
 
@@ -413,7 +413,7 @@ def clamp_needles(points: DataFrame, *, keys: list[str]) -> DataFrame:
     top half percent of its frame.
     """
     shaped = points.withColumn("__ax", _sorted_axes()).withColumn("__big", F.col("__ax")[2]["v"])
-    tails = exact_quantile(shaped, keys, "__big", TAIL_QUANTILE, "__tail", 256)
+    tails = exact_quantile(shaped, keys, "__big", TAIL_QUANTILE, "__tail")
     both = join_back(shaped, tails, keys)
     second = F.col("__ax")[1]["v"]
     hit = (F.col("__big") / F.greatest(second, F.lit(1e-8)) > NEEDLE_RATIO) & (F.col("__big") >= F.col("__tail"))
@@ -438,7 +438,7 @@ def colour_gains(samples: DataFrame, edges: DataFrame, *, scene: str, a: str, b:
                                   .alias(f"l{c}") for c in "rgb"])
     facts = ratios.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples")).filter(F.col("samples") >= MIN_COLOUR_SAMPLES)
     for c in "rgb":
-        facts = join_back(facts, exact_median(ratios, keys, f"l{c}", f"m{c}", 4096), keys)
+        facts = join_back(facts, exact_median(ratios, keys, f"l{c}", f"m{c}"), keys)
     pairs = facts.join(edges.select(*keys, F.col(confidence).cast("double").alias("__c")), keys)
     ftype = edges.schema[a].dataType
     schema = T.StructType([edges.schema[scene], T.StructField("frame", ftype), *[T.StructField(f"gain_{c}", T.DoubleType()) for c in "rgb"],
@@ -542,10 +542,10 @@ def calibrate_cameras(cameras: DataFrame, constraints: DataFrame, anchors: DataF
         .withColumn("__joint", base(F.col("__rel"))).withColumn("__metric", base(F.col("transform")))
     usable = pairs.filter((F.col("__gap") <= MAX_ROTATION_GAP_DEG) & (F.col("__joint") > MIN_BASELINE) & (F.col("__metric") > MIN_BASELINE)) \
         .withColumn("__factor", F.col("__metric") / F.col("__joint"))
-    scales = weighted_median(usable, scene, "__factor", F.greatest(F.lit(0.05), F.col("confidence")), "metric_scale", 4096)
-    gaps = exact_median(usable, scene, "__gap", "rotation_median_deg", 4096)
+    scales = weighted_median(usable, scene, "__factor", F.greatest(F.lit(0.05), F.col("confidence")), "metric_scale")
+    gaps = exact_median(usable, scene, "__gap", "rotation_median_deg")
     raw = cameras.withColumn("__raw", F.greatest(F.lit(0.0), F.coalesce("depth_confidence", F.lit(0.0))))
-    mids = exact_median(raw, scene, "__raw", "__mid", 4096)
+    mids = exact_median(raw, scene, "__raw", "__mid")
     facts = join_back(join_back(scales, gaps, scene), mids, scene)
     root = anchors.select(*scene, F.col("anchor")).join(side("anchor"), [*scene, "anchor"])
     both = raw.join(facts, scene).join(root, scene)
@@ -600,7 +600,7 @@ def capture_envelope(cameras: DataFrame, queries: DataFrame, *, scene: str, came
     two metres.  A scene needs two cameras.
     """
     spacing = nearest_distance(cameras, cameras, keys=[scene], query=camera, target=camera, out="spacing", others_only=True)
-    mids = upper_median(spacing, [scene], "spacing", "__mid", 1024)
+    mids = upper_median(spacing, [scene], "spacing", "__mid")
     radius = mids.select(scene, F.greatest(F.lit(2.0), F.col("__mid") * 3).alias("measured_radius"))
     near = nearest_distance(queries.join(radius.select(scene), scene, "left_semi"), cameras, keys=[scene], query=query,
                             target=camera, out="nearest_distance")

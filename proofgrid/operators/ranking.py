@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proofgrid.session import stored
+
 
 def join_back(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Attach one-row-per-key ``stats``; NULL keys match each other.
@@ -93,85 +95,78 @@ def running_sum(df: DataFrame, keys: list[str], order: list[Column], value: Colu
     return both.withColumn(out, local + F.col("__before")).drop("__slice", "__before", "__v")
 
 
-def _bucket(value: Column, resolution: int) -> Column:
-    """A coarse step function that never decreases with the value."""
-    v = value.cast("double")
-    return F.signum(v) * F.floor(F.log2(F.abs(v) + 1.0) * float(resolution))
-
-
-def _with_cumulative(df: DataFrame, keys: list[str], value: str, weight: Column, resolution: int):
-    """Per distinct value its weight, its coarse bucket, and cumulative bucket weights."""
-    d = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value).agg(F.sum(weight).alias("__w"))
-        .withColumn("__b", _bucket(F.col(value), resolution))
-    )
-    buckets = d.groupBy(*keys, "__b").agg(F.sum("__w").alias("__bw"))
-    ordered = Window.partitionBy(*keys).orderBy("__b")
-    buckets = (
-        buckets
-        .withColumn("__end", F.sum("__bw").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("__total", F.sum("__bw").over(Window.partitionBy(*keys)))
-        .withColumn("__start", F.col("__end") - F.col("__bw"))
-    )
-    return d, buckets
-
-
-def exact_quantile(df: DataFrame, keys: list[str], value: str, p: float, out: str,
-                   resolution: int = 64) -> DataFrame:
-    """Exact quantile per key with linear interpolation between neighbours.
+def _value_reaching(df: DataFrame, keys: list[str], value: str, weight: Column, wanted: list[tuple[str, Column, bool]]) -> DataFrame:
+    """(keys..., tag, total, v): the first value at which the cumulative weight reaches what is wanted.
 
-    Values are counted map-side; cumulative counts of coarse buckets locate the
-    one or two buckets holding the wanted ranks, and only those are sorted.
+    ``wanted`` lists (tag, expression of ``total``, strict): at least that weight, or more than it.  Values are counted
+    map-side into one row per distinct value.  Then the range that holds the answer is cut into ``HISTOGRAM`` equal
+    buckets, again and again, with borders taken from the values still in it, until it is one value.  No bucket holds
+    all of its range, so every round gets on; rows out of range drop out before anything is shuffled, no key
+    is sorted, and a key with very many distinct values is spread over buckets wherever its values lie.  The ends of a
+    range stand alone.
     """
-    d, buckets = _with_cumulative(df, keys, value, F.lit(1), resolution)
-    pos = (F.col("__total") - 1) * F.lit(float(p))
-    wanted = buckets.withColumn("__lo", F.floor(pos)).withColumn("__hi", F.ceil(pos)).withColumn("__pos", pos)
-    def holds(rank):
-        return (F.col(rank) >= F.col("__start")) & (F.col(rank) < F.col("__end"))
-    wanted = wanted.filter(holds("__lo") | holds("__hi")).select(*keys, "__b", "__start", "__lo", "__hi", "__pos")
-    rows = join_back(d, wanted, [*keys, "__b"], "inner")
-    w = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__end", F.col("__start") + F.sum("__w").over(w)) \
-               .withColumn("__start", F.col("__end") - F.col("__w"))
-    v = F.col(value).cast("double")
-    picked = rows.groupBy(*keys).agg(
-        F.max(F.when(holds("__lo"), v)).alias("__vlo"),
-        F.max(F.when(holds("__hi"), v)).alias("__vhi"),
-        F.max(F.col("__pos") - F.col("__lo")).alias("__frac"),
-    )
-    return picked.select(*keys, (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * F.col("__frac")).alias(out))
-
-
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str, resolution: int = 64) -> DataFrame:
-    return exact_quantile(df, keys, value, 0.5, out, resolution)
-
-
-def upper_median(df: DataFrame, keys: list[str], value: str, out: str, resolution: int = 64) -> DataFrame:
+    present = [F.col(k).alias(f"__r_{i}") for i, k in enumerate(keys)]
+    names = [f"__r_{i}" for i in range(len(keys))]
+    d = stored(df.filter(F.col(value).isNotNull()).groupBy(*present, F.col(value).alias("v")).agg(F.sum(weight).alias("w")), "values")
+    asked = F.explode(F.array(*[F.struct(F.lit(tag).alias("tag"), target.cast("double").alias("t"), F.lit(strict).alias("strict"))
+                                for tag, target, strict in wanted]))
+    open_ = stored(d.groupBy(*names).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("total"))
+                   .select(*names, "lo", "hi", "total", F.lit(0.0).alias("below"), asked.alias("a")).select("*", "a.*").drop("a"), "ranges")
+    done = None
+    while True:
+        ended = open_.filter(F.expr("lo <=> hi"))
+        done = ended if done is None else done.unionByName(ended)
+        rest = open_.filter(F.expr("not (lo <=> hi)"))
+        if rest.isEmpty():
+            break
+        share = (F.col("v") - F.col("lo")).cast("double") / (F.col("hi") - F.col("lo")).cast("double")
+        place = F.floor(share * float(HISTOGRAM))
+        usable = ~F.isnan(share) & (share >= 0) & (share < 1)
+        # Between ends without a finite distance all values share one bucket for a round.
+        bucket = F.when(F.col("v") == F.col("lo"), 0).when(F.col("v") == F.col("hi"), HISTOGRAM + 1) \
+            .when(usable, F.least(place, F.lit(HISTOGRAM - 1)) + 1).otherwise(1).cast("int")
+        inside = join_back(d, rest, names, "inner").filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        hist = inside.groupBy(*names, "tag", bucket.alias("b")).agg(
+            F.sum("w").alias("bw"), F.min("v").alias("lo"), F.max("v").alias("hi"), *[F.first(c).alias(c) for c in ("total", "below", "t", "strict")])
+        upto = F.col("below") + F.sum("bw").over(Window.partitionBy(*names, "tag").orderBy("b"))
+        reached = F.when(F.col("strict"), F.col("upto") > F.col("t")).otherwise(F.col("upto") >= F.col("t"))
+        # Rounding of floating sums may leave the last bucket a hair short of the total.
+        choice = hist.withColumn("upto", upto).groupBy(*names, "tag").agg(F.min_by(
+            F.struct("lo", "hi", "total", (F.col("upto") - F.col("bw")).cast("double").alias("below"), "t", "strict"),
+            F.struct(F.when(reached, 0).otherwise(1).alias("late"), F.when(reached, F.col("b")).otherwise(-F.col("b")).alias("b"))).alias("c"))
+        open_ = stored(choice.select(*names, "tag", "c.*"), "ranges")
+    return done.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], "tag", "total", F.col("lo").alias("v"))
+
+
+HISTOGRAM = 1024  # buckets of a range per round
+
+
+def exact_quantile(df: DataFrame, keys: list[str], value: str, p: float, out: str) -> DataFrame:
+    """Exact quantile per key with linear interpolation between neighbours."""
+    rank = (F.col("total") - 1) * F.lit(float(p))
+    found = _value_reaching(df, keys, value, F.lit(1), [("lo", F.floor(rank), True), ("hi", F.ceil(rank), True)])
+    v = F.col("v").cast("double")
+    picked = found.groupBy(*keys).agg(F.max(F.when(F.col("tag") == "lo", v)).alias("__lo"), F.max(F.when(F.col("tag") == "hi", v)).alias("__hi"),
+                                      F.max(rank - F.floor(rank)).alias("__frac"))
+    # Equal neighbours need no difference: infinities have none.
+    between = F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).otherwise(F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__frac"))
+    return picked.select(*keys, between.alias(out))
+
+
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    return exact_quantile(df, keys, value, 0.5, out)
+
+
+def upper_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """The middle value, taking the upper one of an even count."""
-    return _first_reaching(df, keys, value, F.lit(1), out, resolution,
-                           lambda end, total: end > F.floor(total / 2))
+    found = _value_reaching(df, keys, value, F.lit(1), [("m", F.floor(F.col("total") / 2), True)])
+    return found.select(*keys, F.col("v").alias(out))
 
 
-def weighted_median(df: DataFrame, keys: list[str], value: str, weight: Column, out: str,
-                    resolution: int = 64) -> DataFrame:
+def weighted_median(df: DataFrame, keys: list[str], value: str, weight: Column, out: str) -> DataFrame:
     """First value at which the cumulative weight reaches half of the total."""
-    return _first_reaching(df, keys, value, weight, out, resolution, lambda end, total: end >= total / 2)
-
-
-def _first_reaching(df, keys, value, weight, out, resolution, reached) -> DataFrame:
-    d, buckets = _with_cumulative(df, keys, value, weight, resolution)
-    hit = buckets.filter(reached(F.col("__end"), F.col("__total")))
-    hit = hit.groupBy(*keys).agg(F.min_by(F.struct("__b", "__start", "__total"), "__b").alias("__h")) \
-             .select(*keys, "__h.*")
-    rows = join_back(d, hit, [*keys, "__b"], "inner")
-    w = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__end", F.col("__start") + F.sum("__w").over(w))
-    # rounding of floating sums may leave the last row a hair short of the bucket end
-    last = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(F.col(value).desc())) == 1
-    rows = rows.withColumn("__last", last)
-    return rows.filter(reached(F.col("__end"), F.col("__total")) | F.col("__last")) \
-               .groupBy(*keys).agg(F.min(value).alias(out))
+    found = _value_reaching(df, keys, value, weight, [("m", F.col("total") / 2, False)])
+    return found.select(*keys, F.col("v").alias(out))
 
 
 def even_sample(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "sample_pos",

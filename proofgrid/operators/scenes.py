@@ -280,7 +280,7 @@ def nominate_frames(frames: DataFrame, core: DataFrame, *, scene: list[str], fra
     left = members.select(*scene, F.col(frame).alias("__fa"), F.col(embedding).alias("__ea"))
     right = members.select(*scene, F.col(frame).alias("__fb"), F.col(embedding).alias("__eb"))
     pairs = left.join(right, scene).filter("__fa < __fb").select(*scene, dot(F.col("__ea"), F.col("__eb")).alias("__s"))
-    medians = exact_median(pairs, scene, "__s", "core_median", resolution=4096)
+    medians = exact_median(pairs, scene, "__s", "core_median")
     summed = members.select(*scene, F.posexplode(embedding).alias("__i", "__v")).groupBy(*scene, "__i").agg(
         F.sum(F.col("__v").cast("double")).alias("__v"))
     sums = summed.groupBy(*scene).agg(

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from proofgrid.functions.text import natural_key
 from proofgrid.operators.ranking import first_by
 from proofgrid.plans.registry import query
+from proofgrid.session import ensure_checkpoint_dir
 from proofgrid.sources import stores
 
 
+def scratch(t):
+    """A fresh folder under the shared checkpoint folder of the session."""
+    ensure_checkpoint_dir(t.spark)
+    return f"{t.spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 @query("s01_entity_scan", """
     select user_id, event_id, (props->>'k')::int as k from events where user_id = 7""")
 def s01(t):
@@ -65,6 +74,33 @@ def s05(t):
                         size("events").alias("events"))
 
 
+@query("s06_replayed_events", """
+    select event_id, user_id, event_type, ts, row_number() over (partition by user_id order by ts, event_id) as position from events""")
+def s06(t):
+    """Every event is delivered twice, in two batches, and the second batch once more; the log holds each event once."""
+    path = f"{scratch(t)}/log"
+    events = t.events.select("event_id", "user_id", "event_type", "ts")
+    late = F.col("event_id") % 3 == 0
+    for batch, part in ((0, events.filter(~late)), (1, events), (1, events)):
+        stores.append_events(part, path, batch, ident="event_id", time="ts")
+    return stores.replay_events(t.spark, path, events.schema, case="user_id", ident="event_id", time="ts") \
+        .select("event_id", "user_id", "event_type", "ts", F.col("position").cast("bigint"))
+
+
+@query("s08_ingested_files", """
+    select regexp_replace(s_name, '[^A-Za-z0-9]', '_', 'g') || '.json' as name, sha256('{"s_suppkey":' || s_suppkey || ',"s_name":"' || s_name || '"}' || chr(10)) as sha256,
+      strlen(s_name) + strlen(s_suppkey::varchar) + 27 as byte_size, 'application/json' as media_type from supplier""")
+def s08_files(t):
+    """One file per supplier, written to shared storage and ingested as bytes."""
+    path, spark = f"{scratch(t)}/files", t.spark
+    text = t.supplier.select(F.regexp_replace("s_name", "[^A-Za-z0-9]", "_").alias("name"),
+                             F.to_json(F.struct("s_suppkey", "s_name")).alias("value"))
+    text.repartition("name").write.partitionBy("name").text(path)
+    found = stores.ingest_files(spark, path, "part-*")
+    return found.select(F.concat(F.regexp_extract("path", "name=([^/]*)", 1), F.lit(".json")).alias("name"), "sha256", "byte_size",
+                        F.lit(stores.MEDIA_TYPES["json"]).alias("media_type"))
+
+
 @query("s08_fingerprints", "select doc_id, sha256(text) as sha256, octet_length(encode(text)) as byte_size from documents")
 def s08(t):
     return t.documents.select("doc_id", stores.fingerprint(F.col("text")).alias("f")).select("doc_id", "f.*")
@@ -76,6 +112,19 @@ def s09(t):
     return stores.missing_inputs(t.documents.select("doc_id"), t.labels, name="doc_id")
 
 
+@query("s09_manifest_frames", """
+    select s_nationkey::varchar as dataset_id, (row_number() over (partition by s_nationkey order by s_suppkey) - 1)::int as index, s_name as file, sha256(s_name) as sha256,
+      s_suppkey % 2 = 0 as "expectedRegistered" from supplier""")
+def s09_frames(t):
+    """A manifest per nation with its suppliers as frames, written as JSON and scanned."""
+    path = f"{scratch(t)}/manifests"
+    frame = F.struct(F.col("s_suppkey"), F.struct(F.col("s_name").alias("file"), F.sha2("s_name", 256).alias("sha256"),
+                                                  (F.col("s_suppkey") % 2 == 0).alias("expectedRegistered")).alias("f"))
+    sets = t.supplier.groupBy(F.col("s_nationkey").cast("string").alias("datasetId")).agg(F.sort_array(F.collect_list(frame)).alias("l"))
+    sets.select("datasetId", F.col("l.f").alias("frames")).write.json(path)
+    return stores.manifest_frames(t.spark, path).select("dataset_id", "index", "file", "sha256", "expectedRegistered")
+
+
 @query("s10_report_scan", """
     select event_id, case when event_id % 4 <> 0 then (props->>'k')::int end as k from events""")
 def s10(t):
@@ -154,6 +203,21 @@ def s14(t):
     ).alias("manifest"))
 
 
+@query("s14_committed_manifests", """
+    select o_custkey as case_key, '{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '"}' as document from orders
+    qualify o_custkey % 5 <> 0 or o_orderkey % 2 = 0 or not bool_or(o_orderkey % 2 = 0) over (partition by o_custkey)""")
+def s14_committed(t):
+    """A committed attempt, a newer one for some cases, and one that never committed."""
+    path = f"{scratch(t)}/artifacts"
+    made = t.orders.select("o_custkey", "o_orderkey", stores.manifest_json(
+        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")).alias("document"))
+    stores.write_manifests(made, path, "a", case="o_custkey")
+    stores.write_manifests(made.filter("o_custkey % 5 = 0 and o_orderkey % 2 = 0"), path, "b", case="o_custkey")
+    made.filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("case_key"), "document", F.lit(0).alias("shard")) \
+        .write.partitionBy("shard").json(f"{path}/documents/attempt=c")
+    return stores.read_manifests(t.spark, path)
+
+
 @query("s15_plan_models", """
     with f as (select o_custkey, o_orderstatus, count(*) rooms from orders group by all)
     select o_custkey, count(*) as floor_count, sum(rooms)::bigint as rooms_total, min(o_orderstatus) as first_floor from f group by o_custkey""")
@@ -195,6 +259,15 @@ def s17(t):
     return t.customer.select("c_custkey", stores.geojson_point(F.struct(F.col("c_name").alias("name")), n, n + 1).alias("feature"))
 
 
+@query("s17_footprints", """
+    select c_custkey, '{"type":"Feature","properties":{"name":"' || c_name || '"},"geometry":{"type":"Polygon","coordinates":[[[' || n || ',0],[' || n + 1 || ',0],[' || n + 1 || ',1],[' || n || ',0]]]}}' as feature
+    from (select *, c_nationkey n from customer)""")
+def s17_footprints(t):
+    n, zero = F.col("c_nationkey").cast("bigint"), F.lit(0).cast("bigint")
+    ring = F.array(F.array(n, zero), F.array(n + 1, zero), F.array(n + 1, zero + 1), F.array(n, zero))
+    return t.customer.select("c_custkey", stores.geojson_polygon(F.struct(F.col("c_name").alias("name")), ring).alias("feature"))
+
+
 @query("s18_natural_order", r"""
     with k as (select c_custkey, c_nationkey, c_name, lower(c_mktsegment) || '_' || c_custkey as file from customer),
     n as (select *, list_aggregate(list_transform(regexp_extract_all(file, '([0-9]+|[^0-9]+)'),

@@ -69,24 +69,57 @@ def workspace_pages(cases: DataFrame, children: dict[str, tuple[DataFrame, list[
     return cases.join(pages, case, "left").withColumn("page", F.coalesce("page", F.lit(0).cast("bigint")))
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Insert-only event log, one folder per day of creation."""
-    events.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+def append_events(events: DataFrame, path: str, batch: int | str, *, ident: str = "id", time: str = "created_at") -> None:
+    """Insert-only event log; an event id is inserted once, and a batch that is delivered again replaces itself.
 
+    Each batch has its own folder.  What other batches hold already is left out by a join on the id, so late repetitions
+    of an event change nothing; within a batch the earliest row of an id stays.
+    """
+    spark = events.sparkSession
+    rest = [c for c in events.columns if c != ident]
+    once = events.groupBy(ident).agg(F.min(F.struct(time, *[c for c in rest if c != time])).alias("__e")).select(ident, "__e.*")
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        known = spark.read.schema(once.schema.add("batch", "string")).parquet(path).filter(F.col("batch") != str(batch))
+        once = once.join(known.select(ident), ident, "left_anti")
+    once.sortWithinPartitions(time, ident).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def append_stream(events: DataFrame, path: str, checkpoint: str, *, ident: str = "id", time: str = "created_at") -> object:
+    """A stream into the log; a micro-batch that is tried again gives the same log."""
+    return events.writeStream.foreachBatch(lambda df, n: append_events(df, path, n, ident=ident, time=time)) \
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-def replay_events(spark: SparkSession, path: str, schema: T.StructType, case_id: str | None = None) -> DataFrame:
-    """The log in creation order; the sort runs at the sink only."""
+
+def replay_events(spark: SparkSession, path: str, schema: T.StructType, *, case: str = "case_id", ident: str = "id",
+                  time: str = "created_at") -> DataFrame:
+    """The log with each event's ``position`` in its case, in creation order; days are the slices of a long case."""
     log = spark.read.schema(schema).parquet(path)
-    rows = log if case_id is None else log.filter(F.col("case_id") == case_id)
-    return rows.orderBy("created_at", "id")
+    return number_rows(log, [case], [F.col(time), F.col(ident)], "position", F.to_date(time))
+
+
+def replay_then_tail(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """One stream that first replays the log and then follows what is appended."""
+    return spark.readStream.schema(schema).parquet(f"{path}/batch=*")
+
+
+# Media types by file ending.
+MEDIA_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "webp": "image/webp", "pdf": "application/pdf",
+               "json": "application/json", "txt": "text/plain"}
+
 
+def ingest_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Every file below ``path`` with the digest and size of its exact bytes, its type and its arrival order.
 
-def file_fingerprints(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Digest and size of the exact bytes of every file below ``path``."""
+    Files of one modification time arrive in path order.  A file's content is in its row only while it is digested.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
         .option("pathGlobFilter", pattern).load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_size"),
-                        "modificationTime")
+    ending = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    kind = F.coalesce(F.create_map(*[F.lit(x) for pair in MEDIA_TYPES.items() for x in pair])[ending], F.lit("application/octet-stream"))
+    rows = files.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"),
+                        F.col("length").alias("byte_size"), kind.alias("media_type"), "modificationTime")
+    return number_rows(rows, [], [F.col("modificationTime"), F.col("path")], "arrival", F.date_trunc("minute", "modificationTime"))
 
 
 def fingerprint(content: Column) -> Column:
@@ -100,8 +133,8 @@ MANIFEST_SCHEMA = ("datasetId string, frames array<struct<file:string, sha256:st
 
 
 def manifest_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Frames of acceptance manifests with their position."""
-    raw = spark.read.schema(MANIFEST_SCHEMA).json(path, multiLine=True)
+    """Frames of acceptance manifests, one document a line, with their position."""
+    raw = spark.read.schema(MANIFEST_SCHEMA).json(path)
     return raw.select(F.col("datasetId").alias("dataset_id"), F.posexplode("frames").alias("index", "f")).select(
         "dataset_id", "index", "f.*")
 
@@ -195,9 +228,41 @@ def manifest_json(*fields: Column) -> Column:
     return F.to_json(F.struct(*fields))
 
 
-def write_manifests(df: DataFrame, path: str, *, case: str = "case_id") -> None:
-    """JSON documents, one folder per case."""
-    df.write.mode("overwrite").partitionBy(case).json(path)
+def write_manifests(df: DataFrame, path: str, attempt: str, *, case: str = "case_id", document: str = "document",
+                    shards: int = 64) -> None:
+    """JSON documents by case, and the attempt's manifest last.
+
+    Cases share ``shards`` folders, so their number is no number of files.  The manifest names every case with the
+    count, size and digest of its documents; an attempt without one does not exist for readers.
+    """
+    folder = f"{path}/documents/attempt={attempt}"
+    shard = F.pmod(F.xxhash64(case), F.lit(shards))
+    df.select(F.col(case).alias("case_key"), F.col(document).alias("document"), shard.alias("shard")) \
+        .repartition("shard").sortWithinPartitions("shard", "case_key").write.mode("overwrite").partitionBy("shard").json(folder)
+    written = df.sparkSession.read.schema(df.select(F.col(case).alias("case_key"), F.col(document).alias("document")).schema).json(folder)
+    _facts(written).withColumn("committed_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/manifests/attempt={attempt}")
+
+
+def _facts(written: DataFrame) -> DataFrame:
+    """Count, size and an order-free digest of the documents of every case."""
+    return written.groupBy("case_key").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(F.octet_length("document")).alias("bytes"),
+        F.bit_xor(F.xxhash64("document")).alias("digest"))
+
+
+def read_manifests(spark: SparkSession, path: str, case_type: str = "bigint") -> DataFrame:
+    """(case_key, document) of each case's latest committed attempt, if its documents are those committed.
+
+    Attempts that never committed, or whose documents were damaged since, are not read.
+    """
+    commits = spark.read.schema(f"case_key {case_type}, documents bigint, bytes bigint, digest bigint, committed_at timestamp, "
+                                "attempt string").parquet(f"{path}/manifests")
+    latest = commits.groupBy("case_key").agg(F.max_by(
+        F.struct("attempt", "documents", "bytes", "digest"), F.struct("committed_at", "attempt")).alias("m")).select("case_key", "m.*")
+    found = spark.read.schema(f"case_key {case_type}, document string, shard int, attempt string").json(f"{path}/documents")
+    held = found.join(latest.select("case_key", "attempt"), ["case_key", "attempt"])
+    whole = _facts(held).join(latest, ["case_key", "documents", "bytes", "digest"], "left_semi").select("case_key")
+    return held.join(whole, "case_key", "left_semi").select("case_key", "document")
 
 
 def plan_model(floors: DataFrame, *, case: str, floor: str, members: list[str]) -> DataFrame:
