@@ -231,3 +231,48 @@ def walk_distances(cells: DataFrame, seeds: DataFrame, *, group: list[str], x: s
         if rounds % 32 == 0:
             done = cut_lineage(done)
     return done
+
+
+LEVELS_A_JOB = 3
+
+
+def meeting_distances(cells: DataFrame, seeds: DataFrame, *, group: list[str], seed: str, x: str, y: str) -> DataFrame:
+    """F12 primitive: (group..., a, b, steps), the 4-neighbour steps between every two seeds that can reach each other.
+
+    A labelled wavefront: every cell of a front carries the seed it came from, all fronts of all groups advance
+    together, and a pair's distance arises where its fronts first meet, halfway, on a cell that one of them enters in
+    this step and the other in this or the one before.  The grid has two colours, so a front never runs into itself but
+    for the step before last, and two levels are all the state there is.  A seed that has met all others of its group
+    stops; one that is cut off ends with its region.
+    """
+    passable = stored(cells.select(*group, x, y).distinct(), "passable")
+    at = [*group, x, y]
+    start = seeds.select(*group, F.col(seed).alias("s"), x, y).join(passable, at, "left_semi").distinct()
+    here = stored(start.withColumn("level", F.lit(0)), "front")
+    others = stored(here.groupBy(*group).agg((F.countDistinct("s") - 1).alias("others")), "seeds")
+    moves = F.explode(F.array(*[F.struct((F.col(x) + dx).alias("nx"), (F.col(y) + dy).alias("ny"))
+                                for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
+    pairs, done = None, 0
+    while True:
+        left = here.filter(F.col("level") >= done - LEVELS_A_JOB)
+        right = left.select(*at, F.col("s").alias("b"), F.col("level").alias("lb"))
+        met = left.join(right, at).filter((F.col("s") < F.col("b")) & (F.abs(F.col("level") - F.col("lb")) <= 1)) \
+            .groupBy(*group, F.col("s").alias("a"), "b").agg(F.min(F.col("level") + F.col("lb")).alias("steps"))
+        if pairs is not None:
+            met = met.join(pairs, [*group, "a", "b"], "left_anti").unionByName(pairs)
+        pairs = stored(met, "met")
+        counted = pairs.select(*group, F.explode(F.array("a", "b")).alias("s")).groupBy(*group, "s").agg(F.count(F.lit(1)).alias("n"))
+        finished = counted.join(others, group).filter("n = others").select(*group, "s")
+        key = [*group, "s"]
+        last, before = (here.filter(F.col("level") == n).join(finished, key, "left_anti").select(*key, x, y) for n in (done, done - 1))
+        fronts = []
+        for step in range(1, LEVELS_A_JOB + 1):
+            ahead = last.select(*key, moves.alias("m")).select(*key, F.col("m.nx").alias(x), F.col("m.ny").alias(y)).distinct() \
+                .join(passable, at, "left_semi").join(before, [*key, x, y], "left_anti")
+            before, last = last, ahead
+            fronts.append(ahead.withColumn("level", F.lit(done + step)))
+        keep = here.filter(F.col("level") == done)
+        here = stored(reduce(DataFrame.unionByName, [keep, *fronts]), "front")
+        if here.filter(F.col("level") > done).isEmpty():
+            return pairs
+        done += LEVELS_A_JOB

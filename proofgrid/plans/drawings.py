@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofgrid.operators import drawings as dr
+from proofgrid.operators.graph import meeting_distances
 from proofgrid.operators.labels import site_sheets
+from proofgrid.operators.ranking import top_k
 from proofgrid.plans.address import pick
 from proofgrid.plans.labels import tokens as order_tokens
 from proofgrid.plans.registry import query
+from proofgrid.plans.scenes import folded
 
 W, H = 1000, 800
 KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
@@ -187,7 +190,12 @@ def f11(t):
     return labels.unionByName(stairs)
 
 
-@query("f12_space_graph")
+@query("f12_space_graph", f"""
+    with l as (select l_suppkey sheet, l_orderkey, l_linenumber a, l_partkey from lineitem),
+    d as (select x.sheet, x.a, y.a as b, min(x.l_orderkey % 1000) as steps, x.a || '|' || y.a as pos from l x join l y on x.sheet = y.sheet and x.l_partkey = y.l_partkey and x.a < y.a group by all),
+    {folded("d", "e.steps, e.a, e.b", "sheet")},
+    n as (select sheet, count(distinct a) as nodes from l group by sheet), k as (select sheet, count(*) as edges from forest group by sheet)
+    select f.sheet, f.a, f.b, f.steps, false as verified, edges = nodes - 1 as connected from forest f join n on n.sheet = f.sheet join k on k.sheet = f.sheet""")
 def f12(t):
     """Spaces of a supplier are line numbers; steps between neighbours come from the ordered parts."""
     l = t.lineitem.select(F.col("l_suppkey").alias("sheet"), "l_orderkey", F.col("l_linenumber").alias("a"), "l_partkey")
@@ -197,6 +205,31 @@ def f12(t):
     return forest.join(state, "sheet").select("sheet", "a", "b", "steps", "verified", "connected")
 
 
+@query("f12_label_paths", f"""
+    with recursive c as (select distinct l_suppkey % 10 as sheet, l_partkey % 40 as x, l_orderkey // 7 % 30 as y from lineitem where l_discount < 0.04),
+    p as (select s_suppkey % 10 as sheet, s_suppkey as seed, s_suppkey * 3 % 40 as sx, s_suppkey * 5 % 30 as sy from supplier qualify row_number() over (partition by s_suppkey % 10 order by s_suppkey) <= 36),
+    r as (select p.sheet, seed, c.x, c.y, greatest(abs(c.x - sx), abs(c.y - sy)) as ring, pow(c.x - sx, 2) + pow(c.y - sy, 2) as d2 from p join c on c.sheet = p.sheet),
+    seeds as (select sheet, seed, arg_min(x, (ring, d2, x, y)) as x, arg_min(y, (ring, d2, x, y)) as y from r where ring <= 24 group by all),
+    walk(sheet, seed, x, y, steps) using key (sheet, seed, x, y) as (select sheet, seed, x, y, 0 from seeds
+      union select w.sheet, w.seed, c.x, c.y, min(w.steps) + 1 from walk w join c on c.sheet = w.sheet and abs(c.x - w.x) + abs(c.y - w.y) = 1
+        left join recurring.walk o on o.sheet = w.sheet and o.seed = w.seed and o.x = c.x and o.y = c.y where o.steps is null group by w.sheet, w.seed, c.x, c.y),
+    d as (select w.sheet, w.seed as a, s.seed as b, min(w.steps) as steps, w.seed || '|' || s.seed as pos from walk w join seeds s on s.sheet = w.sheet and s.x = w.x and s.y = w.y and w.seed < s.seed group by all),
+    {folded("d", "e.steps, e.a, e.b", "sheet")},
+    n as (select sheet, count(*) as nodes from seeds group by sheet), k as (select sheet, count(*) as edges from forest group by sheet)
+    select f.sheet, f.a, f.b, f.steps, edges = nodes - 1 as connected from forest f join n on n.sheet = f.sheet join k on k.sheet = f.sheet""")
+def f12_paths(t):
+    """Labels snapped to passable cells, their distances by wavefronts, and the shortest forest over them."""
+    part, order = F.col("l_partkey"), F.col("l_orderkey")
+    cells = t.lineitem.filter("l_discount < 0.04").select((F.col("l_suppkey") % 10).alias("sheet"), (part % 40).alias("x"), (F.floor(order / 7) % 30).alias("y")).distinct()
+    k = F.col("s_suppkey")
+    labels = top_k(t.supplier.select((k % 10).alias("sheet"), k.alias("seed"), (k * 3 % 40).alias("x"), (k * 5 % 30).alias("y")),
+                   ["sheet"], [F.col("seed")], dr.MAX_SPACES).drop("rank")
+    seeds = dr.snap_seeds(labels, cells, keys=["sheet"], seed="seed", x="x", y="y")
+    steps = meeting_distances(cells, seeds, group=["sheet"], seed="seed", x="x", y="y")
+    forest, state = dr.space_graph(steps, seeds, keys=["sheet"], a="a", b="b", steps="steps")
+    return forest.join(state, "sheet").select("sheet", "a", "b", "steps", "connected")
+
+
 def components(t):
     """Order lines as drawn components of the sheet of their order."""
     n, p = F.col("l_linenumber"), F.col("l_partkey")

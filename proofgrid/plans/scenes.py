@@ -335,7 +335,12 @@ def m17(t):
     return sc.centroids(p, keys=["user_id"]).select("user_id", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
-@query("m18_local_room_edges")
+@query("m18_local_room_edges", f"""
+    with n as (select p_brand || '/' || p_partkey // 2000 as art, p_brand, p_partkey // 2000 as floor, p_partkey as v, (p_partkey % 50)::double as x, p_size::double as y, p_size % 2 = 0 as door from part),
+    d as (select i.art, i.p_brand, i.floor, i.v as a, j.v as b, sqrt(pow(i.x - j.x, 2) + pow(i.y - j.y, 2)) as distance, i.v || '|' || j.v as pos
+      from n i join n j on i.art = j.art and i.v < j.v and (i.door or j.door) and pow(i.x - j.x, 2) + pow(i.y - j.y, 2) <= 144),
+    {folded("d", "round(e.distance, 9), e.a, e.b", "art")}
+    select p_brand, floor, a, b, 'door' as traversal, round(greatest(0.1, distance), 6) as distance_m, 0.72 as confidence_score from forest""")
 def m18(t):
     n = t.part.select("p_brand", F.floor(F.col("p_partkey") / 2000).alias("floor"), "p_partkey", (F.col("p_partkey") % 50).cast("double").alias("px"),
                       F.col("p_size").cast("double").alias("py"), F.lit(0.0).alias("pz"), F.array(F.when(F.col("p_size") % 2 == 0, "door").otherwise("window")).alias("links"),
