@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -233,23 +234,43 @@ def walk_distances(cells: DataFrame, seeds: DataFrame, *, group: list[str], x: s
     return done
 
 
-LEVELS_A_JOB = 3
+LEVELS_A_JOB = 4
+
+
+def _settled(pairs: DataFrame, live: DataFrame, group: list[str]) -> DataFrame:
+    """Groups in which all seeds with a live front are joined by pairs; a group has few seeds (labels of a sheet)."""
+    def check(rows: pd.DataFrame) -> pd.DataFrame:
+        top: dict = {}
+
+        def find(v):
+            while top.get(v, v) != v:
+                v = top[v]
+            return v
+
+        for a, b in zip(rows["a"], rows["b"]):
+            if find(a) != find(b):
+                top[find(a)] = find(b)
+        return rows[group].iloc[:1 if len({find(v) for v in rows["a"][rows["live"]]}) <= 1 else 0]
+
+    rows = pairs.select(*group, "a", "b", F.lit(False).alias("live")).unionByName(
+        live.select(*group, F.col("s").alias("a"), F.col("s").alias("b"), F.lit(True).alias("live")).distinct())
+    return rows.groupBy(*group).applyInPandas(check, rows.select(*group).schema)
 
 
 def meeting_distances(cells: DataFrame, seeds: DataFrame, *, group: list[str], seed: str, x: str, y: str) -> DataFrame:
-    """F12 primitive: (group..., a, b, steps), the 4-neighbour steps between every two seeds that can reach each other.
+    """F12 primitive: (group..., a, b, steps), the 4-neighbour steps between seeds, shortest first until no more
+    can join what is apart: all pairs up to some length, among them every edge of the shortest forest.
 
     A labelled wavefront: every cell of a front carries the seed it came from, all fronts of all groups advance
     together, and a pair's distance arises where its fronts first meet, halfway, on a cell that one of them enters in
     this step and the other in this or the one before.  The grid has two colours, so a front never runs into itself but
-    for the step before last, and two levels are all the state there is.  A seed that has met all others of its group
-    stops; one that is cut off ends with its region.
+    for the step before last, and two levels are all the state there is.  Pairs not met after n levels are longer than 2 n, and a
+    front that has ended has met all seeds of its region, so a group stops when pairs join all its live fronts.
     """
     passable = stored(cells.select(*group, x, y).distinct(), "passable")
     at = [*group, x, y]
     start = seeds.select(*group, F.col(seed).alias("s"), x, y).join(passable, at, "left_semi").distinct()
     here = stored(start.withColumn("level", F.lit(0)), "front")
-    others = stored(here.groupBy(*group).agg((F.countDistinct("s") - 1).alias("others")), "seeds")
     moves = F.explode(F.array(*[F.struct((F.col(x) + dx).alias("nx"), (F.col(y) + dy).alias("ny"))
                                 for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
     pairs, done = None, 0
@@ -261,10 +282,11 @@ def meeting_distances(cells: DataFrame, seeds: DataFrame, *, group: list[str], s
         if pairs is not None:
             met = met.join(pairs, [*group, "a", "b"], "left_anti").unionByName(pairs)
         pairs = stored(met, "met")
-        counted = pairs.select(*group, F.explode(F.array("a", "b")).alias("s")).groupBy(*group, "s").agg(F.count(F.lit(1)).alias("n"))
-        finished = counted.join(others, group).filter("n = others").select(*group, "s")
+        finished = _settled(pairs, here.filter(F.col("level") == done), group)
         key = [*group, "s"]
-        last, before = (here.filter(F.col("level") == n).join(finished, key, "left_anti").select(*key, x, y) for n in (done, done - 1))
+        here = stored(here.filter(F.col("level") >= done - 1).join(finished, group, "left_anti"), "front") \
+            if done else here
+        last, before = (here.filter(F.col("level") == n).select(*key, x, y) for n in (done, done - 1))
         fronts = []
         for step in range(1, LEVELS_A_JOB + 1):
             ahead = last.select(*key, moves.alias("m")).select(*key, F.col("m.nx").alias(x), F.col("m.ny").alias(y)).distinct() \
