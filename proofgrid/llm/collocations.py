@@ -35,10 +35,11 @@ from proofgrid.llm.common import in_arrow, slices, stored
 MOST_WORDS = 5
 SHARDS, ROOT_SHARDS = 32, 256
 HOT = 1 << 22  # occurrences from which a prefix's stripe is dealt to shards
+PLACES_HELD, WORDS_HELD = 3_000_000, 300_000  # occurrences and distinct words whose stripes a task combines
 MAP_BITS = 1 << 25  # of each bitmap: 4 MB, sent to every task
 BORDERS = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\t", b"\n" * 9 + b" ")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-STRIPE = "lang string, prefix string, shard int, words array<string>, counts array<bigint>"
+STRIPE = "lang string, prefix string, shard int, words array<string>, counts array<int>"
 UNKNOWN = "und"
 
 
@@ -93,69 +94,87 @@ def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _grouped(ids: np.ndarray, at: np.ndarray, k: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of each prefix of ``k`` words at the places ``at``, and a place of each number."""
-    if k == 0:
-        return np.zeros(len(at), np.int64), at[:1]
-    code = ids[at]
-    for j in range(1, k):
-        code = np.unique(code, return_inverse=True)[1] * size + ids[at + j]
+def _grouped(columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the prefix of every occurrence, given the numbers of its words, and an occurrence of each number."""
+    n = columns.shape[1]
+    code = np.zeros(n, np.int64)
+    for column in columns:
+        code = np.unique(code * (1 + int(column.max(initial=0))) + column, return_inverse=True)[1]
     _, first, code = np.unique(code, return_index=True, return_inverse=True)
-    return code, at[first]
+    return code, first
 
 
-def stripes_of(lang: str, texts: list[bytes], k: int, often: np.ndarray | None, hot: np.ndarray | None) -> pa.RecordBatch:
-    """``STRIPE`` rows of some texts of one language for prefixes of ``k`` words.
+class Stripes:
+    """Stripes of the texts of one language for prefixes of ``k`` words, combined in the task up to a bound.
 
     Hashes only choose the places; the words found there are told apart by their bytes.
     """
-    data = b"\n".join(texts).lower().translate(BORDERS)
-    starts, ends, pieces, hashes = word_spans(data)
-    n = len(starts)
-    borders = np.append(np.flatnonzero(np.diff(pieces)) + 1, n)
-    room = borders[np.searchsorted(borders, np.arange(n), "right")] - np.arange(n)  # words from here to the border
-    if k == 0:
-        at, follows = np.arange(n), np.ones(n, bool)
-    else:
-        at = np.flatnonzero(room >= k)
-        places = mixed(lang, (hashes[at + j] for j in range(k)), len(at))
-        kept = _is_set(often, places)
-        frequent = np.zeros(n + 1, bool)
-        at, places = at[kept], places[kept]
-        frequent[at] = True
-        follows = (room[at] > k) & frequent[at + 1]
-    asked = np.zeros(n + 1, bool)
-    for j in range(k):
-        asked[at + j] = True
-    asked[at[follows] + k] = True
-    asked = np.flatnonzero(asked)
-    number: dict[bytes, int] = {}
-    ids = np.full(n + 1, -1)
-    ids[asked] = [number.setdefault(data[i:j], len(number)) for i, j in zip(starts[asked].tolist(), ends[asked].tolist())]
-    words, size = list(number), len(number)
-    by_word = np.zeros(size + 1, np.int64)  # null takes the last one
-    by_word[ids[asked]] = (hashes[asked] >> np.uint64(40)).astype(np.int64)
-    group, example = _grouped(ids, at, k, size)
-    shards = np.full(len(example), ROOT_SHARDS)
-    if k:
-        of_group = np.zeros(len(example), np.int64)
-        of_group[group] = places
-        shards = np.where(_is_set(hot, of_group), SHARDS, 1)
-    keys, counts = np.unique(group * (size + 1) + np.where(follows, ids[np.minimum(at + k, n)], -1) + 1, return_counts=True)
-    group, following = keys // (size + 1), keys % (size + 1) - 1
-    shard = by_word[following] % shards[group]
-    order = np.lexsort((shard, group))
-    group, shard, following, counts = group[order], shard[order], following[order], counts[order]
-    first = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(shard, prepend=-1) != 0))
-    bounds = pa.array(np.append(first, len(group)), pa.int32())
-    named = pa.array([w.decode() for w in words], pa.string())
-    following = named.take(pa.array(following, pa.int64(), mask=following < 0))
-    prefixes = pa.array([b" ".join([words[i] for i in ids[e:e + k].tolist()]).decode() for e in example.tolist()], pa.string())
-    return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(first), pa.string()), prefixes.take(pa.array(group[first], pa.int64())),
-         pa.array(shard[first], pa.int32()), pa.ListArray.from_arrays(bounds, following),
-         pa.ListArray.from_arrays(bounds, pa.array(counts, pa.int64()))],
-        names=["lang", "prefix", "shard", "words", "counts"])
+
+    def __init__(self, lang: str, k: int, often: np.ndarray | None, hot: np.ndarray | None):
+        self.lang, self.k, self.often, self.hot = lang, k, often, hot
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.hashes: list[np.ndarray] = []  # of the words, in the order of their numbers
+        self.found: list[np.ndarray] = []  # per occurrence of a prefix the numbers of its words and of the next one
+        self.places = 0
+
+    def add(self, texts: list[bytes]) -> None:
+        k, data = self.k, b"\n".join(texts).lower().translate(BORDERS)
+        starts, ends, pieces, hashes = word_spans(data)
+        n = len(starts)
+        borders = np.append(np.flatnonzero(np.diff(pieces)) + 1, n)
+        room = borders[np.searchsorted(borders, np.arange(n), "right")] - np.arange(n)  # words from here to the border
+        if k == 0:
+            at, follows = np.arange(n), np.ones(n, bool)
+        else:
+            at = np.flatnonzero(room >= k)
+            at = at[_is_set(self.often, mixed(self.lang, (hashes[at + j] for j in range(k)), len(at)))]
+            frequent = np.zeros(n + 1, bool)
+            frequent[at] = True
+            follows = (room[at] > k) & frequent[at + 1]
+        asked = np.zeros(n + 1, bool)
+        for j in range(k):
+            asked[at + j] = True
+        asked[at[follows] + k] = True
+        asked = np.flatnonzero(asked)
+        number, before = self.number, len(self.number)
+        ids = np.full(n + 1, -1, np.int32)
+        ids[asked] = [number.setdefault(data[i:j], len(number)) for i, j in zip(starts[asked].tolist(), ends[asked].tolist())]
+        new = np.zeros(len(number) - before, np.uint64)
+        late = ids[asked] >= before
+        new[ids[asked][late] - before] = hashes[asked][late]
+        self.hashes.append(new)
+        self.found.append(np.stack([*(ids[at + j] for j in range(k)), np.where(follows, ids[np.minimum(at + k, n)], -1)]))
+        self.places += len(at)
+
+    def flushed(self) -> pa.RecordBatch:
+        """``STRIPE`` rows of what was added since the last time."""
+        k, size = self.k, len(self.number)
+        found, hashes, words = np.concatenate(self.found, axis=1).astype(np.int64), np.concatenate(self.hashes), list(self.number)
+        group, example = _grouped(found[:k])
+        shards = np.full(len(example), ROOT_SHARDS)
+        if k:
+            places = mixed(self.lang, (hashes[found[j, example]] for j in range(k)), len(example))
+            shards = np.where(_is_set(self.hot, places), SHARDS, 1)
+        keys, counts = np.unique(group * (size + 1) + found[k] + 1, return_counts=True)
+        group, following = keys // (size + 1), keys % (size + 1) - 1
+        by_word = np.append((hashes >> np.uint64(40)).astype(np.int64), 0)  # null takes the last one
+        shard = by_word[following] % shards[group]
+        order = np.lexsort((shard, group))
+        group, shard, following, counts = group[order], shard[order], following[order], counts[order]
+        first = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(shard, prepend=-1) != 0))
+        bounds = pa.array(np.append(first, len(group)), pa.int32())
+        named = pa.array([w.decode() for w in words], pa.string())
+        following = named.take(pa.array(following, pa.int64(), mask=following < 0))
+        prefixes = pa.array([b" ".join([words[i] for i in e]).decode() for e in found[:k, example].T.tolist()], pa.string())
+        self.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([self.lang] * len(first), pa.string()), prefixes.take(pa.array(group[first], pa.int64())),
+             pa.array(shard[first], pa.int32()), pa.ListArray.from_arrays(bounds, following),
+             pa.ListArray.from_arrays(bounds, pa.array(counts, pa.int32()))],
+            names=["lang", "prefix", "shard", "words", "counts"])
 
 
 def level(docs: DataFrame, k: int, bits: tuple[np.ndarray, np.ndarray] | None, least: int) -> DataFrame:
@@ -163,14 +182,20 @@ def level(docs: DataFrame, k: int, bits: tuple[np.ndarray, np.ndarray] | None, l
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, hot = shared.value or (None, None)
+        held: dict[str, Stripes] = {}
         for batch in batches:
             for part in slices(batch):
                 of: dict[str, list[bytes]] = {}
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
                     of.setdefault(lang, []).append(text)
                 for lang, texts in of.items():
-                    yield stripes_of(lang, texts, k, often, hot)
+                    held.setdefault(lang, Stripes(lang, k, *(shared.value or (None, None)))).add(texts)
+                if sum(h.places for h in held.values()) >= PLACES_HELD or sum(len(h.number) for h in held.values()) >= WORDS_HELD:
+                    for h in held.values():
+                        yield h.flushed()
+                    held = {}
+        for h in held.values():
+            yield h.flushed()
 
     key = ["lang", "prefix", "shard"]
     entries = in_arrow(docs.select("lang", "text"), build, STRIPE).repartition(*map(F.col, key)) \

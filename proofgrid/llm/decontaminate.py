@@ -44,8 +44,9 @@ from proofgrid.llm.common import in_arrow, long_lists, slices, small_table, stor
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # of text with A-Z in lower case; bytes from 0x80 are parts of other letters
 BLOCK_WORDS = 200_000
 QUERY_WORDS = 1_000_000
+KNOWN_WORDS = 300_000  # words of which a task remembers whether they are asked for
 TERM_BITS = 1 << 23  # of the bitmap of the items' terms: 1 MB, sent to every task
-PAIRS_AT_ONCE = 20_000  # candidates whose surroundings are looked at together
+PAIRS_AT_ONCE = 2_000  # candidates whose surroundings are looked at together
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -86,12 +87,15 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, asked: bytes, gap:
     Only terms whose bit is set in ``asked`` are kept.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(asked)
+    sent, known = docs.sparkSession.sparkContext.broadcast(asked), {}
 
     def block(ids: pa.Array, lengths: list[int], found: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
+        distinct = set().union(*[words for _, words in found])
+        if len(known) > KNOWN_WORDS:
+            known.clear()
         bits = sent.value
-        lists: dict[bytes, list[int]] = {
-            w: [] for w in set().union(*[words for _, words in found]) if bits[(b := _bit(w)) >> 3] >> (b & 7) & 1}
+        known.update({w: bits[(b := _bit(w)) >> 3] >> (b & 7) & 1 for w in distinct - known.keys()})
+        lists: dict[bytes, list[int]] = {w: [] for w in distinct if known[w]}
         for start, words in found:
             for at, w in enumerate(words, start):
                 if w in lists:
