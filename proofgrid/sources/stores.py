@@ -111,7 +111,7 @@ MEDIA_TYPES = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "w
 def ingest_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Every file below ``path`` with the digest and size of its exact bytes, its type and its arrival order.
 
-    Files of one modification time arrive in path order.  A file's content is in its row only while it is digested.
+    Files of one modification time arrive in path order; the source passes over files without a byte.  A file's content is in its row only while it is digested.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
         .option("pathGlobFilter", pattern).load(path)
