@@ -17,10 +17,11 @@ hashes of the set are its sketch.  Four steps, all linear in the input:
    that changes a component is lost.
 
 A comparison first estimates the similarity from the sketch of the union and
-then confirms it on the full sets.  The estimates have margins of five
-standard deviations, so a link at the very threshold is missed with a
-probability below one in a million; sets up to the wide sketch's size are
-exact from step 2 on.  Sets and shingles are named by 64-bit hashes.
+then confirms it on the full sets.  The estimates have margins of five standard
+deviations; by the binomial tail a link at the very threshold is missed with a
+probability of about 9 in a million in each of the screen and the comparison.
+Inverted lists of sets up to the wide sketch's size are exact.  Sets and
+shingles are named by 64-bit hashes.
 
 Defined results: a null or blank text has an empty set and no link; a row with
 a null id gets the size of its set, a null component and ``kept`` true; rows
