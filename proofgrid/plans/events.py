@@ -65,18 +65,36 @@ def t02_stream(t):
     return t.spark.read.schema(state.schema).parquet(f"{folder}/out")
 
 
-@query("t03_job_fold", """
+def job_sql(clock):
+    return f"""
     with s as (select concat(user_id, '/', strftime(ts, '%Y-%m-%d-%H')) as job, ts, event_id, case event_type when 'purchase' then case when event_id % 3 = 0 then 'ready' else 'failed' end when 'error' then case when event_id % 5 = 0 then 'failed' else 'running' end else 'running' end st,
-        cast('2024-01-15 00:30:00' as timestamp) as clock from events),
+        {clock} as clock from events),
     f as (select job, clock, arg_min(st, (ts, event_id)) filter (st in ('ready', 'failed')) e, min(ts) filter (st in ('ready', 'failed')) ended_at, arg_max(st, (ts, event_id)) l, min(ts) f from s group by all)
-    select job, case when epoch(coalesce(ended_at, clock)) - epoch(f) > 1800 then 'failed' else coalesce(e, l) end as status, ended_at from f""")
-def t03(t):
+    select job, case when epoch(coalesce(ended_at, clock)) - epoch(f) > 1800 then 'failed' else coalesce(e, l) end as status, ended_at from f"""
+
+
+def job_log(events):
     k = F.col("event_type")
     status = F.when(k == "purchase", "ready").when((k == "error") & (F.col("event_id") % 5 == 0), "failed").otherwise("running")
     job = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd-HH"))
-    log = t.events.select(job.alias("job"), "ts", "event_id", status.alias("status"))
-    return ev.job_fold(log, job="job", status="status", time="ts", ident="event_id", complete=F.col("event_id") % 3 == 0,
-                       now=F.lit("2024-01-15 00:30:00"), window_seconds=1800)
+    return events.select(job.alias("job"), "ts", "event_id", status.alias("status"))
+
+
+def job_columns():
+    return dict(job="job", status="status", time="ts", ident="event_id", complete=F.col("event_id") % 3 == 0, window_seconds=1800)
+
+
+@query("t03_job_fold", job_sql("cast('2024-01-15 00:30:00' as timestamp)"))
+def t03(t):
+    return ev.job_fold(job_log(t.events), now=F.lit("2024-01-15 00:30:00"), **job_columns())
+
+
+@query("t03_job_monitor_stream", job_sql("(select max(ts) from events) - interval 10 minutes"))
+def t03_stream(t):
+    """The same fold as a stream: jobs without an end fail by a timer when the watermark passes their window."""
+    folder = scratch(t)
+    ev.monitor_jobs(job_log(stream_of(t)), f"{folder}/out", f"{folder}/ckpt", delay="10 minutes", **job_columns()).awaitTermination()
+    return ev.monitored_jobs(t.spark, f"{folder}/out").withColumn("ended_at", F.col("ended_at").cast(t.events.schema["ts"].dataType))
 
 
 @query("t04_ingest_totals", "select user_id, count(*) as files, round(sum(value), 4) as bytes, count(*) <= 65 and sum(value) <= 1400 as accepted from events group by user_id")

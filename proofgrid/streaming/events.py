@@ -6,11 +6,13 @@ reordered stream gives the batch result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from proofgrid.operators.admission import MAX_BATCH_BYTES, MAX_FILES, batch_quota
 from proofgrid.operators.ranking import join_back
@@ -91,8 +93,7 @@ def job_fold(log: DataFrame, *, job: str, status: str, time: str, ident: str, co
     ``now``, later than the monitoring window after its first row counts as
     failed.  Rows of one time are ordered by ``ident``.
     """
-    state = F.when(F.col(status) == "ready", F.when(F.coalesce(complete, F.lit(False)), "ready").otherwise("failed")).otherwise(F.col(status))
-    rows = log.withColumn("__s", state)
+    rows = log.withColumn("__s", _job_state(status, complete))
     t, order = F.col(time), F.struct(time, ident)
     ended = F.col("__s").isin(TERMINAL_JOB)
     agg = rows.groupBy(job).agg(
@@ -104,6 +105,100 @@ def job_fold(log: DataFrame, *, job: str, status: str, time: str, ident: str, co
     return agg.select(job, F.when(late, "failed").otherwise(F.coalesce("__end", "__last")).alias("status"), "ended_at")
 
 
+def _job_state(status: str, complete: Column) -> Column:
+    ready = F.when(F.coalesce(complete, F.lit(False)), "ready").otherwise("failed")
+    return F.when(F.col(status) == "ready", ready).otherwise(F.col(status))
+
+
+class JobMonitor(StatefulProcessor):
+    """Keyed state of one job and a timer at the end of its monitoring window.
+
+    State: first time, first terminal row, last row (times in microseconds), and whether the timer has fired.
+    It has no expiry, because a terminal state stays whatever comes later.
+    """
+
+    FIELDS = "first bigint, end_at bigint, end_id {0}, end_state string, last_at bigint, last_id {0}, last_state string, expired boolean"
+
+    def __init__(self, ident_type: str, window_seconds: int):
+        self.schema, self.window = self.FIELDS.format(ident_type), window_seconds * 1_000_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = tuple(self.job.get()) if self.job.exists() else (None,) * 7 + (False,)
+        first, end, last, expired = known[0], known[1:4], known[4:7], known[7]
+        before = first
+        for part in rows:
+            seen = list(zip(part["at"].tolist(), part["ident"].tolist(), part["state"].tolist()))
+            low, high = min(seen), max(seen)
+            first = low[0] if first is None else min(first, low[0])
+            last = high if last[0] is None else max(last, high)
+            ended = [row for row in seen if row[2] in TERMINAL_JOB]
+            if ended:
+                end = min(ended) if end[0] is None else min(end, min(ended))
+        self.job.update((first, *end, *last, expired))
+        if first != before or end[0] is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if end[0] is None and not expired:
+                self.handle.registerTimer((first + self.window) // 1000 + 1)
+        yield self._row(key, first, end, last, expired)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known = tuple(self.job.get())
+        self.job.update((*known[:7], True))
+        yield self._row(key, known[0], known[1:4], known[4:7], True)
+
+    def _row(self, key, first, end, last, expired) -> pd.DataFrame:
+        late = expired if end[0] is None else end[0] - first > self.window
+        return pd.DataFrame({"job": [key[0]], "status": ["failed" if late else end[2] or last[2]],
+                             "ended": pd.array([end[0]], dtype="Int64"), "expired": [expired]})
+
+
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass":
+           "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def monitor_jobs(log: DataFrame, out: str, checkpoint: str, *, job: str, status: str, time: str, ident: str, complete: Column,
+                 delay: str = "10 minutes", window_seconds: int = MONITOR_SECONDS, **trigger) -> object:
+    """T03 on a stream: ``job_fold`` whose clock is the watermark (newest time seen less ``delay``).
+
+    A job without an end when the watermark passes its window fails by a timer, without a row of its own.  Each
+    micro-batch writes the jobs that changed into a folder of its own, which a repeated batch replaces;
+    ``monitored_jobs`` reads the newest state.  Rows without a job, a time or an id, and rows behind the watermark, do not count.
+    """
+    spark, kinds = log.sparkSession, {f.name: f.dataType for f in log.schema}
+    rows = log.filter(F.col(job).isNotNull() & F.col(time).isNotNull() & F.col(ident).isNotNull()).select(
+        F.col(job).alias("job"), F.col(time).cast("timestamp").alias("ts"), F.col(ident).alias("ident"),
+        F.coalesce(_job_state(status, complete), F.lit("")).alias("state")).withWatermark("ts", delay) \
+        .withColumn("at", F.unix_micros("ts"))
+    states = rows.groupBy("job").transformWithStateInPandas(
+        JobMonitor(kinds[ident].simpleString(), window_seconds),
+        f"job {kinds[job].simpleString()}, status string, ended bigint, expired boolean", "Update", "EventTime")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{out}/part={number}")
+
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    for k, v in ROCKSDB.items():
+        spark.conf.set(k, v)
+    try:  # a stream takes the settings that hold when it starts
+        return states.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write) \
+            .trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def monitored_jobs(spark: SparkSession, out: str, job: str = "job") -> DataFrame:
+    """(job, status, ended_at), the newest state of every job that ``monitor_jobs`` wrote."""
+    newest = spark.read.parquet(out).groupBy("job").agg(
+        F.max_by(F.struct("status", "ended"), F.struct("batch", "expired")).alias("s"))
+    return newest.select(F.col("job").alias(job), "s.status", F.timestamp_micros("s.ended").alias("ended_at"))
+
+
 def stage_latency(stages: DataFrame) -> DataFrame:
     """Seconds from first start to latest end of each stage."""
     seconds = F.col("completed_at").cast("timestamp").cast("double") - F.col("started_at").cast("timestamp").cast("double")

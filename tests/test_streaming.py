@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from proofgrid.streaming import events as ev
 
 START = datetime(2026, 1, 1)
@@ -48,3 +50,29 @@ def test_ingest_metrics(spark, tmp_path):
     ev.ingest_metrics(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), batch="batch", size="size", max_bytes=25).awaitTermination()
     got = {r.batch: (r.files, r.bytes, r.accepted) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"b": (2, 30, False), "c": (1, 5, True)}
+
+
+def test_jobs_time_out_by_timer_over_micro_batches(spark, tmp_path):
+    """Ready, failed, incomplete, late and timed-out jobs over four micro-batches equal the batch fold at the last watermark."""
+    at = lambda minutes: START + timedelta(minutes=minutes)
+    batches = [
+        [("a", at(0), 1, "running", None), ("b", at(1), 2, "queued", None), ("c", at(2), 3, "running", None), ("d", at(3), 4, "running", None)],
+        [("a", at(20), 5, "ready", True), ("b", at(21), 6, "failed", None), ("c", at(22), 7, "ready", False), ("a", at(19), 8, "running", None)],
+        [("e", at(70), 9, "running", None), ("a", at(75), 10, "failed", None), (None, at(75), 11, "running", None), ("x", None, 12, "ready", True)],
+        [("f", at(80), 13, "running", None), ("d", at(90), 14, "ready", True), ("e", at(90), 14, "running", None), ("e", at(90), 15, None, None)],
+    ]
+    schema = "job string, ts timestamp, id bigint, status string, complete boolean"
+    seen = []
+    columns = dict(job="job", status="status", time="ts", ident="id", complete=F.col("complete"), window_seconds=3600)
+    for part in batches:  # one run per batch: the state, its timers and the watermark survive a restart
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "log"))
+        ev.monitor_jobs(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), delay="5 minutes", **columns).awaitTermination()
+        seen.append({r.job: r.status for r in ev.monitored_jobs(spark, str(tmp_path / "out")).collect()})
+    assert seen[0] == {"a": "running", "b": "queued", "c": "running", "d": "running"}
+    assert seen[1] == {"a": "ready", "b": "failed", "c": "failed", "d": "running"}
+    assert seen[2]["d"] == "failed" and seen[2]["e"] == "running"  # no row of d came: its timer fired
+    log = spark.read.schema(schema).parquet(str(tmp_path / "log")).filter("job is not null and ts is not null") \
+        .withColumn("status", F.coalesce("status", F.lit("")))
+    want = ev.job_fold(log, now=F.lit(at(85)), **columns)
+    assert sorted(map(tuple, ev.monitored_jobs(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, want.collect()))
