@@ -2,8 +2,11 @@
 
 A page is cut into blocks at its block-level tags.  A block has its number of words, its link density (share of words
 inside links), both of its neighbours, and its place: inside an article-like container (1), inside one for menus,
-adverts, notices, forms, comments and the like (-1), or neither (0); the innermost such container counts.  A decision
-tree, grown here on the small labelled table below, keeps or drops each block.
+adverts, notices, forms, comments and the like (-1), or neither (0).  The innermost such container counts, but nothing
+inside reader comments or a hidden element is an article, and no class name makes one inside a menu, footer, form or
+aside.  A class name counts by its parts; one that tells a state (``no-sidebar``, ``comments-open``) says nothing, and
+words of wide meaning (``social``, ``search``) count only alone or before a word for furniture.  A decision tree, grown
+here on the small labelled table below, keeps or drops each block.
 
 Scripts, styles, form controls, comments, and markup have no text.  Character references are decoded, white space in
 a block becomes one space, and the kept blocks are joined by one space in page order.
@@ -12,14 +15,15 @@ Attribute values are read whole, whatever their length, in time linear in the pa
 an equals sign; one without a partner on the page is an ordinary character, and a tag whose quotes leave it no end ends
 at the next >.
 
-Defined results: a null, empty or text-free page has an empty text; unclosed and misplaced tags never fail; a page
-without any tag is one block.
+Defined results: a null, empty or text-free page has an empty text; unclosed and misplaced tags never fail, in linear
+time too; a head without an end tag ends at the first tag of the body; a page without any tag is one block.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +54,12 @@ LABELLED = """
 -1   6 0.00  50 0.00   4 1.00 0
 -1 200 0.00 150 0.00   3 0.00 0
 -1   2 0.50  12 0.00   8 0.00 0
+-1   4 0.00   0 0.00  60 0.00 0
+-1   7 0.00   1 1.00  45 0.00 0
+-1   5 0.00  70 0.00  80 0.00 0
+-1  14 0.00  40 0.00  90 0.00 0
+-1  10 0.10   3 0.00  50 0.00 0
+-1   3 0.00  12 0.00  38 0.00 0
  0   1 1.00   0 0.00   1 1.00 0
  0   1 1.00   1 1.00   1 1.00 0
  0   3 1.00   2 1.00  70 0.00 0
@@ -84,6 +94,7 @@ BREAKS = frozenset("""address article aside blockquote body br caption center dd
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section
 summary table tbody td tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+BODY_TAGS = BREAKS - {"html"} | frozenset("a b em i img span strong".split())  # the first of them ends an open head
 MAIN_TAGS = frozenset("article main".split())
 OTHER_TAGS = frozenset("nav footer aside form header menu dialog".split())
 MAIN_WORDS = frozenset("article content post entry story main".split())
@@ -92,27 +103,52 @@ consent gdpr notice notices alert nav navbar navigation menu breadcrumb breadcru
 topbar comment comments commentlist reply replies respond disqus discussion share sharing social related recommended
 newsletter subscribe subscription signup login search popup modal overlay widget widgets pagination pager toolbar
 contentinfo complementary""".split())
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+WIDE_WORDS = frozenset("social search discussion share related signup login alert banner".split())
+FURNITURE = frozenset("""links link icons icon buttons button bar box media list items item posts articles stories form widget
+nav menu section area block panel wrap wrapper container body inner text message""".split()) | OTHER_WORDS
+STATES = frozenset("no not has have with without hide is open closed enabled disabled off on".split())
 TAG = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*)(?:([^>\"']*)>)?)")  # its attributes too where they have no quote
 STOP = re.compile(r">|=\s*[\"']")  # in a tag: its end, or the start of a quoted value
-NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"display\s*:\s*none|aria-hidden\s*=\s*[\"']?true|\shidden(?:\s|=|/|$)", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+COMMENTS, OTHER, ASIDE = -3, -2, -1  # what a container says inside the parser; all are place -1
 PART = re.compile(r"[a-z0-9]+")
 END_OF = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 
+def _words(name: str) -> set[str]:
+    """The parts of a class name or id that tell a place."""
+    parts = PART.findall(name.lower())
+    if STATES.intersection(parts):
+        return set()
+    wide = len(parts) == 1 or parts[-1] in FURNITURE
+    return {w for w in parts if wide or w not in WIDE_WORDS}
+
+
 def _place(tag: str, attrs: str, outer: int) -> int:
     """What a container says about its content; ``outer`` is what the containers around it say."""
+    if outer == COMMENTS:
+        return outer
     words = set()
-    if attrs:
-        for m in NAMES.finditer(attrs):
-            words.update(PART.findall((m[1] or m[2] or m[3] or "").lower()))
-        if HIDDEN.search(attrs):
-            return -1
-    if words & OTHER_WORDS and tag not in ("body", "html", "article", "main"):
-        return -1
+    for name, *values in ATTRIBUTE.findall(attrs) if attrs else ():
+        name, value = name.lower(), "".join(values)
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                words |= _words(token)
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" \
+                or name == "style" and NO_DISPLAY.search(value):
+            return COMMENTS
+    if tag not in ("body", "html", "main"):
+        if words & COMMENT_WORDS:
+            return COMMENTS
+        if words & OTHER_WORDS and tag != "article":
+            return min(outer, ASIDE)
     if tag in OTHER_TAGS and not (tag == "header" and outer == 1):
-        return -1
-    return 1 if tag in MAIN_TAGS or words & MAIN_WORDS and tag not in ("body", "html") else outer
+        return OTHER
+    if tag in MAIN_TAGS or words & MAIN_WORDS and tag not in ("body", "html") and outer != OTHER:
+        return 1
+    return outer
 
 
 def _tag_end(page: str, at: int, dead: set[int]) -> int:
@@ -133,14 +169,14 @@ def _tag_end(page: str, at: int, dead: set[int]) -> int:
 
 def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
     """(text, words, linked words, place) of the blocks of a page, in page order."""
-    out, stack = [], []  # stack: open containers and the place before each
+    out, stack, opened = [], [], Counter()  # stack: open containers and the place before each; how many of each tag
     pieces, linked, place, link, at = [], [], 0, False, 0
 
     def close():
         if pieces:
             words = "".join(pieces).split()
             if words:
-                out.append((" ".join(words), len(words), min(len(words), len("".join(linked).split())), place))
+                out.append((" ".join(words), len(words), min(len(words), len("".join(linked).split())), max(place, -1)))
             pieces.clear()
             linked.clear()
 
@@ -150,6 +186,19 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
             pieces.append(text)
             linked.append(text if link else " ")
 
+    def leave(tag: str) -> int:
+        """Closes the innermost open ``tag`` and what is open in it; the place outside."""
+        while True:
+            inner, outside = stack.pop()
+            opened[inner] -= 1
+            if inner == tag:
+                return outside
+
+    def enter(tag: str, inside: int) -> int:
+        stack.append((tag, place))
+        opened[tag] += 1
+        return inside
+
     end, dead = len(page), set()
     while at < end:
         m = TAG.search(page, at)
@@ -176,13 +225,16 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
         if m[1]:
             if tag == "a":
                 link = False
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close()
-                    place = stack[i][1]
-                    del stack[i:]
-                    break
-        elif tag in END_OF and not attrs.endswith("/"):
+            if opened[tag]:
+                close()
+                place = leave(tag)
+            if tag in BREAKS:
+                close()
+            continue
+        if opened["head"] and tag in BODY_TAGS:
+            close()
+            place = leave("head")
+        if tag in END_OF and not attrs.endswith("/"):
             gone = END_OF[tag].search(page, at)
             at = gone.end() if gone else end
         elif tag == "a":
@@ -192,17 +244,15 @@ def blocks_of(page: str) -> list[tuple[str, int, int, int]]:
                 link = False
             close()
             if tag == "body":
-                stack, place = [], 0
+                stack.clear()
+                opened.clear()
+                place = 0
             if tag not in VOID and tag not in ("p", "li", "td", "tr", "th", "dd", "dt") and not attrs.endswith("/"):
-                stack.append((tag, place))
-                place = -1 if tag in NO_TEXT else _place(tag, attrs, place)
+                place = enter(tag, COMMENTS if tag in NO_TEXT else _place(tag, attrs, place))
             elif tag in ("li", "p", "td") and attrs:
                 inner = _place(tag, attrs, place)
                 if inner != place:
-                    stack.append((tag, place))
-                    place = inner
-        if m[1] and tag in BREAKS:
-            close()
+                    place = enter(tag, inner)
     close()
     return out
 
