@@ -17,11 +17,11 @@ hashes of the set are its sketch.  Four steps, all linear in the input:
    that changes a component is lost.
 
 A comparison first estimates the similarity from the sketch of the union and
-then confirms it on the full sets.  The estimates have margins of five standard
-deviations; by the binomial tail a link at the very threshold is missed with a
-probability of about 9 in a million in each of the screen and the comparison.
-Inverted lists of sets up to the wide sketch's size are exact.  Sets and
-shingles are named by 64-bit hashes.
+then confirms it on the full sets.  The least count of retained values that an
+estimate asks for is read from the binomial tail: a link at the very threshold
+falls below it with a probability of at most ``MISS`` (one in 10^12) in each of
+the screen, the lists and the comparison.  Inverted lists of sets up to the
+wide sketch's size are exact.  Sets and shingles are named by 64-bit hashes.
 
 Defined results: a null or blank text has an empty set and no link; a row with
 a null id gets the size of its set, a null component and ``kept`` true; rows
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ from proofgrid.operators.graph import components_by_rounds
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-SIGMAS = 5.0
+MISS = 1e-12  # bound of the probability that one estimate hides a link
 MAP_BITS = 1 << 23  # of the bitmap of candidate ids: 1 MB, sent to every task
 
 
@@ -80,8 +81,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, k: int)
                      f"id {kind}, n bigint, node bigint, sketch array<bigint>")
 
 
+@lru_cache
 def _lenient(t: float, k: int) -> float:
-    return t - SIGMAS * math.sqrt(t * (1 - t) / k)
+    """The largest share s/k with P(fewer than s of k retained values are shared) <= MISS at similarity ``t``.
+
+    Retained values are drawn without replacement, whose tail is not above the binomial one.
+    """
+    tail = 0.0
+    for s in range(k + 1):
+        tail += math.exp(math.lgamma(k + 1) - math.lgamma(s + 1) - math.lgamma(k - s + 1)
+                         + s * math.log(t) + (k - s) * math.log1p(-t)) if 0 < t < 1 else float(t == 0 or s == k)
+        if tail > MISS:
+            return s / k
+    return t
 
 
 def _least_shared(size: Column, n: Column, t: float, k: int) -> Column:
