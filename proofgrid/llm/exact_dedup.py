@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from proofgrid.llm.common import located, shared_folder, stored
 
-BATCH_BYTES = 256 * 2**30  # of digest rows in one micro-batch
+BATCH_BYTES = 128 * 2**20  # of digest rows in one micro-batch
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
