@@ -28,14 +28,15 @@ PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.5, "ssn":
 CHECKED = {"card": 0.3, "iban": 0.4}
 CONTEXT_GAIN = 0.3
 LEAST = {"iban": 0.5, "ssn": 0.5}
-CONTEXT = {
-    "email": re.compile(r"e-?mail|contact|correo|kontakt|courriel", re.I),
-    "ip": re.compile(r"\bip\b|host|server|address|adresse", re.I),
-    "card": re.compile(r"card|visa|credit|karte|carte|tarjeta", re.I),
-    "phone": re.compile(r"phone|tel|call|mobile|telefon", re.I),
-    "iban": re.compile(r"iban|bank|account|konto|compte|cuenta", re.I),
-    "ssn": re.compile(r"ssn|social|security", re.I),
-}
+WHOLE_WORD = r"(?<![^\W_])(?:%s)(?![^\W_])"
+CONTEXT = {kind: re.compile(WHOLE_WORD % words, re.I) for kind, words in {
+    "email": r"e-?mails?|contacts?|correo|kontakt|courriels?",
+    "ip": r"ip|hosts?|servers?|address(?:es)?|adresses?",
+    "card": r"cards?|visa|credit|(?:kredit)?karten?(?:nummer)?|cartes?|tarjetas?",
+    "phone": r"(?:tele)?phones?|tel|calls?|mobiles?|telefon(?:nummer)?",
+    "iban": r"iban|banks?|accounts?|konto(?:nummer)?|comptes?|cuentas?",
+    "ssn": r"ssn|social|security",
+}.items()}
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){0,3}")
@@ -144,8 +145,8 @@ def find(text: str | None) -> list[tuple[str, int, int, float]]:
     if text and ("@" in text or HAS_DIGIT.search(text)):
         for kind, finder in FINDERS.items():
             for start, end in finder(text):
-                near = text[max(0, start - CONTEXT_CHARS):start]
-                score = PRIOR[kind] + CHECKED.get(kind, 0.0) + CONTEXT_GAIN * bool(CONTEXT[kind].search(near))
+                near = CONTEXT[kind].search(text, max(0, start - CONTEXT_CHARS), start)
+                score = PRIOR[kind] + CHECKED.get(kind, 0.0) + CONTEXT_GAIN * bool(near)
                 if score >= LEAST.get(kind, 0.0):
                     out.append((start, KINDS.index(kind), end, min(1.0, round(score, 3))))
     return [(KINDS[k], start, end, score) for start, k, end, score in sorted(out)]

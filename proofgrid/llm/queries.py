@@ -172,7 +172,7 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
     counts = [F.size(F.filter("spans", _of_kind(k))).cast("bigint").alias(f"n_{k}") for k in pii.BASE]
     return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"),
-                        _listed(F.col("spans")).alias("spans"))
+                        _listed(F.col("spans")).alias("spans"), F.col("spans.score").alias("scores"))
 
 
 @query("op7_best_fit_packing")

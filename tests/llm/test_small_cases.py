@@ -1,9 +1,11 @@
 """Brute-force comparisons and edge cases of the training-data operators on small tables."""
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -420,3 +422,44 @@ def test_language_sample_has_the_smallest_hashes(spark, per_lang):
     few = {r.doc_id for lang in ("de", "en")
            for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.h, r.doc_id))[:per_lang]}
     assert {r.text for r in got} == {r.text for r in rows if r.doc_id in few}
+
+
+BODY = " ".join(["word"] * 40)
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<article><p>{BODY}</article><section class=comments><article class=comment-body><p>{BODY} c</article></section>", BODY),
+    (f"<article><p>{BODY}</article><div class=comments><div class=post>{BODY} c</div></div>", BODY),
+    (f"<nav><div class=main><p>Home of all</div></nav><article><p>{BODY}</article>", BODY),
+    (f"<div class=cookie-notice>We use cookies here.</div><article><p>{BODY}</article>", BODY),
+    (f"<footer>Copyright Foo Inc</footer><div><p>{BODY}</div>", BODY),
+    (f"<div class='content no-sidebar'><p>{BODY}</div>", BODY),
+    (f"<div class=social-history><p>{BODY}</div>", BODY),
+    (f"<div title='a hidden gem'><p>{BODY}</div>", BODY),
+    (f"<html><head><title>x</title><p>{BODY}", BODY),
+    (f"<article class='post comments-open'><header><h1>T</h1></header><p>{BODY}</article>", f"T {BODY}"),
+    (f"<article><p>{BODY}<div class=social-links>Share it now</div><div hidden>No</div><div style='display : none'>No</div></article>", BODY),
+])
+def test_page_places(page, want):
+    assert html_text.main_text(page, html_text.trained_tree()) == want
+
+
+def test_stray_end_tags_take_linear_time():
+    assert html_text.blocks_of("<div>" * 50_000 + "</p>" * 50_000 + "end")[0][0] == "end"
+
+
+def test_a_similar_pair_is_hidden_by_no_estimate():
+    """The least share asked for keeps the exact binomial tail below the stated bound, and one value more does not."""
+    for t in (0.8, 0.85):
+        for k in (64, 1024):
+            least = round(near_dup._lenient(t, k) * k)
+            p, q = Fraction(t).limit_denominator(100), 1 - Fraction(t).limit_denominator(100)
+            tail = lambda n: float(sum(math.comb(k, s) * p**s * q**(k - s) for s in range(n)))
+            assert tail(least) <= near_dup.MISS < tail(least + 1)
+
+
+def test_context_words_are_whole_words():
+    score = lambda text: pii.find(text)[0][3]
+    assert score("my card 4111 1111 1111 1111") == score("Kreditkarte: 4111 1111 1111 1111") == 1.0
+    assert score("discard 4111 1111 1111 1111") == score("discard" + " " * 36 + "4111 1111 1111 1111") == 0.8
+    assert score("tel +49 30 123456789") > score("hotel +49 30 123456789")
