@@ -196,6 +196,23 @@ def match_spread(points: DataFrame, *, keys: list[str], x: str, y: str, width: s
         F.when(few, 0.0).otherwise(F.try_divide("hull", "image_area")).alias("hull_coverage"))
 
 
+def pair_spread(matches: DataFrame, *, keys: list[str], a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> DataFrame:
+    """Spread of both sides of a pair and the smaller of each figure.
+
+    ``a`` and ``b`` name x, y, width and height of a match in either image.  Each match becomes a row per side, so both
+    hulls come from one pass over the matches.
+    """
+    names = ("x", "y", "width", "height")
+    rows = matches.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(side).alias("side"), *[F.col(c).cast("double").alias(n) for c, n in zip(columns, names)])
+        for side, columns in (("a", a), ("b", b))])))
+    sides = match_spread(rows, keys=[*keys, "side"], x="x", y="y", width="width", height="height")
+    of = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
+    return sides.groupBy(*keys).agg(
+        F.min("cells").alias("min_cells"), F.min("hull_coverage").alias("min_hull"), of("cells", "a").alias("cells_a"),
+        of("cells", "b").alias("cells_b"), of("hull_coverage", "a").alias("hull_a"), of("hull_coverage", "b").alias("hull_b"))
+
+
 def planar_dominance(matches: DataFrame, *, pair: list[str], planar: str) -> DataFrame:
     """Share of inliers one plane explains; 0 under eight points."""
     n = F.count(F.lit(1))

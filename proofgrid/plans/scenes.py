@@ -126,6 +126,35 @@ def m03_hull(t):
         "l_suppkey", "cells", F.round("hull_coverage", 6).alias("hull_coverage"))
 
 
+@query("m03_pair_spread", """
+    with p as (select l_suppkey, l_partkey, unnest([
+        {'side': 'a', 'x': l_orderkey * 53 % 640, 'y': (l_linenumber * 97 + l_orderkey) % 480, 'w': if(l_partkey % 50 = 0, 0, 640), 'h': 480},
+        {'side': 'b', 'x': l_quantity::bigint * 12, 'y': l_orderkey * 31 % 600, 'w': 800, 'h': 600}], recursive := true) from lineitem),
+    facts as (select l_suppkey, l_partkey, side, any_value(w * h)::double as area, count(*) as n,
+        count(distinct least(3, (y * 4) // h) * 4 + least(3, (x * 4) // nullif(w, 0))) as cells from p group by all),
+    d as (select distinct l_suppkey, l_partkey, side, x::double as x, y::double as y from p),
+    edges as (
+        select l_suppkey, l_partkey, side, p.x as px, p.y as py, q.x as qx, q.y as qy
+        from d p join d q using (l_suppkey, l_partkey, side) join d r using (l_suppkey, l_partkey, side) where p.x <> q.x or p.y <> q.y group by all
+        having bool_and((q.x - p.x) * (r.y - p.y) > (q.y - p.y) * (r.x - p.x) or (q.x - p.x) * (r.y - p.y) = (q.y - p.y) * (r.x - p.x)
+            and (r.x - p.x) * (q.x - p.x) + (r.y - p.y) * (q.y - p.y) between 0 and (q.x - p.x) ** 2 + (q.y - p.y) ** 2)),
+    hulls as (select l_suppkey, l_partkey, side, sum(px * qy - qx * py) / 2 as hull from edges group by all),
+    sides as (select l_suppkey, l_partkey, side, if(n < 3 or area = 0, 0, cells) as cells,
+        if(n < 3 or area = 0, 0, coalesce(hull, 0) / area) as hull from facts left join hulls using (l_suppkey, l_partkey, side))
+    select l_suppkey, l_partkey, min(cells) as min_cells, min(hull) as min_hull, max(cells) filter (side = 'a') as cells_a,
+        max(cells) filter (side = 'b') as cells_b, max(hull) filter (side = 'a') as hull_a, max(hull) filter (side = 'b') as hull_b
+    from sides group by all""")
+def m03_pair(t):
+    """Hulls of both images of a pair; the SQL keeps the directed segments that have every point on one side."""
+    line, order, part = F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_partkey")
+    matches = t.lineitem.select("l_suppkey", "l_partkey", (order * 53 % 640).alias("xa"), ((line * 97 + order) % 480).alias("ya"),
+                                F.when(part % 50 == 0, 0).otherwise(640).alias("wa"), F.lit(480).alias("ha"),
+                                (F.col("l_quantity").cast("bigint") * 12).alias("xb"), (order * 31 % 600).alias("yb"),
+                                F.lit(800).alias("wb"), F.lit(600).alias("hb"))
+    out = sc.pair_spread(matches, keys=["l_suppkey", "l_partkey"], a=("xa", "ya", "wa", "ha"), b=("xb", "yb", "wb", "hb"))
+    return out.select("l_suppkey", "l_partkey", "min_cells", "cells_a", "cells_b", "min_hull", "hull_a", "hull_b")
+
+
 @query("m04_planar_dominance", """
     select l_partkey, round(case when count(*) >= 8 then avg((l_tax > 0.04)::int) else 0 end, 6) as planar_dominance from lineitem group by 1""")
 def m04(t):
