@@ -171,8 +171,9 @@ def match_spread(points: DataFrame, *, keys: list[str], x: str, y: str, width: s
         F.max(F.when((w > 0) & (h > 0), w * h)).alias("image_area"))
     ends = points.groupBy(*keys, F.col(x).cast("double").alias("u")).agg(
         F.min(F.col(y).cast("double")).alias("lo"), F.max(F.col(y).cast("double")).alias("hi"))
-    # a first hull per hashed part keeps the second one small for a huge pair
-    parts = ends.withColumn("part", F.pmod(F.xxhash64("u"), F.lit(16)).cast("int"))
+    # a first hull per hashed part, of about 4 096 columns, keeps the second one small for a huge pair
+    sizes = ends.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / 4096).alias("__parts"))
+    parts = join_back(ends, sizes, keys).withColumn("part", F.pmod(F.xxhash64("u"), F.col("__parts")).cast("int")).drop("__parts")
     key_fields = [points.schema[k] for k in keys]
     partial = T.StructType([*key_fields, T.StructField("u", T.DoubleType()), T.StructField("v", T.DoubleType())])
     final = T.StructType([*key_fields, T.StructField("hull", T.DoubleType())])
