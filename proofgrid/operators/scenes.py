@@ -158,6 +158,42 @@ def ring_area(ring: np.ndarray) -> float:
     return float(abs((ring[:, 0] * ny - ring[:, 1] * nx).sum()) / 2)
 
 
+def map_runs(df: DataFrame, by: list[str], kernel, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """``kernel`` on the numbers of every group of ``by``, for very many groups of bounded size.
+
+    Groups lie side by side in sorted partitions and are read batch by batch, so a group costs a slice of a batch and
+    no call of its own; the last group of a batch waits for the next one.  ``kernel`` takes a matrix of the columns
+    not in ``by`` and returns one of the columns of ``schema`` not in ``keys``.
+    """
+    rest, numbers = [f.name for f in schema if f.name not in keys], [c for c in df.columns if c not in by]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            starts = _run_starts(held[by])
+            if len(starts) > 1:
+                yield of(held.iloc[:starts[-1]], starts[:-1])
+                held = held.iloc[starts[-1]:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield of(held, _run_starts(held[by]))
+
+    def of(rows, starts):
+        values = rows[numbers].to_numpy(float)
+        out = [kernel(part) for part in np.split(values, starts[1:])]
+        first = rows[keys].iloc[np.repeat(starts, [len(o) for o in out])].reset_index(drop=True)
+        return pd.concat([first, pd.DataFrame(np.concatenate(out), columns=rest)], axis=1)
+
+    return df.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
+
+
+def _run_starts(named: pd.DataFrame) -> np.ndarray:
+    """Where a row differs from the one before; nulls are equal."""
+    before = named.shift()
+    differs = ((named != before) & ~(named.isna() & before.isna())).any(axis=1).to_numpy()
+    return np.flatnonzero(differs | (np.arange(len(named)) == 0))
+
+
 def match_spread(points: DataFrame, *, keys: list[str], x: str, y: str, width: str, height: str) -> DataFrame:
     """Occupied cells and hull coverage of each side of a pair.
 
@@ -171,30 +207,27 @@ def match_spread(points: DataFrame, *, keys: list[str], x: str, y: str, width: s
         F.max(F.when((w > 0) & (h > 0), w * h)).alias("image_area"))
     ends = points.groupBy(*keys, F.col(x).cast("double").alias("u")).agg(
         F.min(F.col(y).cast("double")).alias("lo"), F.max(F.col(y).cast("double")).alias("hi"))
-    # a first hull per hashed part, of about 4 096 columns, keeps the second one small for a huge pair
-    sizes = ends.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / 4096).alias("__parts"))
-    parts = join_back(ends, sizes, keys).withColumn("part", F.pmod(F.xxhash64("u"), F.col("__parts")).cast("int")).drop("__parts")
+    # a first hull per hashed part, of about 4 096 columns, keeps the second one small for a huge pair; fewer than
+    # three points, or one column, span no area
+    n_points = F.sum(F.when(F.col("lo") < F.col("hi"), 2).otherwise(1))
+    sizes = ends.groupBy(*keys).agg(F.ceil(F.count("u") / 4096).alias("__parts"), F.count("u").alias("__u"), n_points.alias("__p"))
+    parts = join_back(ends, sizes, keys).filter((F.col("__u") > 1) & (F.col("__p") > 2)).select(
+        *keys, F.pmod(F.xxhash64("u"), F.col("__parts")).cast("int").alias("part"), "u", "lo", "hi")
     key_fields = [points.schema[k] for k in keys]
     partial = T.StructType([*key_fields, T.StructField("u", T.DoubleType()), T.StructField("v", T.DoubleType())])
     final = T.StructType([*key_fields, T.StructField("hull", T.DoubleType())])
 
-    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring = hull_ring(np.concatenate([pdf["u"], pdf["u"]]), np.concatenate([pdf["lo"], pdf["hi"]]))
-        out = pd.DataFrame({"u": ring[:, 0], "v": ring[:, 1]})
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+    def corners(rows: np.ndarray) -> np.ndarray:
+        return hull_ring(np.repeat(rows[:, 0], 2), rows[:, 1:].ravel())
 
-    def area(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = {k: [pdf[k].iloc[0]] for k in keys}
-        out["hull"] = [ring_area(hull_ring(pdf["u"].to_numpy(), pdf["v"].to_numpy()))]
-        return pd.DataFrame(out)
+    def area(rows: np.ndarray) -> np.ndarray:
+        return np.array([[ring_area(hull_ring(rows[:, 0], rows[:, 1]))]])
 
-    hulls = parts.groupBy(*keys, "part").applyInPandas(corners, partial).groupBy(*keys).applyInPandas(area, final)
+    hulls = map_runs(map_runs(parts, [*keys, "part"], corners, partial, keys), keys, area, final, keys)
     few = (F.col("n") < 3) | ~F.coalesce(F.col("image_area") > 0, F.lit(False))
     return join_back(facts, hulls, keys).select(
         *keys, F.when(few, 0).otherwise(F.col("cells")).cast("bigint").alias("cells"),
-        F.when(few, 0.0).otherwise(F.try_divide("hull", "image_area")).alias("hull_coverage"))
+        F.when(few, 0.0).otherwise(F.try_divide(F.coalesce("hull", F.lit(0.0)), "image_area")).alias("hull_coverage"))
 
 
 def pair_spread(matches: DataFrame, *, keys: list[str], a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> DataFrame:

@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
@@ -126,35 +125,36 @@ class JobMonitor(StatefulProcessor):
         self.handle = handle
         self.job = handle.getValueState("job", self.schema)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = tuple(self.job.get()) if self.job.exists() else (None,) * 7 + (False,)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = tuple(self.job.get() or (None,) * 7 + (False,))
         first, end, last, expired = known[0], known[1:4], known[4:7], known[7]
-        before = first
-        for part in rows:
-            seen = list(zip(part["at"].tolist(), part["ident"].tolist(), part["state"].tolist()))
-            low, high = min(seen), max(seen)
-            first = low[0] if first is None else min(first, low[0])
-            last = high if last[0] is None else max(last, high)
-            ended = [row for row in seen if row[2] in TERMINAL_JOB]
-            if ended:
-                end = min(ended) if end[0] is None else min(end, min(ended))
+        before = None if end[0] is not None or expired else first  # of the timer that is set
+        for row in rows:
+            seen = (row["at"], row["ident"], row["state"])
+            first = seen[0] if first is None else min(first, seen[0])
+            last = seen if last[0] is None else max(last, seen)
+            if seen[2] in TERMINAL_JOB:
+                end = seen if end[0] is None else min(end, seen)
         self.job.update((first, *end, *last, expired))
-        if first != before or end[0] is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if end[0] is None and not expired:
-                self.handle.registerTimer((first + self.window) // 1000 + 1)
+        due = None if end[0] is not None or expired else first
+        if due != before:  # the state names the timer, so none has to be listed
+            if before is not None:
+                self.handle.deleteTimer(self._timer(before))
+            if due is not None:
+                self.handle.registerTimer(self._timer(due))
         yield self._row(key, first, end, last, expired)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         known = tuple(self.job.get())
         self.job.update((*known[:7], True))
         yield self._row(key, known[0], known[1:4], known[4:7], True)
 
-    def _row(self, key, first, end, last, expired) -> pd.DataFrame:
+    def _timer(self, first: int) -> int:
+        return (first + self.window) // 1000 + 1
+
+    def _row(self, key, first, end, last, expired) -> Row:
         late = expired if end[0] is None else end[0] - first > self.window
-        return pd.DataFrame({"job": [key[0]], "status": ["failed" if late else end[2] or last[2]],
-                             "ended": pd.array([end[0]], dtype="Int64"), "expired": [expired]})
+        return Row(job=key[0], status="failed" if late else end[2] or last[2], ended=end[0], expired=expired)
 
 
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass":
@@ -174,7 +174,7 @@ def monitor_jobs(log: DataFrame, out: str, checkpoint: str, *, job: str, status:
         F.col(job).alias("job"), F.col(time).cast("timestamp").alias("ts"), F.col(ident).alias("ident"),
         F.coalesce(_job_state(status, complete), F.lit("")).alias("state")).withWatermark("ts", delay) \
         .withColumn("at", F.unix_micros("ts"))
-    states = rows.groupBy("job").transformWithStateInPandas(
+    states = rows.groupBy("job").transformWithState(
         JobMonitor(kinds[ident].simpleString(), window_seconds),
         f"job {kinds[job].simpleString()}, status string, ended bigint, expired boolean", "Update", "EventTime")
 

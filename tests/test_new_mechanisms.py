@@ -3,10 +3,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from proofgrid.operators import drawings, graph, ranking
+from proofgrid.operators import scenes as sc
 from proofgrid.sources import stores
 
 
@@ -146,3 +148,23 @@ def test_files_are_ingested_by_their_bytes(spark, tmp_path):
         "b.bin": (hashlib.sha256(b"\x00").hexdigest(), 1, "application/octet-stream"),
         "c.pdf": (hashlib.sha256(b"%PDF" * 1000).hexdigest(), 4000, "application/pdf")}
     assert sorted(r.arrival for r in got.values()) == [1, 2, 3]
+
+
+def test_hulls_of_many_groups_equal_one_by_one(spark):
+    """Groups that cross batches, one large group, groups without an area, null keys and null places."""
+    rng = np.random.default_rng(7)
+    rows = [(int(k), float(x), float(y)) for k, x, y in zip(rng.integers(0, 300, 4000), rng.integers(0, 30, 4000), rng.integers(0, 30, 4000))]
+    rows += [(None, float(x), float(y)) for x, y in rng.normal(size=(9000, 2)) * 100]
+    rows += [(1001, 3.0, 1.0), (1001, 3.0, 9.0), (1001, 3.0, 5.0), (1002, 1.0, 1.0), (1003, None, 4.0), (1003, 2.0, None), (1003, 5.0, 1.0)]
+    points = spark.createDataFrame(rows, "k int, x double, y double").selectExpr("*", "1.0d as w", "1.0d as h")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = {r.k: r.hull_coverage for r in sc.match_spread(points, keys=["k"], x="x", y="y", width="w", height="h").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert len(got) == len({k for k, *_ in rows})
+    for key in [*range(300), None, 1001, 1002]:
+        x, y = np.array([(a, b) for k, a, b in rows if k == key]).T
+        assert got[key] == pytest.approx(sc.ring_area(sc.hull_ring(x, y)) if len(x) > 2 else 0.0)
+    assert got[1001] == got[1002] == got[1003] == 0.0
