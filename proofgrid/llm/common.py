@@ -41,12 +41,17 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
              schema: str) -> DataFrame:
     """``mapInArrow`` with batches of about ``SLICE_BYTES``, unless the session names another size.
 
-    A batch is held by the executor and by its Python worker, so its size bounds the memory of both.
+    A batch is held by the executor and by its Python worker, so its size bounds the memory of both.  Workers are used
+    again by later stages: what earlier tasks freed goes back to the machine before a task begins.
     """
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()
+        yield from run(batches)
+
     conf = df.sparkSession.conf
     if conf.get(BATCH_SETTING, None) is None:
         conf.set(BATCH_SETTING, str(SLICE_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(begin, schema)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
