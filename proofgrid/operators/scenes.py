@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from proofgrid.functions.numeric import add, dist3, dot, half_up, rotate_up
+from proofgrid.operators.cells import near_rows
 from proofgrid.operators.graph import connected_components, forest_and_labels, spanning_forest
 from proofgrid.operators.ranking import exact_median, first_by, join_back, number_rows, top_k, with_group_stats
 from proofgrid.session import stored
@@ -528,18 +529,10 @@ def near_pairs(points: DataFrame, *, keys: list[str], item: str, xyz: tuple[str,
                carry: list[str] = ()) -> DataFrame:
     """Pairs of one group at most ``reach`` apart, through a cell grid."""
     x, y, z = xyz
-    cells = [F.floor(F.col(c) / reach) for c in xyz]
-    left = points.select(*keys, F.col(item).alias("a"), *[F.col(c).alias(f"{c}_a") for c in (*xyz, *carry)],
-                         *[c.alias(f"__c{i}") for i, c in enumerate(cells)])
-    steps = F.explode(F.array(*[F.struct(*[F.lit(s).alias(f"s{i}") for i, s in enumerate((i, j, k))])
-                                for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
-    right = points.select(*keys, F.col(item).alias("b"), *[F.col(c).alias(f"{c}_b") for c in (*xyz, *carry)],
-                          *[c.alias(f"__d{i}") for i, c in enumerate(cells)], steps.alias("__s"))
-    right = right.select("*", *[(F.col(f"__d{i}") + F.col(f"__s.s{i}")).alias(f"__c{i}") for i in range(3)]) \
-        .drop("__s", "__d0", "__d1", "__d2")
+    left, right = (points.select(*keys, F.col(item).alias(n), *[F.col(c).alias(f"{c}_{n}") for c in (*xyz, *carry)]) for n in "ab")
     d = dist3(F.col(f"{x}_a"), F.col(f"{y}_a"), F.col(f"{z}_a"), F.col(f"{x}_b"), F.col(f"{y}_b"), F.col(f"{z}_b"))
-    return left.join(right, [*keys, "__c0", "__c1", "__c2"]).filter("a < b").withColumn("distance", d) \
-        .filter(F.col("distance") <= reach).drop("__c0", "__c1", "__c2")
+    near = near_rows(left, right, keys=keys, at=[f"{c}_a" for c in xyz], to=[f"{c}_b" for c in xyz], reach=reach)
+    return near.filter("a < b").withColumn("distance", d).filter(F.col("distance") <= reach)
 
 
 def local_room_edges(nodes: DataFrame, *, artifact: list[str], node: str, links: str, confidence: str) -> DataFrame:
