@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,13 +20,15 @@ from proofgrid.functions.linalg import decompose_sim3, umeyama3
 from proofgrid.functions.numeric import (add, clamp, dist3, mat4_mul, mat4_point, quaternion_product,
                                          similarity_inverse, similarity_scale)
 from proofgrid.functions.text import let
-from proofgrid.session import cut_lineage
+from proofgrid.operators.cells import near_rows
+from proofgrid.session import cut_lineage, stored
 from proofgrid.operators.ranking import (even_sample, exact_median, exact_quantile, first_by, join_back, number_rows, top_k,
                                          upper_median, weighted_median, with_group_stats)
 
 # Tolerances, limits and weights of the registration steps.
 MIN_DEPTH = 0.01
 LIFT_RADIUS = 4
+LIFT_CELL_BITS = 4  # depth cells of sixteen pixels
 MIN_LIFTED = 12
 MANY_MATCHES, INLIERS_MANY, INLIERS_FEW, INLIER_RATIO = 40, 18, 10, 0.25
 SCALE_RANGE = (0.5, 2.0)
@@ -42,6 +44,8 @@ SUPPORT_GATE = 0.30
 LUMINANCE = (0.2126, 0.7152, 0.0722)
 RIDGE, STRENGTH, GAIN_BOUNDS, MIN_COLOUR_SAMPLES = 0.35, 0.65, (0.90, 1.10), 12
 MAX_ROTATION_GAP_DEG, MIN_BASELINE = 18.0, 1e-6
+DEEPEST = 26  # levels of a pyramid: more than a double can tell apart
+LOOKED_UP = 16  # targets of a cell that are compared one by one
 
 
 # --- Q01, Q02: projection and lifting
@@ -63,13 +67,15 @@ def depth_buffer(points: DataFrame, *, keys: list[str], focal: str, width: str,
 
 def lift_pixels(pixels: DataFrame, depth: DataFrame, *, keys: list[str], pixel: list[str], px: str, py: str) -> DataFrame:
     """Q02: nearest depth in the smallest square ring (radius 0 to 4) that has any sample."""
-    offsets = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
-                                  for dx in range(-LIFT_RADIUS, LIFT_RADIUS + 1)
-                                  for dy in range(-LIFT_RADIUS, LIFT_RADIUS + 1)]))
-    want = pixels.select(*keys, *pixel, F.rint(px).cast("int").alias("__u"), F.rint(py).cast("int").alias("__v"), offsets.alias("__o"))
-    want = want.select(*keys, *pixel, (F.col("__u") + F.col("__o.dx")).alias("u"), (F.col("__v") + F.col("__o.dy")).alias("v"),
-                       F.greatest(F.abs("__o.dx"), F.abs("__o.dy")).alias("__ring"))
-    hit = want.join(depth, [*keys, "u", "v"])
+    want = pixels.select(*keys, *pixel, F.rint(px).cast("int").alias("__u"), F.rint(py).cast("int").alias("__v"))
+    placed = depth
+    for c, at in (("u", "__u"), ("v", "__v")):  # a window reaches four cells at most
+        low, high = (F.shiftright(F.col(at) + side * LIFT_RADIUS, LIFT_CELL_BITS) for side in (-1, 1))
+        want = want.withColumn(f"__c{c}", F.explode(F.sequence(low, high)))
+        placed = placed.withColumn(f"__c{c}", F.shiftright(F.col(c).cast("int"), LIFT_CELL_BITS))
+    # never broadcast: Spark does not count what an explode adds
+    hit = want.hint("merge").join(placed, [*keys, "__cu", "__cv"]).withColumn(
+        "__ring", F.greatest(F.abs(F.col("u") - F.col("__u")), F.abs(F.col("v") - F.col("__v")))).filter(F.col("__ring") <= LIFT_RADIUS)
     return hit.groupBy(*keys, *pixel).agg(F.min_by(F.struct("x", "y", "z"), F.struct("__ring", "z", "u", "v")).alias("p")) \
         .select(*keys, *pixel, "p.x", "p.y", "p.z")
 
@@ -266,25 +272,18 @@ def reciprocal_matches(a: DataFrame, b: DataFrame, *, keys: list[str], idx: str,
                        cell: float, max_matches: int = SURFACE_MATCHES) -> DataFrame:
     """Q09: mutual nearest surface points within a limit that agree in normal and colour.
 
-    Nearest neighbours are looked for in the 27 cells around a point: a match
-    beyond ``cell`` would exceed the limit and be rejected anyway, so this is
+    Nearest neighbours are looked for within ``cell``: a match beyond it would
+    exceed the limit and be rejected anyway, so this is
     exact.  ``limit`` must not be above ``cell``.  Normal and colour gates come
     after the neighbours are fixed; one match per voxel, nearest first, at most
     1 200 per pair, and none for a pair with fewer than twelve.
     """
     cols = ["x", "y", "z", "nx", "ny", "nz", "r", "g", "b"]
-    def cells(df, tag):
-        return df.select(*keys, F.col(idx).alias(f"i{tag}"), *[F.col(c).cast("double").alias(f"{c}{tag}") for c in cols],
-                         *[F.floor(F.col(c) / cell).alias(f"__c{c}") for c in "xyz"])
-
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("x"), F.lit(j).alias("y"), F.lit(k).alias("z"))
-                                for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
-    right = cells(b, "2").withColumn("__s", steps)
-    for c in "xyz":
-        right = right.withColumn(f"__c{c}", F.col(f"__c{c}") + F.col(f"__s.{c}"))
-    pairs = cells(a, "1").join(right.drop("__s"), [*keys, "__cx", "__cy", "__cz"]).drop("__cx", "__cy", "__cz")
+    left, right = (df.select(*keys, F.col(idx).alias(f"i{tag}"), *[F.col(c).cast("double").alias(f"{c}{tag}") for c in cols])
+                   for df, tag in ((a, "1"), (b, "2")))
+    pairs = near_rows(left, right, keys=keys, at=["x1", "y1", "z1"], to=["x2", "y2", "z2"], reach=cell)
     pairs = pairs.withColumn("distance", dist3(F.col("x1"), F.col("y1"), F.col("z1"), F.col("x2"), F.col("y2"), F.col("z2")))
-    pairs = pairs.filter(F.col("distance") <= (limit if isinstance(limit, Column) else F.lit(limit)))
+    pairs = stored(pairs.filter(F.col("distance") <= (limit if isinstance(limit, Column) else F.lit(limit))), "pairs")  # read twice
     near_b = first_by(pairs, [*keys, "i1"], [F.col("distance"), F.col("i2")])
     near_a = first_by(pairs.select(*keys, "i1", "i2", "distance"), [*keys, "i2"], [F.col("distance"), F.col("i1")])
     mutual = near_b.join(near_a.select(*keys, "i1", "i2"), [*keys, "i1", "i2"])
@@ -437,8 +436,10 @@ def colour_gains(samples: DataFrame, edges: DataFrame, *, scene: str, a: str, b:
     ratios = good.select(*keys, *[(F.log(F.greatest(F.col(f"{c}1"), F.lit(1e-4))) - F.log(F.greatest(F.col(f"{c}2"), F.lit(1e-4))))
                                   .alias(f"l{c}") for c in "rgb"])
     facts = ratios.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples")).filter(F.col("samples") >= MIN_COLOUR_SAMPLES)
-    for c in "rgb":
-        facts = join_back(facts, exact_median(ratios, keys, f"l{c}", f"m{c}"), keys)
+    channels = ratios.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("__ch"), F.col(f"l{c}").alias("__l")) for c in "rgb"])))
+    mids = exact_median(channels, [*keys, "__ch"], "__l", "__m").groupBy(*keys).agg(
+        *[F.max(F.when(F.col("__ch") == c, F.col("__m"))).alias(f"m{c}") for c in "rgb"])
+    facts = join_back(facts, mids, keys)
     pairs = facts.join(edges.select(*keys, F.col(confidence).cast("double").alias("__c")), keys)
     ftype = edges.schema[a].dataType
     schema = T.StructType([edges.schema[scene], T.StructField("frame", ftype), *[T.StructField(f"gain_{c}", T.DoubleType()) for c in "rgb"],
@@ -557,40 +558,60 @@ def calibrate_cameras(cameras: DataFrame, constraints: DataFrame, anchors: DataF
 
 
 def nearest_distance(queries: DataFrame, targets: DataFrame, *, keys: list[str], query: str, target: str,
-                     out: str, others_only: bool = False, reach: float = 2.0) -> DataFrame:
+                     out: str, others_only: bool = False) -> DataFrame:
     """Exact distance to the nearest target of the same group, without pairing a group with itself.
 
-    A round looks into the 27 cells around each query and settles those with a
-    target within one cell width; the rest go on with twice the width.  Queries
-    of groups without any (other) target drop out first, and so do positions
-    that are not finite.
+    All queries go down a pyramid of cells together, each level four times finer.  A cell is known by the box around its
+    targets: a query keeps the cells whose box may be nearer than the far side of its best one.  A box that is one point
+    is settled whatever its number of targets, cells of few targets are looked up, so neither dense nor repeated
+    positions make a query meet more than a few rows a level.  Queries of groups without any (other) target drop out, and
+    so do positions that are not finite.
     """
-    xyz = ("px", "py", "pz")
+    xyz, axes = ("px", "py", "pz"), range(3)
 
     def finite(df):
         return df.filter(reduce(lambda a, b: a & b, [F.coalesce(F.abs(c) < float("inf"), F.lit(False)) for c in xyz]))
 
     queries, targets = finite(queries), finite(targets)
-    enough = targets.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= (2 if others_only else 1))
-    left = cut_lineage(queries.select(*keys, query, *xyz).join(enough.select(*keys), keys, "left_semi"))
-    pool = cut_lineage(targets.select(*keys, F.col(target).alias("__t"), *[F.col(c).alias(f"__{c}") for c in xyz]))
-    steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip((i, j, k), xyz, strict=True)])
-                                for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
-    cells = [f"__c{c}" for c in xyz]
-    done = None
-    while left.limit(1).count():
-        spread = pool.withColumn("__s", steps).select(*keys, "__t", *[f"__{c}" for c in xyz], *[
-            (F.floor(F.col(f"__{c}") / reach) + F.col(f"__s.{c}")).alias(f"__c{c}") for c in xyz])
-        aimed = left.select("*", *[F.floor(F.col(c) / reach).alias(f"__c{c}") for c in xyz])
-        pairs = aimed.join(spread, [*keys, *cells])
+    named = [f"__{c}" for c in xyz]
+    pool = targets.select(*keys, F.col(target).alias("__t"), *[F.col(c).cast("double").alias(n) for c, n in zip(xyz, named)])
+    frame = pool.groupBy(*keys).agg(*[F.min(n).alias(f"__o{i}") for i, n in enumerate(named)],
+                                    F.greatest(*[F.max(n) - F.min(n) for n in named]).alias("__w"))
+    shares = [F.when(F.col("__w") > 0, F.least((F.col(n) - F.col(f"__o{i}")) / F.col("__w"), F.lit(1 - 2.0**-53))).otherwise(0.0)
+              for i, n in enumerate(named)]
+    pool = stored(join_back(pool, frame, keys, "inner").select(*keys, "__t", *named, *[c.alias(f"__s{i}") for i, c in enumerate(shares)]), "pool")
+    at, above = [f"__c{i}" for i in axes], [f"__p{i}" for i in axes]
+    q = [F.col(c) for c in xyz]
+    number = queries.select(*keys, query, *xyz).distinct().withColumn("__q", F.monotonically_increasing_id())
+    left = stored(number.withColumn("__best", F.lit(float("inf"))).select("*", *[F.lit(0).cast("bigint").alias(p) for p in above]), "queries")
+    level, done = 0, []
+    while not left.isEmpty():
+        level += 1
+        cell = [F.floor(F.col(f"__s{i}") * float(4**level)).cast("bigint").alias(c) for i, c in enumerate(at)]
+        cells = pool.select(*keys, "__t", *named, *cell).groupBy(*keys, *at).agg(
+            F.count(F.lit(1)).alias("__n"), F.min("__t").alias("__t0"), F.max("__t").alias("__t1"),
+            *[F.min(n).alias(f"__l{i}") for i, n in enumerate(named)], *[F.max(n).alias(f"__h{i}") for i, n in enumerate(named)]) \
+            .select("*", *[F.shiftright(c, 2).alias(p) for c, p in zip(at, above)])
+        aimed = left.join(cells, [*keys, *above]).drop(*above)
+        if others_only:
+            aimed = aimed.filter((F.col(query) != F.col("__t0")) | (F.col(query) != F.col("__t1")))
+        gaps = [(F.col(f"__l{i}") - c, c - F.col(f"__h{i}")) for i, c in enumerate(q)]
+        near = F.sqrt(add([let(F.greatest(a, b, F.lit(0.0)), lambda v: v * v) for a, b in gaps]))
+        far = F.sqrt(add([let(F.greatest(F.abs(a), F.abs(b)), lambda v: v * v) for a, b in gaps]))
+        aimed = aimed.withColumn("__near", near).withColumn("__far", far)
+        best = F.least("__best", F.min("__far").over(Window.partitionBy("__q")))
+        kept = stored(aimed.withColumn("__best", best).filter(F.col("__near") <= F.col("__best") * (1 + 1e-12)), "aimed")
+        point = reduce(lambda a, b: a & b, [F.col(f"__l{i}") == F.col(f"__h{i}") for i in axes])
+        few = (F.col("__n") <= LOOKED_UP) | F.lit(level >= DEEPEST)
+        done.append(kept.filter(point).select(*keys, query, F.col("__near").alias(out)))
+        rows = kept.filter(~point & few).select(*keys, query, *xyz, *at).join(pool.select(*keys, "__t", *named, *cell), [*keys, *at])
         if others_only:
-            pairs = pairs.filter(F.col(query) != F.col("__t"))
-        d = dist3(*[F.col(c) for c in xyz], *[F.col(f"__{c}") for c in xyz])
-        found = cut_lineage(pairs.groupBy(*keys, query).agg(F.min(d).alias(out)).filter(F.col(out) <= reach))
-        done = found if done is None else done.unionByName(found)
-        left = cut_lineage(left.join(found.select(*keys, query), [*keys, query], "left_anti"))
-        reach *= 2
-    return done if done is not None else left.select(*keys, query, F.lit(0.0).alias(out))
+            rows = rows.filter(F.col(query) != F.col("__t"))
+        done.append(rows.select(*keys, query, dist3(*q, *[F.col(n) for n in named]).alias(out)))
+        left = kept.filter(~point & ~few).select(*keys, query, *xyz, "__q", "__best", *[F.col(c).alias(p) for c, p in zip(at, above)])
+    if not done:
+        return left.select(*keys, query, F.lit(0.0).alias(out))
+    return reduce(DataFrame.unionByName, done).groupBy(*keys, query).agg(F.min(out).alias(out))
 
 
 def capture_envelope(cameras: DataFrame, queries: DataFrame, *, scene: str, camera: str, query: str) -> DataFrame:
