@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from proofgrid.functions.numeric import add, dist3, dot, half_up, rotate_up
 from proofgrid.operators.cells import near_rows
-from proofgrid.operators.graph import connected_components, forest_and_labels, spanning_forest
+from proofgrid.operators.graph import component_labels, connected_components, forest_and_labels, spanning_forest
 from proofgrid.operators.ranking import exact_median, first_by, join_back, number_rows, top_k, with_group_stats
 from proofgrid.session import stored
 
@@ -263,23 +263,26 @@ def rejected_pairs(attempted: DataFrame, accepted: DataFrame, *, pair: list[str]
 
 # --- M06, M07, M10: components and coverage
 
-def component_stats(edges: DataFrame, vertices: DataFrame, *, group: list[str], a: str, b: str, weight: str) -> DataFrame:
-    """Members of each component with its size, summed edge weight and smallest member."""
-    labels = connected_components(edges, group=group, a=a, b=b, vertices=vertices)
-    inside = edges.join(labels.withColumnRenamed("vertex", a), [*group, a]).groupBy(*group, "component").agg(
-        F.sum(weight).alias("weight"))
+def component_stats(edges: DataFrame, vertices: DataFrame, *, group: list[str], a: str, b: str,
+                    weight: str) -> tuple[DataFrame, DataFrame]:
+    """(group..., vertex, component), and size and summed edge weight of each component."""
+    edges = stored(edges.select(*group, F.col(a).alias("a"), F.col(b).alias("b"), F.col(weight).alias("weight")), "edges")
+    found = component_labels(edges.select(*group, "a", "b"), group)
+    labels = stored(vertices.distinct().join(found, [*group, "vertex"], "left").withColumn(
+        "component", F.coalesce("component", "vertex")), "labels")
+    inside = edges.join(labels.withColumnRenamed("vertex", "a"), [*group, "a"]).groupBy(*group, "component").agg(
+        F.sum("weight").alias("weight"))
     sizes = labels.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("size"))
     facts = join_back(sizes, inside, [*group, "component"]).withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    return join_back(labels, facts, [*group, "component"])
+    return labels, facts
 
 
 def strongest_component(edges: DataFrame, vertices: DataFrame, *, group: list[str], a: str, b: str,
                         weight: str) -> DataFrame:
     """Members of the largest component; ties by summed confidence, then smallest member."""
-    stats = component_stats(edges, vertices, group=group, a=a, b=b, weight=weight)
-    best = stats.select(*group, "component", "size", "weight").distinct()
-    best = first_by(best, group, [F.col("size").desc(), F.round("weight", 9).desc(), F.col("component")])
-    return stats.join(best.select(*group, "component"), [*group, "component"], "left_semi")
+    labels, facts = component_stats(edges, vertices, group=group, a=a, b=b, weight=weight)
+    best = stored(first_by(facts, group, [F.col("size").desc(), F.round("weight", 9).desc(), F.col("component")]), "best")
+    return labels.join(best, [*group, "component"])
 
 
 def coverage_groups(edges: DataFrame, candidates: DataFrame, *, group: list[str], a: str, b: str, weight: str,
@@ -288,16 +291,16 @@ def coverage_groups(edges: DataFrame, candidates: DataFrame, *, group: list[str]
 
     Edges count only between candidates; singletons stay unless ``verified``.
     """
+    candidates = stored(candidates, "candidates")
     inside = edges
     for end in (a, b):
         inside = inside.join(candidates.withColumnRenamed("vertex", end), [*group, end], "left_semi")
-    stats = component_stats(inside, candidates, group=group, a=a, b=b, weight=weight)
+    labels, facts = component_stats(inside, candidates, group=group, a=a, b=b, weight=weight)
     if verified:
-        stats = stats.filter("size >= 2")
-    heads = stats.select(*group, "component", "size", "weight").distinct()
-    ranked = number_rows(heads, group, [F.col("size").desc(), F.round("weight", 9).desc(), F.col("component")],
+        facts = facts.filter("size >= 2")
+    ranked = number_rows(stored(facts, "facts"), group, [F.col("size").desc(), F.round("weight", 9).desc(), F.col("component")],
                          "group_rank", slice_by=-F.col("size"))
-    return join_back(stats, ranked.select(*group, "component", "group_rank"), [*group, "component"])
+    return join_back(labels, ranked, [*group, "component"], "inner")
 
 
 def remaining_inputs(groups: DataFrame, artifacts: DataFrame, poses: DataFrame, *, case: str, artifact: str,
