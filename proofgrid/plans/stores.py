@@ -95,7 +95,7 @@ def s08_files(t):
     path, spark = f"{scratch(t)}/files", t.spark
     text = t.supplier.select(F.regexp_replace("s_name", "[^A-Za-z0-9]", "_").alias("name"),
                              F.to_json(F.struct("s_suppkey", "s_name")).alias("value"))
-    text.repartition("name").write.partitionBy("name").text(path)
+    stores.write_files(text, path, name="name")
     found = stores.ingest_files(spark, path, "part-*")
     return found.select(F.concat(F.regexp_extract("path", "name=([^/]*)", 1), F.lit(".json")).alias("name"), "sha256", "byte_size",
                         F.lit(stores.MEDIA_TYPES["json"]).alias("media_type"))
