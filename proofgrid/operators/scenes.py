@@ -369,8 +369,8 @@ def connection_tree(edges: DataFrame, *, group: list[str], a: str, b: str, confi
     forest, labels = forest_and_labels(edges, group=group, a=a, b=b, order=[-F.col(confidence), F.col(pos)], edge_id=pos)
     marked = stored(forest.join(labels.withColumnRenamed("vertex", a), [*group, a]), "trees")
     trees = marked.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("__e"), F.sum(confidence).alias("__w"))
-    best = first_by(trees, group, [F.col("__e").desc(), F.round("__w", 9).desc(), F.col("component")])
-    tree = marked.join(best.select(*group, "component"), [*group, "component"], "left_semi")
+    best = stored(first_by(trees, group, [F.col("__e").desc(), F.round("__w", 9).desc(), F.col("component")]), "best")
+    tree = stored(marked.join(best.select(*group, "component"), [*group, "component"], "left_semi"), "tree")
     ends = tree.select(*group, F.col(a).alias("anchor"), F.col(confidence).alias("__c")) \
         .unionByName(tree.select(*group, F.col(b).alias("anchor"), F.col(confidence).alias("__c")))
     strength = ends.groupBy(*group, "anchor").agg(F.round(F.sum("__c"), 9).alias("strength"))
