@@ -374,7 +374,9 @@ def cross_view_votes(points: DataFrame, cameras: DataFrame, depth: DataFrame, *,
         F.least(F.lit(2), F.greatest(F.lit(1), F.count(F.lit(1)) - 1)).alias("__need"))
     pairs = points.select(scene, frame, idx, "x", "y", "z").join(cams, scene).filter(F.col(frame) != F.col("__tf"))
     tx, ty, tz = mat4_point(F.col("__inv"), *[F.col(c).cast("double") for c in "xyz"])
-    pairs = pairs.select(scene, frame, idx, "__tf", "__f", "__w", "__h", tx.alias("__x"), ty.alias("__y"), tz.alias("__z"))
+    # placed by a generator: the optimizer would copy the products into every test on them, too much code to be compiled
+    place = F.inline(F.array(F.struct(tx.alias("__x"), ty.alias("__y"), tz.alias("__z"))))
+    pairs = pairs.select(scene, frame, idx, "__tf", "__f", "__w", "__h", place)
     pairs = pairs.filter(F.col("__z") > MIN_DEPTH)
     u, v, ok = project(F.col("__x"), F.col("__y"), F.col("__z"), F.col("__f"), F.col("__w"), F.col("__h"))
     aimed = pairs.withColumn("u", u).withColumn("v", v).filter(ok) \
