@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -463,3 +464,37 @@ def test_context_words_are_whole_words():
     assert score("my card 4111 1111 1111 1111") == score("Kreditkarte: 4111 1111 1111 1111") == 1.0
     assert score("discard 4111 1111 1111 1111") == score("discard" + " " * 36 + "4111 1111 1111 1111") == 0.8
     assert score("tel +49 30 123456789") > score("hotel +49 30 123456789")
+
+
+def test_few_candidates_are_counted(spark, monkeypatch):
+    """op9: every place of a window's rarer terms was counted word by word, and every word of a text was an object."""
+    rng = random.Random(4)
+    vocabulary = [f"w{min(rng.randrange(400), rng.randrange(400))}" for _ in range(4000)]
+    items = [(str(i), " ".join(vocabulary[i * 30:i * 30 + 30])) for i in range(20)]
+    texts = [" ".join(rng.choices(vocabulary, k=600)) for _ in range(8)]
+    texts += [items[3][1], items[5][1].replace(" w", " x w", 4), "", "É" + items[7][1].upper() + "\n" + "y" * 3000]
+    counted = []
+    whole = decontaminate._Asked._counted
+
+    def seen(self, around, place, window, slop):
+        counted.append(len(place))
+        return whole(self, around, place, window, slop)
+
+    monkeypatch.setattr(decontaminate._Asked, "_counted", seen)
+    windows = decontaminate._windows(items, 13)
+    words = [w for t in texts for w in [*decontaminate.words_of(t), *[b"|"] * 26]]
+    found = [[data[i:j] for data, starts, ends, of, _ in decontaminate._pieces([t.encode()]) for i, j in zip(starts, ends)] for t in texts]
+    assert found == [decontaminate.words_of(t) for t in texts]
+    places = {}
+    for at, w in enumerate(words):
+        if any(w in window for window in windows):
+            places.setdefault(w, []).append(at)
+    asked = decontaminate._Asked(windows, {w: len(at) for w, at in places.items()}, (2, 3))
+    lengths = [len(decontaminate.words_of(t)) for t in texts]
+    starts = np.cumsum([0, *[n + 26 for n in lengths[:-1]]])
+    _, phrase, near = asked.answer(starts, np.array(lengths), list(places), np.array([len(at) for at in places.values()]),
+                                   np.concatenate([np.array(at) for at in places.values()]), 26)
+    want = near_by_brute_force(list(enumerate(texts)), items, 13, 26, (2, 3))
+    assert [(sorted(phrase[d]), sorted(near[d] - phrase[d])) for d in range(len(texts))] == want
+    pairs = sum(len(at) * int(asked.keys.count[asked.number[w]]) for w, at in places.items())
+    assert sum(counted) * 10 < pairs
