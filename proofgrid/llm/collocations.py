@@ -12,8 +12,10 @@ their texts, stripes of one prefix are merged element by element, and the merged
 Level 0 is the stripe of the empty prefix: it counts words.  A phrase is frequent only if all its parts are, so level
 ``k`` makes stripes for frequent prefixes alone and names a next word only where the ``k`` words ending in it are
 frequent.  Which ones are, tasks read from a bitmap of fixed size; a bit shared with another phrase costs work and
-changes no result.  The stripe of a hot prefix, known from a second bitmap, is dealt to ``SHARDS`` rows by next word
-(the empty prefix: ``ROOT_SHARDS``), in all tasks alike, so shards merge on their own and no task holds it whole.
+changes no result.  Stripes are dealt to ``SHARDS`` shards per language by prefix, and a task sends one row a shard, so its
+rows do not grow with the number of frequent phrases.  The stripe of a hot prefix, known from a second bitmap, is dealt to
+``HOT_SHARDS`` of them by next word (the empty prefix: to all), in all tasks alike, so shards merge on their own and no
+task holds it whole.
 
 Defined results: null texts are empty, a null language is ``und``; rows of equal ids or texts all count; ties are
 ordered by phrase in byte order; an empty table has no phrase.
@@ -33,13 +35,13 @@ from pyspark.sql import functions as F
 from proofgrid.llm.common import in_arrow, slices, stored
 
 MOST_WORDS = 5
-SHARDS, ROOT_SHARDS = 32, 256
+SHARDS, HOT_SHARDS = 512, 32
 HOT = 1 << 22  # occurrences from which a prefix's stripe is dealt to shards
 PLACES_HELD, WORDS_HELD = 3_000_000, 300_000  # occurrences and distinct words whose stripes a task combines
 MAP_BITS = 1 << 25  # of each bitmap: 4 MB, sent to every task
 BORDERS = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\t", b"\n" * 9 + b" ")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-STRIPE = "lang string, prefix string, shard int, words array<string>, counts array<int>"
+STRIPES = "lang string, shard int, prefixes array<string>, words array<array<string>>, counts array<array<int>>"
 UNKNOWN = "und"
 
 
@@ -150,31 +152,43 @@ class Stripes:
         self.places += len(at)
 
     def flushed(self) -> pa.RecordBatch:
-        """``STRIPE`` rows of what was added since the last time."""
+        """``STRIPES`` rows of what was added since the last time, one a shard."""
         k, size = self.k, len(self.number)
         found, hashes, words = np.concatenate(self.found, axis=1).astype(np.int64), np.concatenate(self.hashes), list(self.number)
         group, example = _grouped(found[:k])
-        shards = np.full(len(example), ROOT_SHARDS)
+        places, spread = np.zeros(len(example), np.int64), np.full(len(example), SHARDS)
         if k:
             places = mixed(self.lang, (hashes[found[j, example]] for j in range(k)), len(example))
-            shards = np.where(_is_set(self.hot, places), SHARDS, 1)
+            spread = np.where(_is_set(self.hot, places), HOT_SHARDS, 1)
         keys, counts = np.unique(group * (size + 1) + found[k] + 1, return_counts=True)
         group, following = keys // (size + 1), keys % (size + 1) - 1
         by_word = np.append((hashes >> np.uint64(40)).astype(np.int64), 0)  # null takes the last one
-        shard = by_word[following] % shards[group]
-        order = np.lexsort((shard, group))
+        shard = (places[group] + by_word[following] % spread[group]) % SHARDS
+        order = np.lexsort((group, shard))
         group, shard, following, counts = group[order], shard[order], following[order], counts[order]
         first = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(shard, prepend=-1) != 0))
-        bounds = pa.array(np.append(first, len(group)), pa.int32())
+        heads = np.flatnonzero(np.diff(shard[first], prepend=-1) != 0)
+        stripes, shards = pa.array(np.append(first, len(group)), pa.int32()), pa.array(np.append(heads, len(first)), pa.int32())
         named = pa.array([w.decode() for w in words], pa.string())
         following = named.take(pa.array(following, pa.int64(), mask=following < 0))
         prefixes = pa.array([b" ".join([words[i] for i in e]).decode() for e in found[:k, example].T.tolist()], pa.string())
         self.clear()
+        listed = pa.ListArray.from_arrays
         return pa.RecordBatch.from_arrays(
-            [pa.array([self.lang] * len(first), pa.string()), prefixes.take(pa.array(group[first], pa.int64())),
-             pa.array(shard[first], pa.int32()), pa.ListArray.from_arrays(bounds, following),
-             pa.ListArray.from_arrays(bounds, pa.array(counts, pa.int32()))],
-            names=["lang", "prefix", "shard", "words", "counts"])
+            [pa.array([self.lang] * len(heads), pa.string()), pa.array(shard[first[heads]], pa.int32()),
+             listed(shards, prefixes.take(pa.array(group[first], pa.int64()))), listed(shards, listed(stripes, following)),
+             listed(shards, listed(stripes, pa.array(counts, pa.int32())))],
+            names=["lang", "shard", "prefixes", "words", "counts"])
+
+
+def entries_of(stripes: DataFrame) -> DataFrame:
+    """(lang, shard, prefix, word, n) of ``STRIPES`` rows."""
+    def entries(s):
+        return F.zip_with(s["words"], s["counts"], lambda w, n: F.struct(
+            s["prefixes"].alias("prefix"), w.alias("word"), n.alias("n")))
+
+    listed = F.flatten(F.transform(F.arrays_zip("prefixes", "words", "counts"), entries))
+    return stripes.select("lang", "shard", F.inline(listed))
 
 
 def level(docs: DataFrame, k: int, bits: tuple[np.ndarray, np.ndarray] | None, least: int) -> DataFrame:
@@ -198,9 +212,8 @@ def level(docs: DataFrame, k: int, bits: tuple[np.ndarray, np.ndarray] | None, l
             yield h.flushed()
 
     key = ["lang", "prefix", "shard"]
-    entries = in_arrow(docs.select("lang", "text"), build, STRIPE).repartition(*map(F.col, key)) \
-        .select(*key, F.explode(F.arrays_zip("words", "counts")).alias("e")) \
-        .groupBy(*key, F.col("e.words").alias("word")).agg(F.sum("e.counts").alias("n"))
+    entries = entries_of(in_arrow(docs.select("lang", "text"), build, STRIPES).repartition("lang", "shard")) \
+        .groupBy(*key, "word").agg(F.sum("n").alias("n"))
     found = F.col("word").isNotNull() & (F.col("n") >= least)
     return stored(entries.groupBy(*key).agg(
         F.sum("n").alias("total"), F.max(F.when(F.col("word").isNotNull(), F.col("n"))).alias("best"),

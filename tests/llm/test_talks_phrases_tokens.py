@@ -225,3 +225,17 @@ def test_a_window_grows_until_its_known_words_agree():
 
 def test_no_tokens_in_an_empty_table(spark):
     assert bpe_chunks.encode(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_rows_of_a_task_do_not_grow_with_its_phrases():
+    """op12: every frequent prefix was a row of its own in every task that met it."""
+    texts = [" ".join(f"w{i % 90} x{i % 89}" for i in range(20_000)).encode()]
+    often = np.full(collocations.MAP_BITS // 8, 255, np.uint8)
+    stripes = collocations.Stripes("en", 2, often, np.zeros_like(often))
+    stripes.add(texts)
+    rows = stripes.flushed().to_pylist()
+    assert len({r["shard"] for r in rows}) == len(rows) <= collocations.SHARDS
+    got = {(p, w): n for r in rows for p, ws, ns in zip(r["prefixes"], r["words"], r["counts"]) for w, n in zip(ws, ns, strict=True)}
+    words = texts[0].decode().split(" ")
+    want = Counter((" ".join(words[i:i + 2]), words[i + 2] if i + 2 < len(words) else None) for i in range(len(words) - 1))
+    assert got == want and len({p for p, _ in got}) > 10 * len(rows)
