@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from proofgrid.functions.text import let, squeeze, tokens
 from proofgrid.operators.ranking import first_by
@@ -89,7 +90,7 @@ def find_state(address: Column) -> Column:
 
 
 def _extract(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return let(F.regexp_extract(text, pattern, group), lambda found: F.when(found != "", found))
 
 
 def address_parts(address: Column) -> Column:
@@ -154,9 +155,8 @@ def token_similarity(left: Column, right: Column) -> Column:
 
 def state_matches(code: Column, name: Column) -> Column:
     """Equal code, or one of six spelled-out aliases."""
-    plain = normal_text(name)
     alias = F.create_map(*[F.lit(v) for kv in STATE_ALIASES.items() for v in kv])
-    return (plain == F.lower(code)) | F.coalesce(F.try_element_at(alias, code) == plain, F.lit(False))
+    return let(normal_text(name), lambda plain: (plain == F.lower(code)) | F.coalesce(F.try_element_at(alias, code) == plain, F.lit(False)))
 
 
 def parsed_request(address: Column) -> Column:
@@ -168,30 +168,40 @@ def candidate_score(request: Column, c: dict[str, Column]) -> Column:
     """Score of one gazetteer candidate against a parsed request, 0..1.
 
     ``c`` holds lat, lon, name, display_name, importance, house_number, road,
-    locality, state, postcode.
+    locality, state, postcode.  Candidates without a place, with another house number, or with another postcode and no
+    name to outweigh it are 0 whatever else they say; that is looked at first, in plain expressions.
     """
+    asked = request["parts"]
+    postcode = F.regexp_extract(_text(c["postcode"]), r"(\d{5})", 1)
+    same_post = F.coalesce((asked["postcode"] == postcode) & (postcode != ""), F.lit(False))
+    other_house = _filled(asked["house_number"]) & _filled(c["house_number"]) & (
+        normal_number(_text(c["house_number"])) != asked["house_number"])
+    hopeless = (~_filled(c["lat"]) | ~_filled(c["lon"]) | ~_filled(c["display_name"]) | other_house
+                | (request["place"].isNull() & _filled(asked["postcode"]) & ~same_post))
+
     def measure(w):
-        want, place = w["parts"], w["place"]
-        postcode = _extract(_text(c["postcode"]), r"(\d{5})")
-        found_name = F.coalesce(c["name"], F.get(F.split(c["display_name"], ","), 0), F.lit(""))
+        want = w["parts"]
         has_house, asks_house = _filled(c["house_number"]), _filled(want["house_number"])
         both_states = _filled(want["state"]) & _filled(c["state"])
         plain = (
-            _filled(c["lat"]) & _filled(c["lon"]) & _filled(c["display_name"])
-            & ~(asks_house & has_house & (normal_number(_text(c["house_number"])) != want["house_number"]))
-            & ~(both_states & ~F.coalesce(state_matches(want["state"], c["state"]), F.lit(False))))
+            ~(both_states & ~F.coalesce(state_matches(want["state"], c["state"]), F.lit(False))))
         return F.struct(
-            want.alias("want"), F.coalesce(plain, F.lit(False)).alias("plausible"), _filled(want["postcode"]).alias("asks_post"),
-            F.coalesce(want["postcode"] == postcode, F.lit(False)).alias("same_post"),
-            # token work only for candidates the plain checks leave standing
-            F.when(place.isNull() | ~F.coalesce(plain, F.lit(False)), F.lit(0.0)).otherwise(token_similarity(place, found_name)).alias("name"),
+            want.alias("want"), w["place"].alias("place"), F.coalesce(plain, F.lit(False)).alias("plausible"), _filled(want["postcode"]).alias("asks_post"),
+            same_post.alias("same_post"),
             asks_house.alias("asks_house"), has_house.alias("has_house"), both_states.alias("both_states"),
             (_filled(want["city"]) & _filled(c["locality"])).alias("both_cities"))
 
-    def compare(m):
-        alive = m["plausible"] & ~(m["asks_post"] & ~m["same_post"] & (m["name"] < 0.75))
+    def named(m):
+        # token work only for candidates the plain checks leave standing
+        found_name = F.coalesce(c["name"], F.get(F.split(c["display_name"], ","), 0), F.lit(""))
+        return F.struct(m.alias("m"), F.when(m["place"].isNull() | ~m["plausible"], F.lit(0.0)).otherwise(
+            token_similarity(m["place"], found_name)).alias("name"))
+
+    def compare(n):
+        m = n["m"]
+        alive = m["plausible"] & ~(m["asks_post"] & ~m["same_post"] & (n["name"] < 0.75))
         return F.struct(
-            m.alias("m"), alive.alias("alive"),
+            m.alias("m"), n["name"].alias("name"), alive.alias("alive"),
             F.when(alive & m["both_cities"], token_similarity(m["want"]["city"], c["locality"])).otherwise(0.0).alias("city"),
             F.when(alive & _filled(c["road"]), token_similarity(m["want"]["street"], c["road"])).otherwise(0.0).alias("road"))
 
@@ -203,10 +213,10 @@ def candidate_score(request: Column, c: dict[str, Column]) -> Column:
             F.lit(0.28) + F.when(m["asks_post"] & m["same_post"], 0.24).otherwise(0.0)
             + F.when(m["asks_house"] & m["has_house"], 0.2).when(m["asks_house"], 0.04).otherwise(0.0)
             + r["road"] * 0.16 + F.when(m["both_cities"], r["city"] * 0.1).otherwise(0.0)
-            + F.when(m["both_states"], 0.08).otherwise(0.0) + F.least(F.lit(0.04), importance) + m["name"] * 0.18)
+            + F.when(m["both_states"], 0.08).otherwise(0.0) + F.least(F.lit(0.04), importance) + r["name"] * 0.18)
         return F.when(rejected, F.lit(0.0)).otherwise(F.least(F.lit(1.0), score))
 
-    return let(let(let(request, measure), compare), total)
+    return F.when(hopeless, F.lit(0.0)).otherwise(let(let(let(let(request, measure), named), compare), total))
 
 
 def rank_candidates(df: DataFrame, *, request: str, score: str, pos: str, lat: str, lon: str) -> DataFrame:
@@ -219,8 +229,13 @@ def rank_candidates(df: DataFrame, *, request: str, score: str, pos: str, lat: s
 
 def exact_match(df: DataFrame, *, request: str, address: str, pos: str, house: str, zip_code: str,
                 state: str) -> DataFrame:
-    """First structure whose known parts do not conflict with the request."""
-    want = address_parts(F.col(address))
+    """First structure whose known parts do not conflict with the request.
+
+    ``address`` names the request's text, or its ``address_parts``, made once before candidates multiply the rows.
+    """
+    want = F.col(address)
+    if not isinstance(df.schema[address].dataType, T.StructType):
+        want = address_parts(want)
 
     def conflict(ours: Column, theirs: Column) -> Column:
         return _filled(ours) & _filled(theirs) & (ours != theirs)

@@ -124,10 +124,11 @@ EXACT = """
 
 
 def exact(t):
-    c = candidates(t).join(requests(t), F.col("l_orderkey") == F.col("o_orderkey"))
+    parsed = requests(t).withColumn("wanted", adr.address_parts(F.col("address")))
+    c = candidates(t).join(parsed, F.col("l_orderkey") == F.col("o_orderkey"))
     c = c.withColumn("pos", F.struct("l_linenumber", "l_partkey", "l_suppkey")) \
         .withColumn("code", F.when(F.col("l_suppkey") % 2 == 0, "NY").otherwise("CA"))
-    return adr.exact_match(c, request="l_orderkey", address="address", pos="pos", house="house_number",
+    return adr.exact_match(c, request="l_orderkey", address="wanted", pos="pos", house="house_number",
                            zip_code="postcode", state="code")
 
 
